@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, simhash, url_filter
+from . import secrets, simhash, token_codes, topk, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_exact_topk": topk.op3_exact_topk,
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_simhash": simhash.op6_simhash,
+        "op9_token_codes": token_codes.op9_token_codes,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**url_filter.ORACLE}
+    return {**url_filter.ORACLE, **topk.ORACLE, **warc.ORACLE}
