@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, text_or_empty
+from .common import new_path, staged, text_or_empty
 
 #: Goes with the rules below; a change of a rule needs a new version.
 RULE_VERSION = 1
@@ -99,20 +99,23 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of every rule replaced by mark; overlapping spans give one mark.
+def redact(docs: DataFrame, ledger: str | None = None, path_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span that the ledger holds for its text replaced by mark;
+    overlapping spans give one mark. Texts are scanned as in scan_incrementally().
 
-    All columns stay; rows without a secret are returned as they are, null texts too.
+    All columns and rows stay; null texts and those without a secret are as they were.
+    The list of blobs with a secret is small beside the texts, which move to its side.
     """
+    found = scan_incrementally(docs, ledger, path_col, text_col).filter(F.size("spans") > 0)
+    hits = staged(found.groupBy(F.col("blob").alias("_blob")).agg(F.max("spans").alias("_spans")), "secret-hits").hint("shuffle_hash")
     text = F.col(text_col)
-    spans = F.array_sort(F.concat(*[_spans(text, k) for k in range(len(RULES))]))
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
     )
-    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    anything = "|".join(f"(?:{p})" for _, p, *_ in RULES)
-    return docs.withColumn(text_col, F.when(text.rlike(anything), clean).otherwise(text))
+    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    joined = docs.join(hits, F.sha2(text, 256) == F.col("_blob"), "left")
+    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(text)).select(docs.columns)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,13 @@ def near_components(fps: DataFrame) -> DataFrame:
     return top.select(F.col("fp").alias("node"), F.coalesce("root", "chain").alias("root"))
 
 
+def _classes(fps: DataFrame) -> DataFrame:
+    """(id, fingerprint, ...) to (fp, least, root): each distinct fingerprint, its smallest
+    id and its class."""
+    distinct = staged(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("least")), "distinct")
+    return staged(distinct.join(near_components(distinct.select("fp")), F.col("fp") == F.col("node")).select("fp", "least", "root"), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of docs; component_id is the
     smallest id reachable over links of up to MAX_BITS differing bits, the own included.
@@ -123,15 +130,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     aren't read. Copies meet as one fingerprint with its smallest id before any join.
     """
     fps = staged(fingerprints(docs, id_col, text_col, words).toDF("id", "fingerprint"), "simhash")
-    distinct = staged(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("least")), "distinct")
-    roots = distinct.join(near_components(distinct.select("fp")), F.col("fp") == F.col("node")).select("fp", "least", "root")
-    roots = staged(roots, "roots")
+    roots = _classes(fps)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = roots.join(least, "root").select("fp", "component_id")
     out = fps.join(classes, F.col("fingerprint") == F.col("fp"))
     return out.select(F.col("id").alias(id_col), F.col("fingerprint"), "component_id")
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """One row of docs, with all its columns, for each class of near-duplicates: that of
+    the smallest id (nulls last; then the smallest hash of the text). Of rows that share
+    both, one stays. Texts without a word, and null texts, are one class."""
+    marked = docs.withColumn("_hash", F.xxhash64(text_col))
+    fps = staged(fingerprints(marked.select(F.struct(id_col, "_hash").alias("row"), text_col), "row", text_col, words).select(F.col(f"row.{id_col}").alias("id"), F.col("row._hash").alias("h"), "fingerprint"), "simhash")
+    roots = _classes(fps)
+    member = fps.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"))
+    best = member.join(roots, F.col("fingerprint") == F.col("fp")).groupBy("root").agg(F.min("best").alias("best"))
+    copies = fps.groupBy("id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    named = best.select(F.col("best.id").alias("b"), F.col("best.h").alias("bh"))
+    kept = named.join(copies, F.col("b").eqNullSafe(F.col("id")) & (F.col("bh") == F.col("h"))).select(F.col("b").alias("_id"), F.col("bh").alias("_h"), "copies")
+    kept = staged(kept, "kept")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    alone = marked.join(kept.filter("copies = 1").hint("shuffle_hash"), same, "left_semi")
+    repeated = marked.join(kept.filter("copies > 1").hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, "_hash"])
+    return alone.unionByName(repeated).drop("_hash")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
