@@ -1,12 +1,60 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and read again."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and read again.
+
+quality       reject what importance resampling doesn't draw
+duplicates    keep one document of each class of near-duplicates
+benchmark     drop documents that hold a passage of a benchmark item
+secrets       replace secrets by a mark
+tokens        encode every whole text; the last stage returns ids instead of texts
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridspan.llm import decontaminate, pieces, quality, secrets, simhash
+from gridspan.llm.common import staged
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(docs.columns)
+
+
+def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_chars follows the changed text."""
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = pieces.encode_documents(docs, model)
+    ids = pieces.id_list(F.col("ids"), model)
+    return rows.select("doc_id", ids.alias("ids"), (F.octet_length("ids") / 2).cast("long").alias("n_tokens"), (F.col("restored") == F.col("text")).alias("round_trip"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("duplicates", drop_duplicates),
+    ("benchmark", drop_benchmark),
+    ("secrets", hide_secrets),
+    ("tokens", encode),
+]
 
-STAGES: list = []
+#: SQL has neither the n-gram models nor the encoder; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
