@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,13 @@ from .common import staged
 from .hashing import PRINTED, mix, token_hashes
 
 #: Buckets of the n-gram models.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 #: At most so many documents with a good label make the target model; those of the smallest hash.
 TARGET_DOCS = 50_000
-#: Pseudo-counts a bucket of the target model, on average.
-PRIOR = 16
+#: Values of the stratum column that get models of their own.
+STRATA = 64
+#: Pseudo-counts that draw every bucket's ratio towards 1.
+PRIOR = 50
 SEED = 7
 
 
@@ -35,54 +38,83 @@ def _grams(text: str | None) -> np.ndarray:
     return (np.concatenate((words, pairs)) >> np.uint64(7)).astype(np.int64) % BUCKETS
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_docs: int = TARGET_DOCS) -> tuple[np.ndarray, float]:
-    """(log ratio of target to raw probability by bucket, share of good labels).
+@dataclass
+class Model:
+    """N-gram counts by stratum and bucket of all documents and of the target documents,
+    the strata's numbers, and the ids of the target documents in order."""
+
+    raw: np.ndarray
+    target: np.ndarray
+    strata: dict[str | None, int]
+    ids: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.scale = self.target.sum(1) / np.maximum(1, self.raw.sum(1))
+
+    def log_weight(self, text: str | None, stratum: str | None, is_target: bool) -> float:
+        """Sum over the n-grams of log target / raw probability. A document's own counts are
+        left out of both models, or its rare n-grams would tell whether it was sampled."""
+        k = self.strata.get(stratum, 0)
+        grams, times = np.unique(_grams(text), return_counts=True)
+        expected = (self.raw[k, grams] - times) * self.scale[k]
+        seen = self.target[k, grams] - times * is_target
+        return float((times * np.log((seen + PRIOR) / (np.maximum(0, expected) + PRIOR))).sum())
+
+    def chosen(self, ids: pd.Series) -> np.ndarray:
+        return np.isin(ids.fillna(0).to_numpy().astype(np.int64), self.ids) & ids.notna().to_numpy()
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", target_docs: int = TARGET_DOCS) -> tuple[Model, float]:
+    """(model, share of good labels).
 
     The raw model counts every n-gram of every document. The target model counts those
     of the documents labelled quality 1 (of several labels all must agree), up to
-    target_docs of them, and PRIOR more in every bucket on average, shared out like the
-    raw ones: what the sample hasn't seen often enough weighs nothing. Only BUCKETS sums and the sampled ids reach the driver.
-    Without good labels all ratios are 0.
+    target_docs of them. Both are kept apart for the STRATA most frequent values of
+    stratum_col, with one more for all others and null: else a language that the sample
+    happens to have less of would look bad. Only these sums and the sampled ids reach the
+    driver. Without good labels all weights are 1.
     """
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
     share = good.agg(F.avg(F.when(F.col("q") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
     picked = good.filter("q = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).select("doc_id")
-    ids = np.sort(np.array([r[0] for r in picked.collect()], np.int64))
-    if not len(ids):
-        return np.zeros(BUCKETS), 0.0
+    frequent = docs.filter(F.col(stratum_col).isNotNull()).groupBy(stratum_col).count().orderBy(F.desc("count"), stratum_col).limit(STRATA).collect()
+    strata = {r[0]: n + 1 for n, r in enumerate(frequent)}
+    none = np.zeros((len(strata) + 1, BUCKETS), np.int64)
+    model = Model(none, none, strata, np.sort(np.array([r[0] for r in picked.collect()], np.int64)))
+    if not len(model.ids):
+        return model, 0.0
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros_like(none), np.zeros_like(none)
         for part in parts:
-            known = part["id"].notna().to_numpy()
-            chosen = np.isin(part["id"].fillna(0).to_numpy().astype(np.int64), ids) & known
-            for text, is_target in zip(part["text"], chosen, strict=True):
+            for text, stratum, is_target in zip(part["text"], part["stratum"], model.chosen(part["id"]), strict=True):
                 grams, times = np.unique(_grams(text), return_counts=True)
-                raw[grams] += times
+                k = strata.get(stratum, 0)
+                raw[k, grams] += times
                 if is_target:
-                    target[grams] += times
-        seen = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": seen, "raw": raw[seen], "target": target[seen]})
+                    target[k, grams] += times
+        k, seen = np.nonzero(raw)
+        yield pd.DataFrame({"stratum": k, "bucket": seen, "raw": raw[k, seen], "target": target[k, seen]})
 
-    counts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(count, "bucket long, raw long, target long")
-    sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
-    raw[sums["bucket"]] += sums["raw"]
-    target[sums["bucket"]] += sums["target"]
-    target += raw * (PRIOR * BUCKETS / raw.sum())
-    return np.log(target / target.sum()) - np.log(raw / raw.sum()), float(share)
+    counts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("stratum")).mapInPandas(count, "stratum long, bucket long, raw long, target long")
+    sums = counts.groupBy("stratum", "bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    raw, target = none.copy(), none.copy()
+    at = sums["stratum"].to_numpy(), sums["bucket"].to_numpy()
+    raw[at], target[at] = sums["raw"], sums["target"]
+    return Model(raw, target, strata, model.ids), float(share)
 
 
-def with_log_weight(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", name: str = "log_weight") -> DataFrame:
+def with_log_weight(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", name: str = "log_weight") -> DataFrame:
     """docs and the logarithm of the importance weight; 0 for a text without words."""
-    table = docs.sparkSession.sparkContext.broadcast(ratios)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def weight(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([float(table.value[_grams(t)].sum()) for t in part], dtype="float64")
+    def weight(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, texts, strata in parts:
+            own = held.value
+            yield pd.Series([own.log_weight(t, s, c) for t, s, c in zip(texts, strata, own.chosen(ids), strict=True)], dtype="float64")
 
-    return docs.withColumn(name, weight(F.col(text_col)))
+    return docs.withColumn(name, weight(F.col(id_col).cast("long"), F.col(text_col), F.col(stratum_col)))
 
 
 def gumbel(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -126,23 +158,22 @@ def _within(left: DataFrame, k: int) -> float:
     raise ValueError("fewer rows than k")
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The kept rows of docs, with log_weight and gumbel_key (docs' own columns of these
     names give way).
 
-    k documents are drawn; by default as many as there should be good ones: the sum of
-    min(1, share of good labels * weight) over all documents. Equal keys (repeated rows)
+    k documents are drawn; by default as many as are good rather than not: those whose
+    weight times the share of good labels is 1/2 or more. Equal keys (repeated rows)
     stay or go together. Without good labels, or if k isn't below the rows, all stay.
     Three passes over the texts: counts, weights for the k-th key, and the kept rows.
     """
-    ratios, share = fit(docs, labels, id_col, text_col)
-    scored = with_log_weight(docs, ratios, text_col).withColumn("gumbel_key", F.col("log_weight") + gumbel(id_col, text_col))
+    model, share = fit(docs, labels, id_col, text_col, stratum_col)
+    scored = with_log_weight(docs, model, id_col, text_col, stratum_col).withColumn("gumbel_key", F.col("log_weight") + gumbel(id_col, text_col))
     keys = staged(scored.select(F.col("gumbel_key").alias("key"), "log_weight"), "gumbel-keys")
     if k is None:
         if share == 0:
             return scored
-        good = keys.agg(F.sum(F.exp(F.least(F.col("log_weight") + math.log(share), F.lit(0.0))))).first()[0]
-        k = round(good or 0)
+        k = keys.filter(F.col("log_weight") + math.log(share) >= math.log(0.5)).count()
     least = kth_largest(keys.select("key"), k)
     return scored.filter(F.col("gumbel_key") >= F.lit(least)) if least is not None else scored.limit(0)
 
