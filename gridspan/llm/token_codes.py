@@ -9,15 +9,18 @@ writes it as Parquet and commits it.
 
 from __future__ import annotations
 
+import gc
 import re
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +32,15 @@ SEGMENT_SCHEMA = (
     "shard string, segment int, doc_ids array<long>, doc_tokens array<long>, n_tokens long, "
     "levels array<struct<chunks:binary,more:binary,ranks:binary>>"
 )
-#: Words that a worker keeps encoded.
-CACHE_WORDS = 500_000
+_LEVEL = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
+SEGMENT_ARROW = pa.schema([("shard", pa.string()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("levels", pa.list_(_LEVEL))])
+#: Words that a worker keeps encoded: met more than once, and met once of late.
+CACHE_WORDS, RECENT_WORDS = 400_000, 200_000
+#: A word of Latin letters with its space: one piece for every byte-level pattern.
+PLAIN_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 #: Between a character that is neither white space nor part of it and a white space.
 SAFE_CUT = re.compile(r"(?<=[!-~¡-ɏ])(?=\s)")
+SEGMENT_DOCS = 400
 MARKS = '.,!?;:%&*$#|()"-'
 
 
@@ -86,16 +94,40 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
         self.words: dict[str, bytes | None] = {}
+        self.recent: dict[str, bytes | None] = {}
+        # what the model spells a byte as, if the byte-level pattern is all that comes before it
+        self.byte_level = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel)
+        odd = iter(range(256, 512))
+        self.alphabet = {b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else next(odd) for b in range(256)}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_break = line[0] if len(line) == 1 else -1
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _encoded_words(self, words: list[str]) -> list[bytes]:
+        """As _encoded, for words without a line break that don't end in white space: many
+        become the lines of one text, as a line break between them is a token by itself."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            breaks = np.flatnonzero(ids == self.line_break)
+            if len(breaks) != len(some) - 1:
+                out += self._encoded(some)
+                continue
+            blob, size = ids.tobytes(), ids.itemsize
+            starts, ends = [0, *((breaks + 1) * size).tolist()], [*(breaks * size).tolist(), len(blob)]
+            out += [blob[a:b] for a, b in zip(starts, ends, strict=True)]
+        return out
+
     def _learn(self, words: set[str]) -> None:
         """None for a word that ends in white space: what follows may change its ids."""
         known, cuts, cores = self.words, {}, {}
@@ -111,31 +143,72 @@ class Encoder:
             for x in (core, tail):
                 if known.get(x) is None:
                     cores[x] = None
-        known.update(zip(cores, self._encoded(list(cores)), strict=True))
+        if self.byte_level:  # one piece of the pattern: the model alone is asked
+            ids_of, spell, code = self.tokenizer.model.tokenize, self.alphabet, "H" if self.dtype == "<u2" else "I"
+            for w in [w for w in cores if PLAIN_WORD(w)]:
+                known[w] = array(code, [x.id for x in ids_of(w.encode().decode("latin-1").translate(spell))]).tobytes()
+                del cores[w]
+        plain = [w for w in cores if "\n" not in w and not w[:2].isspace()]
+        known.update(zip(plain, self._encoded_words(plain), strict=True))
+        others = [w for w in cores if w not in known]
+        known.update(zip(others, self._encoded(others), strict=True))
         for w, (core, tail) in cuts.items():
             known[w] = known[core] + known[tail]
 
+    def _prepare(self, new: set[str]) -> int:
+        """Unknown words known; returns how many were before. Words met again come from recent."""
+        known, recent = self.words, self.recent
+        again = [w for w in new if w in recent]
+        for w in again:
+            known[w] = recent.pop(w)
+        new.difference_update(again)
+        before = len(known)
+        self._learn(new)
+        return before
+
+    def _forget(self, before: int) -> None:
+        """Words met for the first time are kept apart, so that rare ones don't fill the memory."""
+        known, recent = self.words, self.recent
+        for w in [*islice(reversed(known), len(known) - before)]:
+            recent[w] = known.pop(w)
+        if len(recent) > RECENT_WORDS:
+            self.recent = dict(islice(recent.items(), len(recent) - RECENT_WORDS // 2, None))
+        if len(known) > CACHE_WORDS:
+            self.words = dict(islice(known.items(), CACHE_WORDS // 2))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > CACHE_WORDS:
-            self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
+        gc.disable()  # nothing here is cyclic, and there are many small objects
+        try:
+            return self._batch(texts)
+        finally:
+            gc.enable()
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
         cut: list[list[str] | None] = []
-        words: set[str] = set()
+        first: list[list[bytes | None]] = []
+        new: set[str] = set()
+        get = self.words.get
         for t in texts:
-            if "\0" in t or any(s in t for s in self.special):
-                cut.append(None)
-                continue
-            parts = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            if not parts[0]:
-                del parts[0]
+            parts = None
+            if "\0" not in t and not any(s in t for s in self.special):
+                parts = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+                if not parts[0]:
+                    del parts[0]
+            ids = [*map(get, parts or ())]
             cut.append(parts)
-            words.update(parts)
-        self._learn(words.difference(self.words))
+            first.append(ids)
+            if None in ids:
+                new.update([w for w, x in zip(parts, ids, strict=True) if x is None and w not in self.words])
+        before = self._prepare(new)
         get, out = self.words.get, []
-        for t, parts in zip(texts, cut, strict=True):
+        for t, parts, found in zip(texts, cut, first, strict=True):
             ids = None
             if parts is not None:
                 last = parts.pop() if parts and parts[-1] in (" ", "\n") else None
-                found = [*map(get, parts)]
+                if last:
+                    found.pop()
+                if None in found:
+                    found = [*map(get, parts)]
                 if None not in found:
                     ids = b"".join(found) + (self._encoded([last])[0] if last else b"")
                 elif not any(s in t for s in self.special):
@@ -144,6 +217,7 @@ class Encoder:
             if ids is None:
                 ids = self._encoded([t])[0]
             out.append(np.frombuffer(ids, self.dtype))
+        self._forget(before)
         return out
 
 
@@ -162,20 +236,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     ranged = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, enc, segment = uuid.uuid4().hex, encoder(vocabulary), 0
         for part in parts:
-            for at in range(0, len(part), 1000):
-                some = part[at : at + 1000]
-                ids = [np.append(x, np.array([end_id], x.dtype)) for x in enc(some["text"].tolist())]
+            for at in range(0, part.num_rows, SEGMENT_DOCS):
+                some = part.slice(at, SEGMENT_DOCS)
+                ids = [np.append(x, np.array([end_id], x.dtype)) for x in enc(some.column("text").to_pylist())]
                 lengths = [len(x) for x in ids]
-                docs_of = [None if pd.isna(i) else int(i) for i in some["id"]]
-                yield pd.DataFrame([(shard, segment, docs_of, lengths, sum(lengths), pack(np.concatenate(ids)))], columns=["shard", "segment", "doc_ids", "doc_tokens", "n_tokens", "levels"])
+                row = {"shard": shard, "segment": segment, "doc_ids": some.column("id").to_pylist(), "doc_tokens": lengths, "n_tokens": sum(lengths), "levels": pack(np.concatenate(ids))}
+                yield pa.RecordBatch.from_pylist([row], SEGMENT_ARROW)
                 segment += 1
 
-    ranged.mapInPandas(encode, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(encode, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -196,15 +268,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     ids (with the end id), decoded from the segments."""
     table = spark.read.schema(SEGMENT_SCHEMA).parquet(path).join(segment_starts(spark, path), ["shard", "segment"])
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for row in part.itertuples(index=False):
-                ids, lengths = unpack(row.levels), np.asarray(row.doc_tokens)
+            for at in range(part.num_rows):
+                row = part.slice(at, 1).to_pylist()[0]
+                ids, lengths = unpack(row["levels"]), np.asarray(row["doc_tokens"], np.int64)
                 ends = np.cumsum(lengths)
-                cut = [ids[b - n : b] for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(row.doc_ids, "Int64"), "start": row.start + ends - lengths, "n_tokens": lengths, "ids": [x.astype("<u4").tobytes() for x in cut]})
+                cut = [ids[b - n : b].astype("<u4").tobytes() for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends - lengths), pa.array(lengths), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
 
-    return table.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return table.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def fetch_tokens(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
@@ -215,20 +289,20 @@ def fetch_tokens(spark: SparkSession, path: str, places: list[int]) -> DataFrame
     at = wanted.join(starts, (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n_tokens")))
     table = spark.read.schema(SEGMENT_SCHEMA).parquet(path).select("shard", "segment", "levels").join(at.select("shard", "segment", "place", "start"), ["shard", "segment"])
 
-    def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [(r.place, token_at(r.levels, r.place - r.start)) for r in part.itertuples(index=False)]
-            yield pd.DataFrame(found, columns=["place", "id"])
+            found = [{"place": r["place"], "id": token_at(r["levels"], r["place"] - r["start"])} for r in part.to_pylist()]
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("place", pa.int64()), ("id", pa.int64())]))
 
-    return table.mapInPandas(pick, "place long, id long")
+    return table.mapInArrow(pick, "place long, id long")
 
 
 def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(zlib.crc32).astype("int64")
+    @F.arrow_udf("long")
+    def crc(ids: pa.Array) -> pa.Array:
+        return pa.array([zlib.crc32(x) for x in ids.to_pylist()], pa.int64())
 
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
