@@ -10,26 +10,28 @@ side, which leaves exactly one way to each place: the merges' own result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 from .hashing import BASE, mix
 
 SPACE = "▁"
-#: Words that a worker keeps encoded, and remembered pairs of pieces (a power of two).
-CACHE_WORDS = 400_000
+#: Words that a worker keeps encoded (met more than once, and met once of late), and
+#: remembered pairs of pieces (a power of two).
+CACHE_WORDS, RECENT_WORDS = 300_000, 150_000
 PAIRS = 1 << 20
 #: Characters of a batch of words.
-BATCH = 1 << 19
+BATCH = 1 << 18
+#: Documents encoded together.
+DOCS = 400
 NO_LIMIT = np.int64(1) << 40
 
 
@@ -116,6 +118,8 @@ class Codec:
         self.longest = max(self.by_length, default=1)
         self.split_words = not any(SPACE in p.lstrip(SPACE) for p in order)
         self.words: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.characters = frozenset("".join(order))
         self.pair_keys, self.pair_fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
 
     @staticmethod
@@ -314,26 +318,28 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > CACHE_WORDS:
-            self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
+        known, recent = self.words, self.recent
         cut = [self._cut(t) for t in texts]
-        new = set().union(*cut).difference(self.words) if cut else set()
-        lines = {w: w.split("\n") for w in new if "\n" in w} if "\n" not in self._characters() else {}
-        todo = {p for parts in lines.values() for p in parts if p and p not in self.words} | (new - lines.keys())
+        new = {w for words in cut for w in words if w not in known}
+        for w in [w for w in new if w in recent]:
+            known[w] = recent.pop(w)
+        new.difference_update(known)
+        before = len(known)
+        lines = {w: w.split("\n") for w in new if "\n" in w} if self.byte_ids and "\n" not in self.characters else {}
+        todo = {p for parts in lines.values() for p in parts if p and p not in known} | (new - lines.keys())
         self._learn(list(todo))
-        if lines:
+        if lines:  # an unknown character: no piece reaches over it
             end = self._with_unknown("\n", np.array([-1]), np.array([1]))
             for w, parts in lines.items():
-                self.words[w] = end.join(self.words[p] if p else b"" for p in parts) if self.byte_ids else self._whole(w)
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.dtype) for words in cut]
-
-    def _whole(self, word: str) -> bytes:
-        self._learn([word])
-        return self.words[word]
-
-    @lru_cache(maxsize=1)  # noqa: B019
-    def _characters(self) -> frozenset:
-        return frozenset(c for i in self.ids.tolist() for c in self.library.id_to_piece(i))
+                known[w] = end.join(known[p] if p else b"" for p in parts)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), self.dtype) for words in cut]
+        for w in [*islice(reversed(known), len(known) - before)]:  # met once; rare words don't fill the memory
+            recent[w] = known.pop(w)
+        if len(recent) > RECENT_WORDS:
+            self.recent = dict(islice(recent.items(), len(recent) - RECENT_WORDS // 2, None))
+        if len(known) > CACHE_WORDS:
+            self.words = dict(islice(known.items(), CACHE_WORDS // 2))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.surface.__getitem__, ids.tolist()))
@@ -347,59 +353,52 @@ def codec(path: str) -> Codec:
         return Codec(f.read())
 
 
-def encoded(text: Column, model: str) -> Column:
-    """Ids of a text (null: empty) as unsigned little-endian integers of 2 bytes, or of 4
-    if the model has more than 65536 pieces. model is a path that every executor has."""
-
-    @F.pandas_udf("binary")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            texts, own = part.tolist(), codec(model)
-            out = []
-            for at in range(0, len(texts), 2000):
-                out += [x.tobytes() for x in own.encode([t or "" for t in texts[at : at + 2000]])]
-            yield pd.Series(out, dtype=object)
-
-    return encode(text)
+def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
+    """(id_col, ids, n_tokens, round_trip) for every row: the ids of the whole text, and
+    whether they decode to it.
 
+    ids is an array of integers, or packed as unsigned little-endian integers of 2 bytes (4
+    if the model has more than 65536 pieces). Null and empty texts have no ids; repeated
+    rows and null ids stay; other columns aren't read. model is a path that every
+    executor has.
+    """
+    model = model or public_tokenizers.path("piece_bpe_32k.model")
 
-def decoded(ids: Column, model: str) -> Column:
-    """The text of ids as encoded() gives them; null for null."""
-
-    @F.pandas_udf("string")
-    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model)
         for part in parts:
-            own = codec(model)
-            yield part.map(lambda x: None if x is None else own.decode(np.frombuffer(x, own.dtype)))
-
-    return decode(ids)
-
-
-def id_list(ids: Column, model: str) -> Column:
-    """Ids as an array of integers."""
-
-    @F.pandas_udf("array<int>")
-    def unpacked(part: pd.Series) -> pd.Series:
-        kind = codec(model).dtype
-        return part.map(lambda x: None if x is None else np.frombuffer(x, kind).astype(np.int32))
+            for at in range(0, part.num_rows, DOCS):
+                some = part.slice(at, DOCS)
+                texts = some.column("text").to_pylist()
+                ids = own.encode(texts)
+                same = [own.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+                lengths = np.array([len(x) for x in ids], np.int64)
+                if packed:
+                    column = pa.array([x.tobytes() for x in ids], pa.binary())
+                else:
+                    column = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), np.concatenate(ids).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([some.column("id"), column, pa.array(lengths), pa.array(same, pa.bool_())], ["id", "ids", "n_tokens", "round_trip"])
 
-    return unpacked(ids)
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    out = rows.mapInArrow(encode, f"id {kind}, ids {'binary' if packed else 'array<int>'}, n_tokens long, round_trip boolean")
+    return out.withColumnRenamed("id", id_col)
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids, restored) for every row: the packed ids of the whole text and the
-    text that they decode to. Null and empty texts have no ids and decode to the empty
-    text; repeated rows and null ids stay; other columns aren't read."""
+def decode_documents(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, text) from (id_col, ids); null ids give a null text."""
     model = model or public_tokenizers.path("piece_bpe_32k.model")
-    rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).withColumn("ids", encoded(F.col("text"), model))
-    return rows.withColumn("restored", decoded(F.col("ids"), model))
 
+    def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model)
+        for part in parts:
+            texts = [None if x is None else own.decode(np.asarray(x, np.int64)) for x in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
-def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = encoded.select(F.col(id_col).alias("id"), "ids")
+    return rows.mapInArrow(decode, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes())).astype("int64")
 
-    return rows.select("doc_id", (F.octet_length("ids") / 2).cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"), (F.col("restored") == F.col("text")).alias("round_trip"))
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), packed=True)
+    return rows.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "round_trip")
