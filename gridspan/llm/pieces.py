@@ -63,8 +63,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 def is_bpe(model: bytes) -> bool:
     """trainer_spec.model_type: 2 is BPE, 1 (also if absent) unigram; others aren't supported."""
-    spec = next((v for k, v in _fields(model) if k == 2), b"")
-    kind = next((v for k, v in _fields(spec) if k == 3), 1)
+    spec = dict(_fields(model)).get(2, b"")  # of a repeated field the last value counts
+    kind = dict(_fields(spec)).get(3, 1)
     if kind not in (1, 2):
         raise ValueError("only unigram and BPE models are supported")
     return kind == 2
