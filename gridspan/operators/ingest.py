@@ -118,13 +118,13 @@ def merge_islands(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
         *[F.min_by(c, at).alias(c) for c in ("chr_x", "chr_y", "strand1", "strand2")],
         F.max_by("cnt", at).alias("cnt"),
         F.count(F.lit(1)).alias("loci"),
-        F.countDistinct("chr_x").alias("contigs_x"),
-        F.countDistinct("chr_y").alias("contigs_y"),
+        (F.min("chr_x") != F.max("chr_x")).alias("several_x"),
+        (F.min("chr_y") != F.max("chr_y")).alias("several_y"),
         *[f(c).alias(f"{n}_{c}") for c in ("pos1", "pos2") for n, f in (("low", F.min), ("high", F.max))],
         *[F.min_by(c, at).alias(f"first_{c}") for c in ("pos1", "pos2")],
         F.least(F.max("mapq1"), F.max("mapq2")).alias("best"),
     )
-    mixed = (F.col("contigs_x") > 1) | (F.col("contigs_y") > 1)
+    mixed = F.col("several_x") | F.col("several_y")
     edge = lambda c, side: F.when(mixed, F.col(f"first_{c}")).otherwise(F.col(f"{side}_{c}"))
     return merged.select(
         *keys, "chr_x", "chr_y",
