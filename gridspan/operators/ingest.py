@@ -150,32 +150,31 @@ def covered_units(annotations: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return runs.groupBy("type", "chr", "run").agg(F.min("start_bp").alias("start_bp"), F.max("end_bp").alias("end_bp")).drop("run")
 
 
-def category_hits(loci: DataFrame, annotations: DataFrame, kinds: tuple[str, ...], cell: int = 20_000) -> DataFrame:
-    """(chr, pos) distinct loci to (chr, pos, type) for each kind that covers them.
-
-    Annotations are merged first and cut at cells of the contig, so the range join is an
-    equi-join on (chr, cell) in which a position meets each type's few intervals there.
-    """
+def covered_cells(annotations: DataFrame, kinds: tuple[str, ...], cell: int) -> DataFrame:
+    """(chr, cell, spans): the merged annotations in each cell of a contig. As those of one
+    type don't overlap, a cell has a bounded number of them."""
     merged = covered_units(annotations, kinds)
     cells = merged.withColumn("cell", F.explode(F.expr(f"sequence(start_bp div {cell}, greatest(start_bp, end_bp - 1) div {cell})")))
-    points = loci.withColumn("cell", F.expr(f"pos div {cell}"))
-    met = points.join(cells, ["chr", "cell"]).filter((F.col("pos") >= F.col("start_bp")) & (F.col("pos") < F.col("end_bp")))
-    return met.select("chr", "pos", "type").distinct()
+    return cells.groupBy("chr", "cell").agg(F.collect_list(F.struct("type", "start_bp", "end_bp")).alias("spans"))
 
 
-def with_categories(reads: DataFrame, annotations: DataFrame, kinds: tuple[str, ...], dividend: int) -> DataFrame:
+def with_categories(reads: DataFrame, annotations: DataFrame, kinds: tuple[str, ...], dividend: int, cell: int = 20_000) -> DataFrame:
     """Encoded contacts with cat_x and cat_y: an array over kinds, 0 where a mate lies in
-    an annotation (start <= position < end, in base pairs) and 1 where not."""
+    an annotation (start <= position < end, in base pairs) and 1 where not.
+
+    Each side is one equi-join on (chr, cell) with the table of cells, which Spark
+    broadcasts if it is small; the intervals of the cell are then looked through in place.
+    """
     if len(kinds) > MAX_CATEGORIES:
         raise ValueError(f"at most {MAX_CATEGORIES} annotations can be filtered")
-    loci = reads.select(F.col("chr_x").alias("chr"), F.col("pos1_s").alias("pos")).union(reads.select("chr_y", "pos2_s")).distinct()
-    bits = category_hits(loci, annotations, kinds).groupBy("chr", "pos").agg(F.collect_set("type").alias("hit"))
-    code = lambda hit: F.array(*[F.when(F.array_contains(hit, k), 0).otherwise(1) for k in kinds])
-    out = reads
+    cells, out = covered_cells(annotations, kinds, cell), reads
     for side, chrom, pos in (("x", "chr_x", "pos1_s"), ("y", "chr_y", "pos2_s")):
-        mine = bits.select(F.col("chr").alias(f"_c{side}"), F.col("pos").alias(f"_p{side}"), F.col("hit").alias(f"_h{side}"))
-        out = out.join(mine, (F.col(chrom) == F.col(f"_c{side}")) & (F.col(pos) == F.col(f"_p{side}")), "left")
-    encoded = encode_contacts(out.withColumn("read_id", F.struct("read_id", code(F.coalesce("_hx", F.array())).alias("x"), code(F.coalesce("_hy", F.array())).alias("y"))), dividend)
+        mine = cells.select(F.col("chr").alias("_c"), F.col("cell").alias("_n"), F.col("spans").alias("_s"))
+        out = out.join(mine, (F.col(chrom) == F.col("_c")) & (F.expr(f"{pos} div {cell}") == F.col("_n")), "left")
+        inside = lambda k, p=pos: F.exists("_s", lambda s: (s["type"] == k) & (s["start_bp"] <= F.col(p)) & (s["end_bp"] > F.col(p)))
+        codes = F.array(*[F.when(inside(k), 0).otherwise(1) for k in kinds])
+        out = out.withColumn(f"_cat_{side}", codes).drop("_c", "_n", "_s")
+    encoded = encode_contacts(out.withColumn("read_id", F.struct("read_id", F.col("_cat_x").alias("x"), F.col("_cat_y").alias("y"))), dividend)
     return encoded.withColumns({"cat_x": F.col("read_id.x"), "cat_y": F.col("read_id.y"), "read_id": F.col("read_id.read_id")})
 
 
