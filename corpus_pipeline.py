@@ -1,7 +1,8 @@
 """The corpus pipeline: STAGES over documents, each written as Parquet and read again.
 
 quality       reject what importance resampling doesn't draw
-duplicates    keep one document of each class of near-duplicates
+duplicates    keep one document of each class of near-duplicates: five-word shingles of
+              Jaccard similarity 0.8 or more
 benchmark     drop documents that hold a passage of a benchmark item
 secrets       replace secrets by a mark
 tokens        encode every whole text; the last stage returns ids instead of texts
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspan.llm import decontaminate, pieces, quality, secrets, simhash
+from gridspan.llm import decontaminate, near_copies, pieces, quality, secrets
 from gridspan.llm.common import staged
 
 
@@ -21,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
+    return near_copies.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,13 +137,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """One row of docs, with all its columns, for each class of near-duplicates: that of
-    the smallest id (nulls last; then the smallest hash of the text). Of rows that share
-    both, one stays. Texts without a word, and null texts, are one class."""
-    marked = docs.withColumn("_hash", F.xxhash64(text_col))
-    fps = staged(fingerprints(marked.select(F.struct(id_col, "_hash").alias("row"), text_col), "row", text_col, words).select(F.col(f"row.{id_col}").alias("id"), F.col("row._hash").alias("h"), "fingerprint"), "simhash")
-    roots = _classes(fps)
+def one_per_class(marked: DataFrame, fps: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """Of marked (docs with _hash) the first row of each class, without _hash; fps (id, h,
+    fingerprint) names the rows, roots (fp, root) the classes."""
     member = fps.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"))
     best = member.join(roots, F.col("fingerprint") == F.col("fp")).groupBy("root").agg(F.min("best").alias("best"))
     copies = fps.groupBy("id", "h").agg(F.count(F.lit(1)).alias("copies"))
@@ -156,6 +152,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return alone.unionByName(repeated).drop("_hash")
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """One row of docs, with all its columns, for each class of near-duplicates: that of
+    the smallest id (nulls last; then the smallest hash of the text). Of rows that share
+    both, one stays. Texts without a word, and null texts, are one class."""
+    marked = docs.withColumn("_hash", F.xxhash64(text_col))
+    fps = staged(fingerprints(marked.select(F.struct(id_col, "_hash").alias("row"), text_col), "row", text_col, words).select(F.col(f"row.{id_col}").alias("id"), F.col("row._hash").alias("h"), "fingerprint"), "simhash")
+    return one_per_class(marked, fps, _classes(fps), id_col)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
