@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged
 from .hashing import BASE, mix
 
 SLOTS = 1 << 17
@@ -53,24 +54,29 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int = TRAIN_TEXTS) -> dict[str, list[np.ndarray]]:
-    """Presence vectors by language: of each language the distinct texts of the smallest
-    hashes, texts / languages of them at most. Only hashes and these vectors reach the driver."""
-    rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    hashed = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("hash"))
+    """Presence vectors by language: of each language the distinct texts with a letter of
+    the smallest hashes, texts / languages of them at most. Copies count as one text. Only
+    hashes and these vectors reach the driver."""
+    rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    hashed = staged(rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("hash")).distinct(), "labelled")
     counts = {r[0]: r[1] for r in hashed.groupBy("lang").agg(F.count(F.lit(1))).collect()}
     if not counts:
         return {}
     each = max(1, texts // len(counts))
-    # of twice the share that is needed, so that copies and chance leave enough
-    part = F.lit(0.0)
-    for lang, n in counts.items():
-        part = F.when(F.col("lang") == lang, min(1.0, 2 * each / n + 16 / n)).otherwise(part)
     uniform = F.shiftrightunsigned("hash", 11).cast("double") / float(1 << 53)
-    drawn = hashed.filter(uniform < part).distinct().orderBy("hash").limit(4 * texts).collect()
     wanted: dict[str, list[int]] = {}
-    for lang, h in sorted(((r["lang"], r["hash"] & 0xFFFFFFFFFFFFFFFF) for r in drawn), key=lambda x: x[1]):
-        if len(wanted.setdefault(lang, [])) < each:
-            wanted[lang].append(h - (1 << 64) if h >> 63 else h)
+    # of twice the share that is needed; of languages where chance leaves too few, of more
+    open_langs, factor = dict(counts), 1
+    while open_langs:
+        shares = [(lang, min(1.0, factor * (2 * each + 16) / n)) for lang, n in open_langs.items()]
+        part = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, part double"))
+        drawn: dict[str, list[int]] = {}
+        for r in hashed.join(part, "lang").filter((F.col("part") >= 1) | (uniform < F.col("part"))).select("lang", "hash").collect():
+            drawn.setdefault(r["lang"], []).append(r["hash"] & 0xFFFFFFFFFFFFFFFF)
+        for lang, hs in drawn.items():
+            if len(hs) >= min(each, open_langs[lang]):
+                wanted[lang] = [h - (1 << 64) if h >> 63 else h for h in sorted(hs)[:each]]
+        open_langs, factor = {lang: n for lang, n in open_langs.items() if lang not in wanted}, 2 * factor
     keys = {(lang, h) for lang, hs in wanted.items() for h in hs}
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +91,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
     chosen = [h for hs in wanted.values() for h in hs]
     few = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).filter(F.col("hash").isin(chosen))
-    got = {(r["lang"], r["hash"]): r["slots"] for r in few.mapInPandas(vectors, "lang string, hash long, slots binary").collect()}
+    got = {(r["lang"], r["hash"]): r["slots"] for r in few.mapInPandas(vectors, "lang string, hash long, slots binary").groupBy("lang", "hash").agg(F.min("slots").alias("slots")).collect()}
     return {lang: [np.frombuffer(got[lang, h], np.int32) for h in hs if (lang, h) in got] for lang, hs in sorted(wanted.items())}
 
 
