@@ -14,7 +14,19 @@ from pyspark.sql import functions as F
 from .common import new_path, staged, text_or_empty
 
 #: Goes with the rules below; a change of a rule needs a new version.
-RULE_VERSION = 1
+RULE_VERSION = 2
+
+#: A private key from BEGIN to the next END; without one (or with another BEGIN before it),
+#: over the header fields and base64 lines that follow. A run of 16 base64 characters, or a
+#: shorter one alone on its line, goes on; backslashes are those of escaped line ends.
+_BASE64 = r"[A-Za-z0-9+/=\\]"
+_GOES_ON = rf"\s*+(?:{_BASE64}{{16}}|(?<=[\r\n][ \t]{{0,8}}){_BASE64}++[ \t]*+(?:[\r\n]|\z))"
+PEM = (
+    r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,32}PRIVATE KEY-----"
+    r"|(?:\s*+(?:[A-Z][A-Za-z0-9]*-[A-Za-z0-9-]+|Comment): [^\r\n]*+){0,8}"
+    rf"[A-Za-z0-9+/=\\\s]*?(?!{_BASE64})(?!{_GOES_ON}))"
+)
 
 #: (kind, pattern, group whose length is tested, least length). Base kinds come first.
 RULES = [
@@ -22,7 +34,7 @@ RULES = [
     # runs below the least length never hold a longer one, so the length is in the pattern
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
-    ("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 1),
+    ("pem", PEM, 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("vcs", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
