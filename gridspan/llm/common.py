@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this process has put in the shared folder.
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def remove_staged(spark: SparkSession, keep: tuple[str, ...] = (), since: int = 0) -> None:
+    """Delete what was staged since so many paths ago, except the paths in keep. DataFrames
+    that read it can't be used any more."""
+    for path in [p for p in _written[since:] if p not in keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
+def staged_so_far() -> int:
+    return len(_written)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -41,3 +62,25 @@ def text_or_empty(col: str = "text") -> Column:
 
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def slices(part: pa.RecordBatch, column: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many rows, of which only the last may bring the
+    bytes in column to size or beyond."""
+    lengths = pc.fill_null(pc.binary_length(part.column(column)), 0).to_pylist()
+    begin = held = 0
+    for at, n in enumerate(lengths):
+        held += n
+        if held >= size or at + 1 - begin == rows:
+            yield part.slice(begin, at + 1 - begin)
+            begin, held = at + 1, 0
+    if begin < part.num_rows:
+        yield part.slice(begin)
