@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 from .components import connected_components
 
 #: (lowest bit, bits) of the segments: floor(MAX_BITS / len(SEGMENTS)) is 1.
@@ -137,28 +137,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("fingerprint"), "component_id")
 
 
-def one_per_class(marked: DataFrame, fps: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
-    """Of marked (docs with _hash) the first row of each class, without _hash; fps (id, h,
-    fingerprint) names the rows, roots (fp, root) the classes."""
+def one_per_class(marked: DataFrame, fps: DataFrame, roots: DataFrame, id_col: str, mark: str) -> DataFrame:
+    """Of marked (docs with a hash of the text in the column mark) the first row of each
+    class, without mark; fps (id, h, fingerprint) names the rows, roots (fp, root) the classes."""
     member = fps.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"))
     best = member.join(roots, F.col("fingerprint") == F.col("fp")).groupBy("root").agg(F.min("best").alias("best"))
     copies = fps.groupBy("id", "h").agg(F.count(F.lit(1)).alias("copies"))
     named = best.select(F.col("best.id").alias("b"), F.col("best.h").alias("bh"))
-    kept = named.join(copies, F.col("b").eqNullSafe(F.col("id")) & (F.col("bh") == F.col("h"))).select(F.col("b").alias("_id"), F.col("bh").alias("_h"), "copies")
-    kept = staged(kept, "kept")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
-    alone = marked.join(kept.filter("copies = 1").hint("shuffle_hash"), same, "left_semi")
-    repeated = marked.join(kept.filter("copies > 1").hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, "_hash"])
-    return alone.unionByName(repeated).drop("_hash")
+    kept = named.join(copies, F.col("b").eqNullSafe(F.col("id")) & (F.col("bh") == F.col("h")))
+    mine, hashed = fresh(marked, "kept_id"), fresh(marked, "kept_hash")
+    kept = staged(kept.select(F.col("b").alias(mine), F.col("bh").alias(hashed), "copies"), "kept")
+    same = F.col(id_col).eqNullSafe(F.col(mine)) & (F.col(mark) == F.col(hashed))
+    alone = marked.join(kept.filter("copies = 1").drop("copies").hint("shuffle_hash"), same, "left_semi")
+    repeated = marked.join(kept.filter("copies > 1").drop("copies").hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, mark])
+    return alone.unionByName(repeated).drop(mark)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """One row of docs, with all its columns, for each class of near-duplicates: that of
     the smallest id (nulls last; then the smallest hash of the text). Of rows that share
     both, one stays. Texts without a word, and null texts, are one class."""
-    marked = docs.withColumn("_hash", F.xxhash64(text_col))
-    fps = staged(fingerprints(marked.select(F.struct(id_col, "_hash").alias("row"), text_col), "row", text_col, words).select(F.col(f"row.{id_col}").alias("id"), F.col("row._hash").alias("h"), "fingerprint"), "simhash")
-    return one_per_class(marked, fps, _classes(fps), id_col)
+    mark = fresh(docs, "hash")
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    rows = marked.select(F.struct(F.col(id_col).alias("id"), F.col(mark).alias("h")).alias("row"), F.col(text_col).alias("text"))
+    fps = staged(fingerprints(rows, "row", "text", words).select("row.id", "row.h", "fingerprint"), "simhash")
+    return one_per_class(marked, fps, _classes(fps), id_col, mark)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
