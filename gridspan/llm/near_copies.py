@@ -1,38 +1,49 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by SimHash: five-word shingles, deletion-variant signatures, exact similarity.
 
-Candidates meet in bands of MinHash values: two texts of similarity s share a band with
-probability 1 - (1 - s ** ROWS) ** BANDS, which is 0.999993 at SHARE. Every candidate pair
-is then verified on the whole sets of shingles, so no pair below SHARE is ever linked.
+The index is that of simhash.py over longer signatures. A bit of two sets of shingles
+differs with the probability arccos(cosine) / pi, which is 0.151 for sets of one size and a
+Jaccard similarity of SHARE. Signatures are cut into few segments; texts are candidates if
+some segment agrees or differs by one bit, which one-wildcard variants find by equality.
+Every candidate pair is then verified on the whole sets, so no pair below SHARE is linked.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 from .components import connected_components
 from .hashing import BASE, PRINTED, mix, token_hashes
 from .simhash import one_per_class
 
 WORDS = 5
 SHARE = 0.8
-BANDS, ROWS = 30, 5
+#: A pair of similarity SHARE is left unfound with this probability, at any number of texts.
+MISS = 0.01
+#: Unlike texts differ in 32 of 64 further bits, at SHARE 10 differ; beyond so many a candidate isn't verified.
+CHECK_BITS = 22
+#: Lists of so many candidate texts (16 bytes each) are broadcast; longer ones are joined by a shuffle.
+SMALL = 1 << 19
 
 _random = np.random.default_rng(42)
-_FACTORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_MASKS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_FACTORS = _random.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
+_MASKS = _random.integers(0, 1 << 64, 256, np.uint64)
 
 
-def _folded(parts: list[np.ndarray]) -> np.ndarray:
-    h = np.zeros(len(parts[0]), np.uint64)
-    for p in parts:
-        h = mix(h * np.uint64(BASE) + p)
-    return h
+def plan_segments(texts: int) -> tuple[int, int]:
+    """(segments, bits of one). A segment has as many bits as the number of texts, so that a
+    text meets few others by chance however many there are, and there are as many segments
+    as MISS asks for."""
+    bits = max(12, math.ceil(math.log2(max(1, texts))))
+    differ = math.acos(2 * SHARE / (1 + SHARE)) / math.pi
+    hit = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
+    return math.ceil(math.log(MISS) / math.log(1 - hit)), bits
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -43,33 +54,57 @@ def shingles(text: str | None) -> np.ndarray:
         return tokens
     width = min(WORDS, len(tokens))
     n = len(tokens) - width + 1
-    return np.unique(_folded([tokens[k : k + n] for k in range(width)]))
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        h = mix(h * np.uint64(BASE) + tokens[k : k + n])
+    return np.unique(h)
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """One key for each band of MinHash values; none for no shingle."""
-    if not len(found):
-        return found
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+def majority(found: np.ndarray, words: int) -> np.ndarray:
+    """64 * words bits: each is 1 if it is set in more than half of the hashes made of found."""
+    ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(found), 1 << 12):  # bounded memory for any length
-        least = np.minimum(least, ((found[at : at + (1 << 12), None] ^ _MASKS) * _FACTORS).min(0))
-    return _folded([np.arange(BANDS, dtype=np.uint64), *least.reshape(BANDS, ROWS).T])
+        some = found[at : at + (1 << 12), None]
+        bits = np.unpackbits(mix((some ^ _MASKS[:words]) * _FACTORS[:words]).view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # as many as a byte can count
+            ones += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return (2 * ones > len(found)).astype(np.int64)
 
 
-def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
-    """(id, h, fingerprint, n, bands): texts with equal sets of n shingles share a fingerprint."""
+def _sketches(docs: DataFrame, segments: int, bits: int) -> DataFrame:
+    """(id, h, text) to (id, h, fingerprint, n, check, parts): texts with equal sets of n
+    shingles share a fingerprint, and parts are the values of the signature's segments."""
+    words = 1 + -(-segments * bits // 64)
+    values = 1 << np.arange(bits, dtype=np.int64)
 
-    @F.pandas_udf("struct<fingerprint:long,n:long,bands:array<long>>")
+    @F.pandas_udf("struct<fingerprint:long,n:long,check:long,parts:array<long>>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             rows = []
             for text in part:
                 found = shingles(text)
                 name = mix(mix(found).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(found)))
-                rows.append((int(name.view(np.int64)[0]), len(found), bands(found).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["fingerprint", "n", "bands"])
+                signature = majority(found, words)
+                check = np.packbits(signature[:64].astype(np.uint8), bitorder="little").view("<i8")[0]
+                parts = signature[64 : 64 + segments * bits].reshape(segments, bits) @ values if len(found) else values[:0]
+                rows.append((int(name.view(np.int64)[0]), len(found), int(check), parts))
+            yield pd.DataFrame(rows, columns=["fingerprint", "n", "check", "parts"])
 
-    return docs.select("id", "h", sketch(F.col(text_col)).alias("s")).select("id", "h", "s.*")
+    return docs.select("id", "h", sketch(F.col("text")).alias("s")).select("id", "h", "s.*")
+
+
+def _near(n: str, m: str, check: str, other: str) -> Column:
+    """Whether sizes and further bits let a pair be as similar as SHARE."""
+    sizes = (F.col(n) >= SHARE * F.col(m) - 1e-9) & (F.col(m) >= SHARE * F.col(n) - 1e-9)
+    return sizes & (F.bit_count(F.col(check).bitwiseXOR(F.col(other))) <= CHECK_BITS)
+
+
+def _keys(part: Column, value: Column, bits: int, bit: int) -> Column:
+    """Keys of one segment as it is, and with each bit that has this value wildcarded."""
+    tag = lambda place: F.shiftleft(part.cast("long"), 48).bitwiseOR(F.lit(place << 42))
+    whole = tag(63).bitwiseOR(value)
+    wild = [F.when(F.shiftrightunsigned(value, i).bitwiseAND(F.lit(1)) == bit, tag(i).bitwiseOR(value.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << i))))) for i in range(bits)]
+    return F.array_compact(F.array(whole, *wild))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -85,50 +120,68 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").filter(alike("_u", "_v")).drop("_u", "_v")
 
 
-def _roots(fps: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, h, fingerprint, n, bands) to (fp, root); texts (h, text) holds the texts.
-
-    In each band neighbours in the order of sizes are tested first. What these links join
-    needs no other test, so only pairs of different chains are left, and a group of n near
-    copies doesn't give n * n pairs.
-    """
-    distinct = staged(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
-    index = staged(distinct.select("fp", "n", F.explode("bands").alias("key")), "bands")
-    near = lambda small, large: F.col(small) >= SHARE * F.col(large) - 1e-9
-    w = Window.partitionBy("key").orderBy("n", "fp")
-    linked = index.select(F.col("fp").alias("u"), "n", F.lead("fp").over(w).alias("v"), F.lead("n").over(w).alias("m"))
-    pairs = staged(linked.filter(near("n", "m")).select("u", "v").distinct(), "neighbours")
+def _sets(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
+    """(node, shingles) of the texts in pairs; those of known aren't read again."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    if known is not None:
+        nodes = nodes.join(known.select(F.col("node").alias("fp")), "fp", "left_anti")
+    wanted = staged(distinct.join(nodes, "fp", "left_semi").select("fp", F.col("h").alias("_h")), name)
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted.hint("shuffle_hash")
 
     @F.pandas_udf("array<long>")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([shingles(t).view(np.int64) for t in part], dtype=object)
 
-    # whoever has a candidate at all has one next to it in some band
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    wanted = staged(distinct.join(nodes, "fp", "left_semi").select("fp", F.col("h").alias("_h")), "candidates")
-    held = texts.join(wanted.hint("shuffle_hash"), F.col("h") == F.col("_h")).select(F.col("fp").alias("node"), found("text").alias("shingles"))
-    sets = staged(held.dropDuplicates(["node"]), "shingles")
+    held = texts.join(wanted, F.col("h") == F.col("_h")).select(F.col("fp").alias("node"), found("text").alias("shingles"))
+    new = staged(held.groupBy("node").agg(F.first("shingles").alias("shingles")), f"{name}-shingles")
+    return new if known is None else known.unionByName(new)
+
 
+def _roots(fps: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
+    """(id, h, fingerprint, n, check, parts) to (fp, root); texts (h, text) holds the texts.
+
+    In each whole segment neighbours in the order of sizes are tested first. What these
+    links join needs no other test, so the index only gives pairs of different chains, and
+    a group of n near copies doesn't give n * n pairs. Keys that one chain alone holds are
+    dropped behind the same shuffle that joins the others.
+    """
+    columns = [F.first(c).alias(c) for c in ("n", "check", "parts")]
+    distinct = staged(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("h").alias("h"), *columns), "distinct")
+    cut = distinct.select("fp", "n", "check", F.posexplode("parts").alias("part", "value"))
+    w = Window.partitionBy("part", "value").orderBy("n", "fp")
+    after = [F.lead(c).over(w).alias(name) for c, name in (("fp", "v"), ("n", "m"), ("check", "other"))]
+    linked = cut.select(F.col("fp").alias("u"), "n", "check", *after).filter(_near("n", "m", "check", "other"))
+    pairs = staged(linked.select("u", "v").distinct(), "neighbours")
+    sets = _sets(pairs, distinct, texts, "neighbours-of")
     chains = staged(connected_components(_alike(pairs, sets)), "chains")
-    known = index.join(wanted.select("fp"), "fp", "left_semi").join(chains, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("chain"))
+
+    known = distinct.join(chains, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("chain"), F.col("n").cast("int").alias("n"), "check", "parts")
     known = staged(known, "chained")
-    several = known.groupBy("key").agg(F.min("chain").alias("a"), F.max("chain").alias("b")).filter("a < b").select("key")
-    open_rows = staged(known.join(several, "key", "left_semi"), "open")
-    side = lambda a, b: open_rows.select("key", F.col("fp").alias(a), F.col("chain").alias(f"{a}_chain"), F.col("n").alias(b))
-    met = side("u", "n").join(side("v", "m"), "key").filter((F.col("u_chain") < F.col("v_chain")) & near("n", "m") & near("m", "n"))
+    each = known.select("fp", "chain", "n", "check", F.posexplode("parts").alias("part", "value"))
+    side = lambda bit: each.select("fp", "chain", "n", "check", F.explode(_keys(F.col("part"), F.col("value"), bits, bit)).alias("key"), F.lit(bit).alias("side"))
+    key = Window.partitionBy("key")
+    shared = side(0).union(side(1)).withColumns({"a": F.min("chain").over(key), "b": F.max("chain").over(key)}).filter("a < b")
+    half = lambda bit, x: shared.filter(F.col("side") == bit).select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "chain", "n", "check")])
+    met = half(0, "l").join(half(1, "r"), "key").filter((F.col("l_chain") != F.col("r_chain")) & _near("l_n", "r_n", "l_check", "r_check"))
+    ends = {"u": F.least("l_fp", "r_fp"), "v": F.greatest("l_fp", "r_fp"), "a": F.col("l_chain"), "b": F.col("r_chain")}
+    met = met.select(*[c.alias(k) for k, c in ends.items()]).dropDuplicates(["u", "v"])
     tested = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    left = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("u_chain").alias("a"), F.col("v_chain").alias("b")).distinct().join(tested, ["u", "v"], "left_anti")
-    roots = connected_components(_alike(staged(left, "pairs"), sets).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    top = distinct.select("fp").join(chains, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("chain"))
-    return staged(top.join(roots, F.col("chain") == F.col("node"), "left").select("fp", F.coalesce("root", "chain").alias("root")), "roots")
+    left = staged(met.join(tested, ["u", "v"], "left_anti"), "pairs")
+    links = _alike(left, _sets(left, distinct, texts, "pairs-of", sets))
+    roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    top = known.select("fp", "chain").join(roots, F.col("chain") == F.col("node"), "left")
+    return staged(top.select("fp", F.coalesce("root", "chain").alias("root")), "roots")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs, with all its columns, for each class under links of SHARE or more:
     that of the smallest id (nulls last; then the smallest hash of the text). Of rows that
-    share both, one stays. Texts without a word, and null texts, are one class."""
-    marked = docs.withColumn("_hash", F.xxhash64(text_col))
-    named = marked.select(F.col(id_col).alias("id"), F.col("_hash").alias("h"), F.col(text_col).alias("text"))
-    fps = staged(_sketches(named, "text"), "sketches")
-    return one_per_class(marked, fps.select("id", "h", "fingerprint"), _roots(fps, named.select("h", "text")), id_col)
+    share both, one stays. Texts without a word, and null texts, are one class. Of pairs at
+    SHARE all but MISS are found, of more similar ones almost all."""
+    segments, bits = plan_segments(docs.count())
+    mark = fresh(docs, "hash")
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    named = marked.select(F.col(id_col).alias("id"), F.col(mark).alias("h"), F.col(text_col).alias("text"))
+    fps = staged(_sketches(named, segments, bits), "sketches")
+    return one_per_class(marked, fps.select("id", "h", "fingerprint"), _roots(fps, named.select("h", "text"), bits), id_col, mark)
