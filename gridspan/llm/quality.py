@@ -9,6 +9,7 @@ without replacement in proportion to the weights.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,47 +18,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 from .hashing import PRINTED, mix, token_hashes
 
-#: Buckets of the n-gram models.
-BUCKETS = 1 << 15
+#: Buckets of the n-gram models; a language's n-grams have their own, but for chance.
+BUCKETS = 1 << 18
 #: At most so many documents with a good label make the target model; those of the smallest hash.
 TARGET_DOCS = 50_000
-#: Values of the stratum column that get models of their own.
-STRATA = 64
+#: Slots of the languages' totals.
+SLOTS = 1 << 12
 #: Pseudo-counts that draw every bucket's ratio towards 1.
 PRIOR = 50
 SEED = 7
 
 
-def _grams(text: str | None) -> np.ndarray:
+def _slot(stratum: str | None) -> int:
+    """A null stratum is one by itself."""
+    return zlib.crc32(b"" if stratum is None else b"." + stratum.encode("utf-8", "surrogatepass"))
+
+
+def _grams(text: str | None, stratum: str | None) -> np.ndarray:
     """Buckets of the words and pairs of neighbouring words of a whole text."""
     words = token_hashes((text or "").encode("utf-8", "surrogatepass"), PRINTED)
     pairs = mix(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:])
-    return (np.concatenate((words, pairs)) >> np.uint64(7)).astype(np.int64) % BUCKETS
+    own = mix(np.concatenate((words, pairs)) ^ np.uint64(_slot(stratum) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return (own >> np.uint64(7)).astype(np.int64) % BUCKETS
 
 
 @dataclass
 class Model:
-    """N-gram counts by stratum and bucket of all documents and of the target documents,
-    the strata's numbers, and the ids of the target documents in order."""
+    """N-gram counts by bucket, and their totals by a stratum's slot behind them, of all
+    documents and of the target documents, and the ids of the target documents in order."""
 
     raw: np.ndarray
     target: np.ndarray
-    strata: dict[str | None, int]
     ids: np.ndarray
 
-    def __post_init__(self) -> None:
-        self.scale = self.target.sum(1) / np.maximum(1, self.raw.sum(1))
-
     def log_weight(self, text: str | None, stratum: str | None, is_target: bool) -> float:
         """Sum over the n-grams of log target / raw probability. A document's own counts are
         left out of both models, or its rare n-grams would tell whether it was sampled."""
-        k = self.strata.get(stratum, 0)
-        grams, times = np.unique(_grams(text), return_counts=True)
-        expected = (self.raw[k, grams] - times) * self.scale[k]
-        seen = self.target[k, grams] - times * is_target
+        k = BUCKETS + _slot(stratum) % SLOTS
+        scale = self.target[k] / max(1, self.raw[k])
+        grams, times = np.unique(_grams(text, stratum), return_counts=True)
+        expected = (self.raw[grams] - times) * scale
+        seen = self.target[grams] - times * is_target
         return float((times * np.log((seen + PRIOR) / (np.maximum(0, expected) + PRIOR))).sum())
 
     def chosen(self, ids: pd.Series) -> np.ndarray:
@@ -69,18 +73,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The raw model counts every n-gram of every document. The target model counts those
     of the documents labelled quality 1 (of several labels all must agree), up to
-    target_docs of them. Both are kept apart for the STRATA most frequent values of
-    stratum_col, with one more for all others and null: else a language that the sample
-    happens to have less of would look bad. Only these sums and the sampled ids reach the
-    driver. Without good labels all weights are 1.
+    target_docs of them. Both are kept apart for every value of stratum_col, null too:
+    else a language that the sample happens to have less of would look bad. Only these
+    sums, of fixed number, and the sampled ids reach the driver. Without good labels all
+    weights are 1.
     """
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
     share = good.agg(F.avg(F.when(F.col("q") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
     picked = good.filter("q = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).select("doc_id")
-    frequent = docs.filter(F.col(stratum_col).isNotNull()).groupBy(stratum_col).count().orderBy(F.desc("count"), stratum_col).limit(STRATA).collect()
-    strata = {r[0]: n + 1 for n, r in enumerate(frequent)}
-    none = np.zeros((len(strata) + 1, BUCKETS), np.int64)
-    model = Model(none, none, strata, np.sort(np.array([r[0] for r in picked.collect()], np.int64)))
+    none = np.zeros(BUCKETS + SLOTS, np.int64)
+    model = Model(none, none, np.sort(np.array([r[0] for r in picked.collect()], np.int64)))
     if not len(model.ids):
         return model, 0.0
 
@@ -88,20 +90,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         raw, target = np.zeros_like(none), np.zeros_like(none)
         for part in parts:
             for text, stratum, is_target in zip(part["text"], part["stratum"], model.chosen(part["id"]), strict=True):
-                grams, times = np.unique(_grams(text), return_counts=True)
-                k = strata.get(stratum, 0)
-                raw[k, grams] += times
-                if is_target:
-                    target[k, grams] += times
-        k, seen = np.nonzero(raw)
-        yield pd.DataFrame({"stratum": k, "bucket": seen, "raw": raw[k, seen], "target": target[k, seen]})
-
-    counts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("stratum")).mapInPandas(count, "stratum long, bucket long, raw long, target long")
-    sums = counts.groupBy("stratum", "bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+                grams = _grams(text, stratum)
+                k = BUCKETS + _slot(stratum) % SLOTS
+                for table in (raw, target) if is_target else (raw,):
+                    np.add.at(table, grams, 1)
+                    table[k] += len(grams)
+        seen = np.flatnonzero(raw)
+        yield pd.DataFrame({"bucket": seen, "raw": raw[seen], "target": target[seen]})
+
+    counts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(stratum_col).cast("string").alias("stratum")).mapInPandas(count, "bucket long, raw long, target long")
+    sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = none.copy(), none.copy()
-    at = sums["stratum"].to_numpy(), sums["bucket"].to_numpy()
-    raw[at], target[at] = sums["raw"], sums["target"]
-    return Model(raw, target, strata, model.ids), float(share)
+    raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
+    return Model(raw, target, model.ids), float(share)
 
 
 def with_log_weight(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", name: str = "log_weight") -> DataFrame:
@@ -114,7 +115,7 @@ def with_log_weight(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             own = held.value
             yield pd.Series([own.log_weight(t, s, c) for t, s, c in zip(texts, strata, own.chosen(ids), strict=True)], dtype="float64")
 
-    return docs.withColumn(name, weight(F.col(id_col).cast("long"), F.col(text_col), F.col(stratum_col)))
+    return docs.withColumn(name, weight(F.col(id_col).cast("long"), F.col(text_col), F.col(stratum_col).cast("string")))
 
 
 def gumbel(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -158,26 +159,29 @@ def _within(left: DataFrame, k: int) -> float:
     raise ValueError("fewer rows than k")
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The kept rows of docs, with log_weight and gumbel_key (docs' own columns of these
-    names give way).
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """The drawn rows of docs: the columns keep (all by default), then the log weight and
+    the Gumbel key, named log_weight and gumbel_key or, where docs has such columns, with
+    underscores before.
 
     k documents are drawn; by default as many as are good rather than not: those whose
     weight times the share of good labels is 1/2 or more. Equal keys (repeated rows)
     stay or go together. Without good labels, or if k isn't below the rows, all stay.
-    Three passes over the texts: counts, weights for the k-th key, and the kept rows.
+    Two passes over the texts, for the counts and for the weights; the weighed rows are
+    then a table, of which the k-th key picks some.
     """
+    weight, key = fresh(docs, "log_weight"), fresh(docs, "gumbel_key")
     model, share = fit(docs, labels, id_col, text_col, stratum_col)
-    scored = with_log_weight(docs, model, id_col, text_col, stratum_col).withColumn("gumbel_key", F.col("log_weight") + gumbel(id_col, text_col))
-    keys = staged(scored.select(F.col("gumbel_key").alias("key"), "log_weight"), "gumbel-keys")
+    noisy = with_log_weight(docs, model, id_col, text_col, stratum_col, weight).withColumn(key, gumbel(id_col, text_col))
+    kept = docs.columns if keep is None else keep
+    scored = staged(noisy.select(*kept, weight, (F.col(weight) + F.col(key)).alias(key)), "weighed")
     if k is None:
         if share == 0:
             return scored
-        k = keys.filter(F.col("log_weight") + math.log(share) >= math.log(0.5)).count()
-    least = kth_largest(keys.select("key"), k)
-    return scored.filter(F.col("gumbel_key") >= F.lit(least)) if least is not None else scored.limit(0)
+        k = scored.filter(F.col(weight) + math.log(share) >= math.log(0.5)).count()
+    least = kth_largest(scored.select(F.col(key).alias("key")), k)
+    return scored.filter(F.col(key) >= F.lit(least)) if least is not None else scored.limit(0)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return kept.select("doc_id", "log_weight", "gumbel_key")
+    return resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
