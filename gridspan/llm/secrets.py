@@ -8,13 +8,12 @@ functions.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, staged, text_or_empty
-
-#: Goes with the rules below; a change of a rule needs a new version.
-RULE_VERSION = 2
+from .common import fresh, new_path, staged, text_or_empty
 
 #: A private key from BEGIN to the next END; without one (or with another BEGIN before it),
 #: over the header fields and base64 lines that follow. A run of 16 base64 characters, or a
@@ -40,6 +39,8 @@ RULES = [
     ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
 ]
 BASE_KINDS = ("assign", "access", "hex")
+#: A changed rule is another version, so nothing that older rules found is reused.
+RULE_VERSION = zlib.crc32(repr(RULES).encode()) >> 1
 
 LEDGER_SCHEMA = "blob string, rule_version int, spans array<struct<start:int,kind_no:int,end:int>>"
 
@@ -119,15 +120,16 @@ def redact(docs: DataFrame, ledger: str | None = None, path_col: str = "doc_id",
     The list of blobs with a secret is small beside the texts, which move to its side.
     """
     found = scan_incrementally(docs, ledger, path_col, text_col).filter(F.size("spans") > 0)
-    hits = staged(found.groupBy(F.col("blob").alias("_blob")).agg(F.max("spans").alias("_spans")), "secret-hits").hint("shuffle_hash")
+    blob, spans = fresh(docs, "blob"), fresh(docs, "spans")
+    hits = staged(found.groupBy(F.col("blob").alias(blob)).agg(F.max("spans").alias(spans)), "secret-hits").hint("shuffle_hash")
     text = F.col(text_col)
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
     )
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    joined = docs.join(hits, F.sha2(text, 256) == F.col("_blob"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(text)).select(docs.columns)
+    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    joined = docs.join(hits, F.sha2(text, 256) == F.col(blob), "left")
+    return joined.withColumn(text_col, F.when(F.col(spans).isNotNull(), clean).otherwise(text)).select(docs.columns)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
