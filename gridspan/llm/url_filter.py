@@ -84,17 +84,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         fits = (F.size("labels") >= n) & (F.length("path") >= length) & (F.col("host") != "")
         return F.when(fits, _digest(suffix, prefix))
 
-    # the first element, without a digest, stands for the row itself
-    cuts = F.array(F.lit(None).cast("string"), *[expression(n, k) for n, k in shapes])
-    numbered = F.filter(F.transform(cuts, lambda x, i: F.struct(i.alias("nth"), x.alias("expr"))), lambda s: (s["nth"] == 0) | s["expr"].isNotNull())
-    cut = urls.select("id", "host", "path", F.inline(numbered)).withColumn("hash_prefix", F.substring("expr", 1, PREFIX_DIGITS))
-    met = cut.join(table.drop("labels", "path_len"), "hash_prefix", "left")
+    cuts = F.array_compact(F.array(*[expression(n, k) for n, k in shapes])) if shapes else F.array().cast("array<string>")
+    cut = urls.select("id", "host", "path", F.explode(cuts).alias("expr")).withColumn("hash_prefix", F.substring("expr", 1, PREFIX_DIGITS))
+    met = cut.join(table.drop("labels", "path_len"), "hash_prefix").filter(F.col("expr") == F.col("digest"))
     name = F.concat("rule_host", "rule_path")
-    confirmed = F.when(
-        F.col("expr") == F.col("digest"),
-        F.struct(F.length(name).alias("n"), F.length("rule_host").alias("h"), name.alias("rule"), F.col("rule_verdict").alias("verdict")),
-    )
-    judged = met.groupBy("id", "host", "path").agg(F.max(confirmed).alias("best"), F.count_if(F.col("nth") == 0).alias("copies"))
+    confirmed = F.struct(F.length(name).alias("n"), F.length("rule_host").alias("h"), name.alias("rule"), F.col("rule_verdict").alias("verdict"))
+    rules_met = met.select("id", "host", "path", confirmed.alias("fits"), F.lit(0).alias("row"))
+    # each row itself, whether or not a rule fits it
+    rows = urls.select("id", "host", "path", F.lit(None).cast(rules_met.schema["fits"].dataType).alias("fits"), F.lit(1).alias("row"))
+    judged = rows.unionByName(rules_met).groupBy("id", "host", "path").agg(F.max("fits").alias("best"), F.sum("row").alias("copies"))
     return judged.select(
         F.col("id").alias(id_col),
         "host",
