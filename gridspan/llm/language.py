@@ -27,6 +27,8 @@ TRAIN_TEXTS = 2048
 LANDMARKS = 256
 RIDGE = 0.1
 UNDETERMINED = "und"
+#: Weights (slots times languages) that are gathered together, if one text hasn't more.
+TOGETHER = 1 << 21
 
 
 def present(text: str) -> np.ndarray:
@@ -139,9 +141,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for part in parts:
             lang, score = np.full(len(part), UNDETERMINED, object), np.zeros(len(part))
             able = [i for i, t in enumerate(part) if names and has_letter(t)]
-            for at in range(0, len(able), 256):
-                some = able[at : at + 256]
-                slots = [present(part.iloc[i]) for i in some]
+            while able:
+                some, slots, n = [], [], 0
+                while able and n * len(names) < TOGETHER:
+                    some.append(able.pop())
+                    slots.append(present(part.iloc[some[-1]]))
+                    n += len(slots[-1])
                 sizes = np.array([len(x) for x in slots])
                 sums = np.add.reduceat(table[np.concatenate(slots)], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0, dtype=np.float64)
                 answers = sums / np.sqrt(sizes)[:, None] + base
