@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 from .hashing import BASE, mix
 
 SPACE = "▁"
@@ -30,8 +30,10 @@ CACHE_WORDS, RECENT_WORDS = 300_000, 150_000
 PAIRS = 1 << 20
 #: Characters of a batch of words.
 BATCH = 1 << 18
-#: Documents encoded together.
-DOCS = 400
+#: Documents encoded together, and their characters, if one hasn't more.
+DOCS, CHARS = 400, 1 << 21
+#: Longer words are cut where no piece can lie across.
+LONG = 64
 NO_LIMIT = np.int64(1) << 40
 
 
@@ -114,12 +116,14 @@ class Codec:
             at = np.argsort(keys)
             if len(keys) > 1 and (np.diff(keys[at]) == 0).any():
                 raise ValueError("two pieces have the same hash")
-            self.by_length[length] = (keys[at], np.array([rank[p] for p in some], np.int64)[at])
+            codes = np.array([[ord(c) for c in p] for p in some], np.uint32).reshape(len(some), length)
+            self.by_length[length] = (keys[at], np.array([rank[p] for p in some], np.int64)[at], codes[at])
         self.longest = max(self.by_length, default=1)
         self.split_words = not any(SPACE in p.lstrip(SPACE) for p in order)
         self.words: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
         self.characters = frozenset("".join(order))
+        self.neighbours = frozenset(p[i : i + 2] for p in order for i in range(len(p) - 1))
         self.pair_keys, self.pair_fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
 
     @staticmethod
@@ -228,10 +232,11 @@ class Codec:
                 best[:, e] = best[:, e - 1] + self.unknown_score
             open_rows = np.arange(n)
             for k in sorted((k for k in self.by_length if k <= e), reverse=True):
-                keys, ranks = self.by_length[k]
+                keys, ranks, spelled = self.by_length[k]
                 probe = hashes[open_rows, e] - hashes[open_rows, e - k] * powers[k]
                 at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-                hit = keys[at] == probe
+                hit = np.flatnonzero(keys[at] == probe)
+                hit = hit[(codes[open_rows[hit], e - k : e] == spelled[at[hit]]).all(1)]  # the hash is no proof
                 rows, piece = open_rows[hit], ranks[at[hit]]
                 if not len(rows):
                     continue
@@ -317,6 +322,12 @@ class Codec:
             out.append(spaces[1:])
         return out
 
+    def _apart(self, word: str) -> list[str]:
+        """A word cut between any two neighbours that no piece holds, so that a text without
+        spaces is many short words instead of one long row."""
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.neighbours), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known, recent = self.words, self.recent
         cut = [self._cut(t) for t in texts]
@@ -327,7 +338,10 @@ class Codec:
         before = len(known)
         lines = {w: w.split("\n") for w in new if "\n" in w} if self.byte_ids and "\n" not in self.characters else {}
         todo = {p for parts in lines.values() for p in parts if p and p not in known} | (new - lines.keys())
-        self._learn(list(todo))
+        long = {w: self._apart(w) for w in todo if len(w) > LONG} if self.byte_ids else {}
+        self._learn(list({p for parts in long.values() for p in parts if p not in known} | (todo - long.keys())))
+        for w, parts in long.items():
+            known[w] = b"".join(map(known.__getitem__, parts))
         if lines:  # an unknown character: no piece reaches over it
             end = self._with_unknown("\n", np.array([-1]), np.array([1]))
             for w, parts in lines.items():
@@ -367,8 +381,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for part in parts:
-            for at in range(0, part.num_rows, DOCS):
-                some = part.slice(at, DOCS)
+            for some in slices(part, "text", DOCS, CHARS):
                 texts = some.column("text").to_pylist()
                 ids = own.encode(texts)
                 same = [own.decode(x) == t for x, t in zip(ids, texts, strict=True)]
