@@ -4,7 +4,8 @@ An id is cut into 8-bit chunks. Level 0 holds the lowest chunk of every id and a
 of those that go on; level 1 holds the next chunk of just these, and so on. A rank
 directory (ones before every 512th bit) leads from a position to its place one level up.
 A table of segments, each a run of documents in id order, is the file format; Spark
-writes it as Parquet and commits it.
+writes it as Parquet and commits it. The levels lie in the files as they are, neither
+compressed nor in a dictionary, so a token is read from its bytes without decoding others.
 """
 
 from __future__ import annotations
@@ -24,23 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, staged, text_or_empty
+from .common import new_path, slices, staged, text_or_empty
 
 END_ID = 0
 RANK_BITS = 512
 SEGMENT_SCHEMA = (
-    "shard string, segment int, doc_ids array<long>, doc_tokens array<long>, n_tokens long, "
+    "shard string, segment int, first_hash long, doc_ids array<long>, doc_tokens array<long>, n_tokens long, "
     "levels array<struct<chunks:binary,more:binary,ranks:binary>>"
 )
 _LEVEL = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
-SEGMENT_ARROW = pa.schema([("shard", pa.string()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("levels", pa.list_(_LEVEL))])
+SEGMENT_ARROW = pa.schema([("shard", pa.string()), ("segment", pa.int32()), ("first_hash", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("levels", pa.list_(_LEVEL))])
 #: Words that a worker keeps encoded: met more than once, and met once of late.
 CACHE_WORDS, RECENT_WORDS = 400_000, 200_000
 #: A word of Latin letters with its space: one piece for every byte-level pattern.
 PLAIN_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 #: Between a character that is neither white space nor part of it and a white space.
 SAFE_CUT = re.compile(r"(?<=[!-~¡-ɏ])(?=\s)")
-SEGMENT_DOCS = 400
+#: A segment ends with the document that makes it so many documents, or bytes of text.
+SEGMENT_DOCS, SEGMENT_BYTES = 400, 1 << 21
+#: Places of the token stream that a lookup puts in one cell.
+CELL = 1 << 20
 MARKS = '.,!?;:%&*$#|()"-'
 
 
@@ -234,28 +238,27 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     and text_col are read. No rows, no segments.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    ranged = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    ranged = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h")
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, enc, segment = uuid.uuid4().hex, encoder(vocabulary), 0
         for part in parts:
-            for at in range(0, part.num_rows, SEGMENT_DOCS):
-                some = part.slice(at, SEGMENT_DOCS)
+            for some in slices(part, "text", SEGMENT_DOCS, SEGMENT_BYTES):
                 ids = [np.append(x, np.array([end_id], x.dtype)) for x in enc(some.column("text").to_pylist())]
                 lengths = [len(x) for x in ids]
-                row = {"shard": shard, "segment": segment, "doc_ids": some.column("id").to_pylist(), "doc_tokens": lengths, "n_tokens": sum(lengths), "levels": pack(np.concatenate(ids))}
+                row = {"shard": shard, "segment": segment, "first_hash": some.column("h")[0].as_py(), "doc_ids": some.column("id").to_pylist(), "doc_tokens": lengths, "n_tokens": sum(lengths), "levels": pack(np.concatenate(ids))}
                 yield pa.RecordBatch.from_pylist([row], SEGMENT_ARROW)
                 segment += 1
 
-    ranged.mapInArrow(encode, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(encode, SEGMENT_SCHEMA).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
     """(shard, segment, start): ids before each segment. Running sums within a shard are
     distributed; over the shards, one row for every writing task, they are one small window."""
-    table = spark.read.schema(SEGMENT_SCHEMA).parquet(path).select("shard", "segment", "n_tokens", F.get("doc_ids", F.lit(0)).alias("id"))
-    shards = table.groupBy("shard").agg(F.sum("n_tokens").alias("total"), F.min(F.struct("segment", "id")).alias("first"))
-    before = F.sum("total").over(Window.orderBy(F.col("first.id").asc_nulls_first(), F.col("total").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    table = spark.read.schema(SEGMENT_SCHEMA).parquet(path).select("shard", "segment", "n_tokens", "first_hash", F.get("doc_ids", F.lit(0)).alias("id"))
+    shards = table.groupBy("shard").agg(F.sum("n_tokens").alias("total"), F.min(F.struct("segment", "id", "first_hash")).alias("first"))
+    before = F.sum("total").over(Window.orderBy(F.col("first.id").asc_nulls_first(), "first.first_hash", F.col("total").desc()).rowsBetween(Window.unboundedPreceding, -1))
     shards = shards.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
     inner = table.select("shard", "segment", F.coalesce(inside, F.lit(0)).alias("inside"))
@@ -285,8 +288,9 @@ def fetch_tokens(spark: SparkSession, path: str, places: list[int]) -> DataFrame
     """(place, id) of some places in the whole token stream; only segments that hold one
     of them are read, and only the bytes that lead to a token are looked at."""
     starts = spark.read.schema(SEGMENT_SCHEMA).parquet(path).select("shard", "segment", "n_tokens").join(segment_starts(spark, path), ["shard", "segment"])
-    wanted = spark.createDataFrame([(int(p),) for p in places], "place long").distinct()
-    at = wanted.join(starts, (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n_tokens")))
+    wanted = spark.createDataFrame([(int(p), int(p) // CELL) for p in places], "place long, cell long").distinct()
+    cells = F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("start") + F.col("n_tokens") - 1) / CELL)))
+    at = wanted.join(starts.withColumn("cell", cells), "cell").filter((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n_tokens")))
     table = spark.read.schema(SEGMENT_SCHEMA).parquet(path).select("shard", "segment", "levels").join(at.select("shard", "segment", "place", "start"), ["shard", "segment"])
 
     def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
