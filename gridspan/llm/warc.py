@@ -23,6 +23,9 @@ from .common import new_path, text_or_empty
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Bytes of payload that a file holds on average, and the pages that it holds at most.
+FILE_BYTES, FILE_PAGES = 1 << 25, 2000
+
 RECORD_SCHEMA = (
     "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, "
     "payload_digest string, payload_bytes long, block string, payload binary"
@@ -57,14 +60,19 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
     return F.concat(F.lit(f"WARC/1.1{CRLF}"), *[F.coalesce(x, F.lit("")) for x in lines], F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, records_per_file: int = 6000) -> None:
+def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, records_per_file: int | None = None) -> None:
     """Write a request, a response (or revisit) and a metadata record for every row.
 
     The payload is html in UTF-8 (null: empty). Of pages with equal payloads of at least
     least_bytes the one with the smallest page_id is the response and the others revisit
     it. Line breaks in a url are percent-encoded; a null url has no target header. Null
     page_ids get an empty id; repeated rows give repeated records. No rows, no records.
+    A file has records_per_file records at most; by default as many as make FILE_BYTES of
+    the pages' average, so that readers, who take a file whole, can hold it.
     """
+    if records_per_file is None:
+        average = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+        records_per_file = 3 * int(min(FILE_PAGES, max(1, FILE_BYTES // (average + 1))))
     rows = with_roles(pages, least_bytes)
     urn = lambda page, kind: F.concat(F.lit("<urn:capture:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(f":{kind}>"))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
