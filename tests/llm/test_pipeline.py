@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gridspan.llm import pieces, quality
 
-from .test_pairs_and_text import brute_components, brute_fingerprint
+from .test_near_copies import brute_kept
 from .test_secrets import brute
 
 
@@ -34,9 +34,7 @@ def test_stages_match_plain_python(spark, sf_dir):
     assert shares[0] > 0.95 and shares[1] < 0.2
 
     once = step("duplicates", kept)
-    ids = list(good)
-    classes = brute_components(ids, [brute_fingerprint(good[d]["text"]) for d in ids])
-    assert set(read(once)) == {d for d, c in zip(ids, classes, strict=True) if d == c}
+    assert set(read(once)) == brute_kept([(d, r["text"]) for d, r in good.items()])
 
     clean = step("benchmark", once)
     items = [words(i["text"]) for i in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist()]
@@ -82,3 +80,25 @@ def test_kth_largest(spark):
     for k in (1, 2, 3, 100, 250, 500, 802, 803):
         assert quality.kth_largest(keys, k) == sorted(values, reverse=True)[k - 1]
     assert quality.kth_largest(keys, 5000) == -1e300
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing names; then no rows at all."""
+    r = random.Random(8)
+    prose = [" ".join(r.choice(["sun", "moon", "rain", "tree", "hill", "lake", "river", "stone"]) for _ in range(40)) for _ in range(12)]
+    item = "what is the name of the longest river that runs through all of these seven countries"
+    rows = [(n, t, "en") for n, t in enumerate(prose)] + [(3, prose[3], "en"), (50, prose[4], None), (51, prose[5].replace("sun", "SUN"), "en")]
+    rows += [(60, None, None), (61, "", "en"), (None, " ", "en"), (70, f"{prose[6]} {item} {prose[7]}", "en"), (80, f"{prose[8]} {prose[9]} password = hunter2hunter2", "en"), (90, "long " * 60000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    clashing = ["_hash", "_spans", "_blob", "log_weight", "gumbel_key", "bad_id", "fp", "ids", "n_tokens"]
+    docs.withColumns({c: F.lit("own") for c in clashing}).write.parquet(str(tmp_path / "full/documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    for part in ("full", "none"):
+        spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / part / "labels.parquet"))
+        spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / part / "benchmark.parquet"))
+    out = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path / "full")).collect()}
+    assert set(out) == {*range(12), 60, 80, 90}
+    own = pieces.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {d: t for d, t, _ in reversed(rows)} | {60: "", 80: f"{prose[8]} {prose[9]} [SECRET]"}
+    assert {d: list(x.ids) for d, x in out.items()} == {d: own.library.encode(texts[d]) for d in out}
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
