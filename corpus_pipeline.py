@@ -1,8 +1,8 @@
 """The corpus pipeline: STAGES over documents, each written as Parquet and read again.
 
 quality       reject what importance resampling doesn't draw
-duplicates    keep one document of each class of near-duplicates: five-word shingles of
-              Jaccard similarity 0.8 or more
+duplicates    keep one document of each class of near-duplicates by SimHash signatures of
+              five-word shingles, verified to a Jaccard similarity of 0.8 or more
 benchmark     drop documents that hold a passage of a benchmark item
 secrets       replace secrets by a mark
 tokens        encode every whole text; the last stage returns ids instead of texts
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspan.llm import decontaminate, near_copies, pieces, quality, secrets
-from gridspan.llm.common import staged
+from gridspan.llm.common import new_path, remove_staged, staged_so_far
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shortest=decontaminate.SHORTEST)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. Each stage is a table in the shared folder; when the next
+    one is written, it and all that was staged on the way are deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        out = stage(spark, docs, sf_dir)
+        path = new_path(spark, f"stage-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        remove_staged(spark, keep=(path,), since=before)
     return docs
