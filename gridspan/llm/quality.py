@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .common import fresh, staged
 from .hashing import PRINTED, mix, token_hashes
 
-#: Buckets of the n-gram models; a language's n-grams have their own, but for chance.
-BUCKETS = 1 << 18
+#: Buckets of the n-gram models of one language.
+BUCKETS = 1 << 15
 #: At most so many documents with a good label make the target model; those of the smallest hash.
 TARGET_DOCS = 50_000
-#: Slots of the languages' totals.
+#: Slots of languages; those whose hashes meet in one share a model.
 SLOTS = 1 << 12
 #: Pseudo-counts that draw every bucket's ratio towards 1.
 PRIOR = 50
@@ -34,34 +34,41 @@ SEED = 7
 
 def _slot(stratum: str | None) -> int:
     """A null stratum is one by itself."""
-    return zlib.crc32(b"" if stratum is None else b"." + stratum.encode("utf-8", "surrogatepass"))
+    return zlib.crc32(b"" if stratum is None else b"." + stratum.encode("utf-8", "surrogatepass")) % SLOTS
 
 
 def _grams(text: str | None, stratum: str | None) -> np.ndarray:
-    """Buckets of the words and pairs of neighbouring words of a whole text."""
+    """Buckets of the words and pairs of neighbouring words of a whole text, behind those of
+    the slots before its own."""
     words = token_hashes((text or "").encode("utf-8", "surrogatepass"), PRINTED)
     pairs = mix(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:])
-    own = mix(np.concatenate((words, pairs)) ^ np.uint64(_slot(stratum) * 0x9E3779B97F4A7C15 % (1 << 64)))
-    return (own >> np.uint64(7)).astype(np.int64) % BUCKETS
+    return (np.concatenate((words, pairs)) >> np.uint64(7)).astype(np.int64) % BUCKETS + _slot(stratum) * BUCKETS
 
 
 @dataclass
 class Model:
-    """N-gram counts by bucket, and their totals by a stratum's slot behind them, of all
-    documents and of the target documents, and the ids of the target documents in order."""
+    """Counts of the n-grams of all documents and of the target documents, by bucket (in
+    order, where there is one), and the ids of the target documents in order."""
 
+    buckets: np.ndarray
     raw: np.ndarray
     target: np.ndarray
     ids: np.ndarray
 
+    def __post_init__(self) -> None:
+        totals = [np.bincount(self.buckets // BUCKETS, x, SLOTS) for x in (self.raw, self.target)]
+        self.scale = totals[1] / np.maximum(1, totals[0])
+
     def log_weight(self, text: str | None, stratum: str | None, is_target: bool) -> float:
         """Sum over the n-grams of log target / raw probability. A document's own counts are
         left out of both models, or its rare n-grams would tell whether it was sampled."""
-        k = BUCKETS + _slot(stratum) % SLOTS
-        scale = self.target[k] / max(1, self.raw[k])
         grams, times = np.unique(_grams(text, stratum), return_counts=True)
-        expected = (self.raw[grams] - times) * scale
-        seen = self.target[grams] - times * is_target
+        if not len(grams) or not len(self.buckets):
+            return 0.0
+        at = np.minimum(np.searchsorted(self.buckets, grams), len(self.buckets) - 1)
+        known = self.buckets[at] == grams
+        expected = (np.where(known, self.raw[at], 0) - times) * self.scale[_slot(stratum)]
+        seen = np.where(known, self.target[at], 0) - times * is_target
         return float((times * np.log((seen + PRIOR) / (np.maximum(0, expected) + PRIOR))).sum())
 
     def chosen(self, ids: pd.Series) -> np.ndarray:
@@ -75,34 +82,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     of the documents labelled quality 1 (of several labels all must agree), up to
     target_docs of them. Both are kept apart for every value of stratum_col, null too:
     else a language that the sample happens to have less of would look bad. Only these
-    sums, of fixed number, and the sampled ids reach the driver. Without good labels all
+    sums, at most BUCKETS for a language, and the sampled ids reach the driver. Without good labels all
     weights are 1.
     """
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
     share = good.agg(F.avg(F.when(F.col("q") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
     picked = good.filter("q = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).select("doc_id")
-    none = np.zeros(BUCKETS + SLOTS, np.int64)
-    model = Model(none, none, np.sort(np.array([r[0] for r in picked.collect()], np.int64)))
+    none = np.zeros(0, np.int64)
+    model = Model(none, none, none, np.sort(np.array([r[0] for r in picked.collect()], np.int64)))
     if not len(model.ids):
         return model, 0.0
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, target = np.zeros_like(none), np.zeros_like(none)
         for part in parts:
+            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for text, stratum, is_target in zip(part["text"], part["stratum"], model.chosen(part["id"]), strict=True):
-                grams = _grams(text, stratum)
-                k = BUCKETS + _slot(stratum) % SLOTS
-                for table in (raw, target) if is_target else (raw,):
-                    np.add.at(table, grams, 1)
-                    table[k] += len(grams)
-        seen = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": seen, "raw": raw[seen], "target": target[seen]})
+                grams, slot = _grams(text, stratum), _slot(stratum)
+                if slot not in held:
+                    held[slot] = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+                for table in held[slot] if is_target else held[slot][:1]:
+                    np.add.at(table, grams - slot * BUCKETS, 1)
+            for slot, (raw, target) in held.items():
+                seen = np.flatnonzero(raw)
+                yield pd.DataFrame({"bucket": seen + slot * BUCKETS, "raw": raw[seen], "target": target[seen]})
 
     counts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(stratum_col).cast("string").alias("stratum")).mapInPandas(count, "bucket long, raw long, target long")
-    sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = none.copy(), none.copy()
-    raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
-    return Model(raw, target, model.ids), float(share)
+    sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas().sort_values("bucket")
+    return Model(*(sums[c].to_numpy(np.int64) for c in ("bucket", "raw", "target")), model.ids), float(share)
 
 
 def with_log_weight(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", name: str = "log_weight") -> DataFrame:
