@@ -28,6 +28,8 @@ SHARE = 0.8
 MISS = 0.01
 #: Unlike texts differ in 32 of 64 further bits, at SHARE 10 differ; beyond so many a candidate isn't verified.
 CHECK_BITS = 22
+#: Keys that more index entries share are those of dense groups.
+DENSE = 64
 #: Lists of so many candidate texts (16 bytes each) are broadcast; longer ones are joined by a shuffle.
 SMALL = 1 << 19
 
@@ -37,10 +39,10 @@ _MASKS = _random.integers(0, 1 << 64, 256, np.uint64)
 
 
 def plan_segments(texts: int) -> tuple[int, int]:
-    """(segments, bits of one). A segment has as many bits as the number of texts, so that a
-    text meets few others by chance however many there are, and there are as many segments
-    as MISS asks for."""
-    bits = max(12, math.ceil(math.log2(max(1, texts))))
+    """(segments, bits of one). A segment's bits follow the number of texts, so that a text
+    meets about 30 others by chance in one however many there are, and there are as many
+    segments as MISS asks for."""
+    bits = max(12, math.ceil(math.log2(max(1, texts))) - 2)
     differ = math.acos(2 * SHARE / (1 + SHARE)) / math.pi
     hit = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
     return math.ceil(math.log(MISS) / math.log(1 - hit)), bits
@@ -93,10 +95,14 @@ def _sketches(docs: DataFrame, segments: int, bits: int) -> DataFrame:
     return docs.select("id", "h", sketch(F.col("text")).alias("s")).select("id", "h", "s.*")
 
 
-def _near(n: str, m: str, check: str, other: str) -> Column:
-    """Whether sizes and further bits let a pair be as similar as SHARE."""
-    sizes = (F.col(n) >= SHARE * F.col(m) - 1e-9) & (F.col(m) >= SHARE * F.col(n) - 1e-9)
-    return sizes & (F.bit_count(F.col(check).bitwiseXOR(F.col(other))) <= CHECK_BITS)
+def _sizes(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be as similar as SHARE."""
+    return (F.col(n) >= SHARE * F.col(m) - 1e-9) & (F.col(m) >= SHARE * F.col(n) - 1e-9)
+
+
+def _near(check: str, other: str) -> Column:
+    """Whether further bits, but for the lowest, let a pair be as similar as SHARE."""
+    return F.bit_count(F.col(check).bitwiseXOR(F.col(other)).bitwiseAND(F.lit(~1))) <= CHECK_BITS
 
 
 def _keys(part: Column, value: Column, bits: int, bit: int) -> Column:
@@ -138,37 +144,78 @@ def _sets(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, name: str, kn
     return new if known is None else known.unionByName(new)
 
 
+def _index_pairs(known: DataFrame, bits: int) -> DataFrame:
+    """(fp, chain, n, check, parts) to rows (u, v, a, b): texts u < v of the chains a and b
+    that meet under a key; and to rows with no v: u lies under a key of a dense group.
+
+    Keys that one chain alone holds are dropped, and dense ones set apart, behind the same
+    shuffle that joins the others.
+    """
+    each = known.select("fp", "chain", "check", F.posexplode("parts").alias("part", "value"))
+
+    def side(bit: int) -> DataFrame:  # the lowest bit of check tells the sides apart
+        check = F.col("check").bitwiseAND(F.lit(~1)).bitwiseOR(F.lit(bit))
+        return each.select("fp", "chain", check.alias("check"), F.explode(_keys(F.col("part"), F.col("value"), bits, bit)).alias("key"))
+
+    w = Window.partitionBy("key")
+    marks = {"a": F.min("chain").over(w), "b": F.max("chain").over(w), "held": F.count(F.lit(1)).over(w)}
+    shared = side(0).union(side(1)).withColumns(marks).filter("a < b")
+    half = lambda bit, x: shared.filter((F.col("held") <= DENSE) & (F.col("check").bitwiseAND(F.lit(1)) == bit)).select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "chain", "check")])
+    met = half(0, "l").join(half(1, "r"), "key").filter((F.col("l_chain") != F.col("r_chain")) & _near("l_check", "r_check"))
+    low = F.col("l_fp") < F.col("r_fp")
+    of = lambda x, y, name: F.when(low, F.col(x)).otherwise(F.col(y)).alias(name)
+    pairs = met.select(F.least("l_fp", "r_fp").alias("u"), F.greatest("l_fp", "r_fp").alias("v"), of("l_chain", "r_chain", "a"), of("r_chain", "l_chain", "b"))
+    none = F.lit(None).cast("long")
+    dense = shared.filter(F.col("held") > DENSE).select(F.col("fp").alias("u"), none.alias("v"), F.col("chain").alias("a"), none.alias("b"))
+    return staged(pairs.union(dense).distinct(), "met")
+
+
+def _dense_pairs(dense: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, a) texts of dense groups and their chains to (u, v, a, b): the pairs of different
+    chains that can be as similar as SHARE, by an exact prefix filter.
+
+    Two such sets share one of the n - ceil(SHARE n) + 1 rarest shingles of each, in any
+    fixed order. Shingles of one text, or one chain, give no pair, and a text that has too
+    many of its own drops out, so many strays around a group cost no more than themselves.
+    """
+    held = dense.join(sets, F.col("u") == F.col("node")).select("u", "a", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+    use = held.groupBy("x").agg(F.count(F.lit(1)).alias("uses"), F.min("a").alias("low"), F.max("a").alias("high"))
+    ranked = held.join(use, "x").withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy("uses", "x")))
+    first = ranked.filter((F.col("place") <= F.col("n") - F.ceil(SHARE * F.col("n") - 1e-9) + 1) & (F.col("low") < F.col("high")))
+    rare = staged(first.select("u", "a", "n", "x"), "rare")
+    left = rare.select("x", F.col("u").alias("l"), F.col("a").alias("c"), F.col("n").alias("n"))
+    right = rare.select("x", F.col("u").alias("r"), F.col("a").alias("d"), F.col("n").alias("m"))
+    met = left.join(right, "x").filter((F.col("l") < F.col("r")) & (F.col("c") != F.col("d")) & _sizes("n", "m"))
+    return met.select(F.col("l").alias("u"), F.col("r").alias("v"), F.col("c").alias("a"), F.col("d").alias("b")).distinct()
+
+
 def _roots(fps: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
     """(id, h, fingerprint, n, check, parts) to (fp, root); texts (h, text) holds the texts.
 
     In each whole segment neighbours in the order of sizes are tested first. What these
     links join needs no other test, so the index only gives pairs of different chains, and
-    a group of n near copies doesn't give n * n pairs. Keys that one chain alone holds are
-    dropped behind the same shuffle that joins the others.
+    a group of n near copies doesn't give n * n pairs.
     """
     columns = [F.first(c).alias(c) for c in ("n", "check", "parts")]
     distinct = staged(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("h").alias("h"), *columns), "distinct")
     cut = distinct.select("fp", "n", "check", F.posexplode("parts").alias("part", "value"))
     w = Window.partitionBy("part", "value").orderBy("n", "fp")
     after = [F.lead(c).over(w).alias(name) for c, name in (("fp", "v"), ("n", "m"), ("check", "other"))]
-    linked = cut.select(F.col("fp").alias("u"), "n", "check", *after).filter(_near("n", "m", "check", "other"))
+    linked = cut.select(F.col("fp").alias("u"), "n", "check", *after).filter(_sizes("n", "m") & _near("check", "other"))
     pairs = staged(linked.select("u", "v").distinct(), "neighbours")
     sets = _sets(pairs, distinct, texts, "neighbours-of")
     chains = staged(connected_components(_alike(pairs, sets)), "chains")
 
-    known = distinct.join(chains, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("chain"), F.col("n").cast("int").alias("n"), "check", "parts")
+    known = distinct.join(chains, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("chain"), "n", "check", "parts")
     known = staged(known, "chained")
-    each = known.select("fp", "chain", "n", "check", F.posexplode("parts").alias("part", "value"))
-    side = lambda bit: each.select("fp", "chain", "n", "check", F.explode(_keys(F.col("part"), F.col("value"), bits, bit)).alias("key"), F.lit(bit).alias("side"))
-    key = Window.partitionBy("key")
-    shared = side(0).union(side(1)).withColumns({"a": F.min("chain").over(key), "b": F.max("chain").over(key)}).filter("a < b")
-    half = lambda bit, x: shared.filter(F.col("side") == bit).select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "chain", "n", "check")])
-    met = half(0, "l").join(half(1, "r"), "key").filter((F.col("l_chain") != F.col("r_chain")) & _near("l_n", "r_n", "l_check", "r_check"))
-    ends = {"u": F.least("l_fp", "r_fp"), "v": F.greatest("l_fp", "r_fp"), "a": F.col("l_chain"), "b": F.col("r_chain")}
-    met = met.select(*[c.alias(k) for k, c in ends.items()]).dropDuplicates(["u", "v"])
+    met = _index_pairs(known.drop("n"), bits)
+    dense = met.filter("v is null").select("u", "a")
+    found = met.filter("v is not null")
+    of_dense = _sets(dense.select("u", F.col("u").alias("v")), distinct, texts, "dense", sets)
+    found = found.union(_dense_pairs(dense, of_dense)).distinct()
     tested = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    left = staged(met.join(tested, ["u", "v"], "left_anti"), "pairs")
-    links = _alike(left, _sets(left, distinct, texts, "pairs-of", sets))
+    left = staged(found.join(tested, ["u", "v"], "left_anti"), "pairs")
+    links = _alike(left, _sets(left, distinct, texts, "pairs-of", of_dense))
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     top = known.select("fp", "chain").join(roots, F.col("chain") == F.col("node"), "left")
     return staged(top.select("fp", F.coalesce("root", "chain").alias("root")), "roots")
