@@ -153,8 +153,7 @@ LOG = "ln(power(2, 10) * (least(1.0, s) * (1 - power(2, -10)) + power(2, -10)))
 )
 def _colors(spark, sf_dir):
     rows = combine.scaled(_groups(spark, sf_dir).withColumn("v", F.col("va")), "max")
-    shade = F.round(combine.log_scale(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("scaled"))), 10.0), 9)
-    return rows.select("xi", "yi", F.least(F.lit(255), F.floor(shade * 255)).cast("int").alias("color"))
+    return rows.select("xi", "yi", combine.color_index(F.col("scaled"), 0.0, 1.0, 10.0).alias("color"))
 
 
 @query("n13_low_to_high", "SELECT p_size, '#' || lower(lpad(to_hex(floor(p_size / 50.0 * 255)::BIGINT), 2, '0')) || '00' || lower(lpad(to_hex(floor(255 * (1 - p_size / 50.0))::BIGINT), 2, '0')) AS color FROM (SELECT DISTINCT p_size FROM part)")

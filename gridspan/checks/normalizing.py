@@ -92,17 +92,21 @@ def _rounds(spark, sf_dir):
     return bx.select("xi", F.round("bx", 9).alias("bias"))
 
 
+def _corrected(grid, bins, **settings):
+    bias_x, bias_y, done = normalize.balance(grid, bins, **settings)
+    rows = normalize.balanced(grid.select("xi", "yi", "v"), bias_x, bias_y)
+    return rows.select("xi", "yi", F.col("v").alias("balanced"), F.lit(done).alias("converged"))
+
+
 @query("n4_iterative_correction")
 def _balanced(spark, sf_dir):
-    grid = _dense(spark, sf_dir).withColumn("window", F.lit("genome"))
-    return normalize.iterative_correction(grid, ["window"], min_nz=2)
+    return _corrected(_dense(spark, sf_dir), (12, 12), min_nz=2)
 
 
 @query("n5_cool_balance")
 def _cool(spark, sf_dir):
     """The same correction with a square matrix's usual masks: the two nearest diagonals are left out."""
-    grid = normalize.ignore_diagonals(_dense(spark, sf_dir), 2).withColumn("window", F.lit("genome"))
-    return normalize.iterative_correction(grid, ["window"], min_nz=2, mad_max=5.0)
+    return _corrected(normalize.ignore_diagonals(_dense(spark, sf_dir), 2, (WIDE_SIZE, WIDE_SIZE)), (12, 12), min_nz=2, mad_max=5.0)
 
 
 BANDS = "least(x_pos + x_size - y_pos, x_pos - y_pos - y_size)"
@@ -157,7 +161,7 @@ def _copies(spark):
 @query("a17_ploidy_spots", f"WITH {COPIES_SQL} SELECT x.actual AS actual_x, y.actual AS actual_y, sum(CASE WHEN x.ploidy_group = y.ploidy_group THEN 1 ELSE 0 END)::BIGINT AS spots FROM pl x CROSS JOIN pl y GROUP BY ALL")
 def _spots(spark, sf_dir):
     c = _copies(spark)
-    return combine.ploidy_spots(c, c, inter_group=False)
+    return combine.ploidy_spots(c, c, keep_distinct_group=False)
 
 
 @query(
@@ -167,7 +171,7 @@ def _spots(spark, sf_dir):
 def _ploidy(spark, sf_dir):
     c = _copies(spark)
     n = views.contacts(spark, sf_dir).groupBy("chr_x", "chr_y").agg(F.count(F.lit(1)).alias("n"))
-    spots = combine.ploidy_spots(c, c, inter_group=False)
+    spots = combine.ploidy_spots(c, c, keep_distinct_group=False)
     joined = n.join(spots, (F.col("chr_x") == F.col("actual_x")) & (F.col("chr_y") == F.col("actual_y")))
     return joined.select("chr_x", "chr_y", F.round(F.when(F.col("spots") > 0, F.try_divide("n", "spots")).otherwise(0.0), 9).alias("v"))
 
@@ -196,14 +200,21 @@ def _best(spark, sf_dir):
     return sampling.representative(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size", F.col("p_partkey").alias("x")), ["p_size"])
 
 
+SAMPLE_ORDER = "CASE WHEN interval_id = 0 THEN 0 ELSE interval_id & -interval_id END DESC, interval_id"
+
+
 @query(
     "o3_annotation_samples",
-    f"WITH {SWEEP}, gs AS (SELECT * FROM sw WHERE type = 'gene' AND chr = 'chr0'), f AS (SELECT *, row_number() OVER (PARTITION BY desc_id ORDER BY CASE WHEN interval_id = 0 THEN 0 ELSE interval_id & -interval_id END DESC, interval_id) AS r FROM gs) SELECT desc_id, interval_id AS x FROM f WHERE r = 1 ORDER BY CASE WHEN interval_id = 0 THEN 0 ELSE interval_id & -interval_id END DESC, interval_id, desc_id LIMIT 20",
+    f"WITH {SWEEP}, f AS (SELECT *, row_number() OVER (PARTITION BY type, chr, desc_id ORDER BY {SAMPLE_ORDER}) AS r FROM sw) SELECT type, chr, desc_id, interval_id AS x FROM f WHERE r = 1",
 )
 def _annotation_samples(spark, sf_dir):
-    rows = ingest.line_sweep(views.annotations(spark, sf_dir), views.DIVIDEND).filter("type = 'gene' and chr = 'chr0'")
-    picked = sampling.take(rows.select("desc_id", F.col("interval_id").alias("x")), 1_000_000, "x", "desc_id")
-    return picked.orderBy(*sampling.coarse_first(), "desc_id").limit(20)
+    rows = ingest.line_sweep(views.annotations(spark, sf_dir), views.DIVIDEND).select("type", "chr", "desc_id", F.col("interval_id").alias("x"))
+    parts = [rows.filter((F.col("type") == t) & (F.col("chr") == c)) for t in ("gene", "exon") for c, *_ in views.CONTIGS]
+    picked = [sampling.take(p, 1_000_000, "x", "desc_id") for p in parts]
+    out = picked[0]
+    for p in picked[1:]:
+        out = out.union(p)
+    return out
 
 
 @query("o5_spaced_bins", f"WITH {CONTIGS}, s AS (SELECT greatest(10, sum(len) // 12)::BIGINT AS step FROM g) SELECT chr, ord, pos FROM (SELECT chr, ord, unnest(range(0, len - 10 + 1, step)) AS pos FROM g, s WHERE len >= 10) ORDER BY ord, pos LIMIT 12")
@@ -213,11 +224,11 @@ def _spaced(spark, sf_dir):
 
 @query(
     "j9_samples_and_bins",
-    f"WITH {CONTIGS}, {axis_sql(10)}, w AS (SELECT chr, index_pos AS pos, index_size AS size FROM ax WHERE chr = 'chr1'), s AS (SELECT DISTINCT 'chr' || (p_partkey % 4) AS chr, (p_partkey * 38971) % 950000 // 10000 AS pos, 3::BIGINT AS size FROM part WHERE p_partkey % 7 = 0) SELECT chr, pos, size, true AS is_sample FROM s WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.chr = s.chr AND s.pos < w.pos + w.size AND w.pos < s.pos + s.size) UNION ALL SELECT *, false FROM w",
+    f"WITH {CONTIGS}, {axis_sql(10)}, w AS (SELECT chr, index_pos AS pos, index_size AS size FROM ax WHERE chr IN ('chr1', 'chr2') AND index_pos < 50), s AS (SELECT DISTINCT 'chr' || (p_partkey % 4) AS chr, (p_partkey * 38971) % 950000 // 10000 AS pos, 3::BIGINT AS size FROM part) SELECT chr, pos, size, true AS is_sample FROM s WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.chr = s.chr AND s.pos < w.pos + w.size AND w.pos < s.pos + s.size) UNION ALL SELECT *, false FROM w",
 )
 def _apart(spark, sf_dir):
-    bins = axis.genome_axis(views.contigs(spark), 10).bins().filter("chr = 'chr1'").select("chr", F.col("index_pos").alias("pos"), F.col("index_size").alias("size"))
-    samples = views.annotations(spark, sf_dir).filter("desc_id % 7 = 0").select("chr", F.expr("start_bp div 10000").alias("pos"), F.lit(3).cast("long").alias("size")).distinct()
+    bins = axis.genome_axis(views.contigs(spark), 10).bins().filter("chr in ('chr1', 'chr2') and index_pos < 50").select("chr", F.col("index_pos").alias("pos"), F.col("index_size").alias("size"))
+    samples = views.annotations(spark, sf_dir).select("chr", F.expr("start_bp div 10000").alias("pos"), F.lit(3).cast("long").alias("size")).distinct()
     return sampling.without_overlap(samples, bins)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The smallest positive normal double; a maximum never falls below it.
@@ -47,54 +47,97 @@ def per(value: Column, total: Column, unit: float) -> Column:
     return F.when(total > 0, F.try_divide(F.lit(unit) * value, total)).otherwise(0.0)
 
 
-def ploidy_spots(contigs_x: DataFrame, contigs_y: DataFrame, distinct_group: bool = True, inter_group: bool = True, remove_others: bool = True, remove_intra: bool = True) -> DataFrame:
-    """(actual_x, actual_y, spots): how many pairs of displayed copies of two contigs are
-    taken to be real. Contigs: chr, actual, ploidy_group."""
-    side = lambda d, s: d.select(F.col("chr").alias(f"c{s}"), F.col("actual").alias(f"actual_{s}"), F.col("ploidy_group").alias(f"g{s}"))
+def ploidy_pairs(contigs_x: DataFrame, contigs_y: DataFrame, keep_distinct_group: bool = True, keep_inter_group: bool = True, remove_others: bool = True, remove_intra: bool = True) -> DataFrame:
+    """(chr_x, chr_y, actual_x, actual_y, valid) of all pairs of displayed copies. Contigs:
+    chr, actual, ploidy_group.
+
+    Two copies of one contig aren't a pair if remove_intra; copies in one group are, if
+    keep_inter_group; contigs of which no two copies share a group are, if
+    keep_distinct_group; all others are unless remove_others.
+    """
+    side = lambda d, s: d.select(F.col("chr").alias(f"chr_{s}"), F.col("actual").alias(f"actual_{s}"), F.col("ploidy_group").alias(f"g{s}"))
     pairs = side(contigs_x, "x").crossJoin(side(contigs_y, "y"))  # of contigs, not of data
     same = F.col("gx") == F.col("gy")
-    copies = (F.col("actual_x") == F.col("actual_y")) & (F.col("cx") != F.col("cy"))
-    valid = F.lit(False)
-    if distinct_group:
-        valid |= same
-    if inter_group:
-        valid |= ~same
-    if not remove_others:
-        valid = F.lit(True)
-    if remove_intra:
-        valid &= ~(copies & ~same) if inter_group else ~copies
-    return pairs.groupBy("actual_x", "actual_y").agg(F.sum(valid.cast("int")).alias("spots"))
-
-
-def value_range(values: DataFrame, column: str = "v") -> DataFrame:
-    """One row (low, high) of what isn't NaN; high is at least TINY."""
+    shared = F.max(same.cast("int")).over(Window.partitionBy("actual_x", "actual_y")) == 1
+    intra = (F.col("actual_x") == F.col("actual_y")) & (F.col("chr_x") != F.col("chr_y"))
+    valid = F.when(intra & F.lit(remove_intra), False).when(same & F.lit(keep_inter_group), True).when(~shared & F.lit(keep_distinct_group), True).otherwise(not remove_others)
+    return pairs.select("chr_x", "chr_y", "actual_x", "actual_y", valid.alias("valid"))
+
+
+def ploidy_spots(contigs_x: DataFrame, contigs_y: DataFrame, keep_distinct_group: bool = True, keep_inter_group: bool = True, remove_others: bool = True, remove_intra: bool = True) -> DataFrame:
+    """(actual_x, actual_y, spots): how many pairs of displayed copies of two contigs are
+    taken to be real."""
+    pairs = ploidy_pairs(contigs_x, contigs_y, keep_distinct_group, keep_inter_group, remove_others, remove_intra)
+    return pairs.groupBy("actual_x", "actual_y").agg(F.sum(F.col("valid").cast("int")).alias("spots"))
+
+
+def ploidy_divisors(contigs: DataFrame, correct: bool = True, **rules: bool) -> DataFrame:
+    """(chr_x, chr_y, spots) of displayed copies: what a bin's value is divided by; 0 for
+    pairs that aren't real. Without correct every pair counts as it is."""
+    pairs = ploidy_pairs(contigs, contigs, **rules)
+    if not correct:
+        return pairs.select("chr_x", "chr_y", F.lit(1).cast("long").alias("spots"))
+    spots = F.sum(F.col("valid").cast("int")).over(Window.partitionBy("actual_x", "actual_y"))
+    return pairs.select("chr_x", "chr_y", F.when(F.col("valid"), spots).otherwise(0).alias("spots"))
+
+
+def value_range(values: DataFrame, column: str = "v", bins: DataFrame | None = None, empty: float = 0.0) -> DataFrame:
+    """One row (low, high) of what isn't NaN; high is at least TINY. bins is one row with the
+    number of bins of the window: if values has fewer rows, the others hold empty."""
     seen = F.when(~F.isnan(column), F.col(column))
-    return values.agg(F.min(seen).alias("low"), F.greatest(F.lit(TINY), F.max(seen)).alias("high"))
+    found = values.agg(F.min(seen).alias("low"), F.greatest(F.lit(TINY), F.max(seen)).alias("high"), F.count(F.lit(1)).alias("_n"))
+    if bins is None:
+        return found.drop("_n")
+    absent = F.col("_n") < F.col("bins")
+    other = lambda f, c: F.when(absent, f(F.col(c), F.lit(empty))).otherwise(F.col(c)).alias(c)
+    return found.crossJoin(F.broadcast(bins)).select(other(F.least, "low"), other(F.greatest, "high"))  # single rows
 
 
-def scaled(values: DataFrame, how: str, column: str = "v") -> DataFrame:
+def scaled(values: DataFrame, how: str, column: str = "v", bins: DataFrame | None = None, empty: float = 0.0) -> DataFrame:
     """values with scaled: max divides by the greatest, abs by the greatest magnitude, and
-    minmax is (v + least) / (greatest - least), as documented numbers depend on that sign."""
+    minmax is (v + least) / (greatest - least), as documented numbers depend on that sign.
+    bins and empty account for bins that values has no row of."""
     v = F.col(column)
     if how == "dont":
         return values.withColumn("scaled", v)
-    joined = values.crossJoin(F.broadcast(value_range(values, column)))  # a single row
+    joined = values.crossJoin(F.broadcast(value_range(values, column, bins, empty)))  # a single row
     by = {"max": F.try_divide(v, F.col("high")), "abs": F.try_divide(v, F.greatest(F.abs("high"), F.abs("low"))), "minmax": F.try_divide(v + F.col("low"), F.col("high") - F.col("low"))}[how]
     return joined.withColumn("scaled", by).drop("low", "high")
 
 
-def log_scale(x: Column, base: float) -> Column:
-    """0..1 to 0..1 on a logarithmic scale of this base's strength; linear for 0."""
-    if base == 0:
-        return x
-    least = 1 / 2**base
-    return F.log(2**base * (F.least(F.lit(1.0), x) * (1 - least) + least)) / F.log(F.lit(2.0**base))
+def log_scale(x: Column, base: float, around_middle: bool = False) -> Column:
+    """0..1 to 0..1 on a logarithmic scale of this base's strength; linear for 0. Around the
+    middle, distances from 0.5 are scaled, for values with a sign."""
+    part = F.abs(x - 0.5) if around_middle else x
+    if base:
+        least = 1 / 2**base
+        part = F.log(2**base * (F.least(F.lit(1.0), part) * (1 - least) + least)) / F.log(F.lit(2.0**base))
+    return part * F.when(x > 0.5, 0.5).otherwise(-0.5) + 0.5 if around_middle else part
+
+
+def color_index(x: Column, low: float, high: float, base: float, colors: int = 256, around_middle: bool = False) -> Column:
+    """The palette's entry for a scaled value, within the colour range low..high; NaN takes
+    the background's, which is the first or, around the middle, that of 0.5."""
+    within = (x - low) / (high - low) if high != low else F.lit(0.0)
+    shade = F.when(F.isnan(x), log_scale(F.lit(0.5), base, True) if around_middle else F.lit(0.0)).otherwise(log_scale(within, base, around_middle))
+    return F.least(F.lit(colors - 1), F.floor(F.greatest(F.lit(0.0), F.round(F.coalesce(F.nanvl(shade, F.lit(0.0)), F.lit(0.0)) * (colors - 1), 9)))).cast("int")
+
+
+def palette(colors: int, low: float, high: float, base: float, around_middle: bool, spark: SparkSession) -> DataFrame:
+    """(place, color): the legend's entries, from low to high in 255 steps (of 1 at most)."""
+    step = max(1.0, high - low) / 255
+    at = F.lit(low) + F.col("id") * step
+    entries = spark.range(int((high - low) / step + 1e-9) + 1)
+    return entries.select(F.col("id").alias("place"), color_index(at, low, high, base, colors, around_middle).alias("color"))
 
 
-def color_index(x: Column, low: float, high: float, base: float, colors: int = 256) -> Column:
-    """The palette's entry for a scaled value, within the colour range low..high."""
-    within = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low))) if high > low else F.when(x > low, 1.0).otherwise(0.0)
-    return F.least(F.lit(colors - 1), F.floor(log_scale(within, base) * (colors - 1))).cast("int")
+def palette_ticks(scaled_values: DataFrame, low: float, high: float, column: str = "scaled") -> DataFrame:
+    """One row (data_low, data_high, range_low, range_high): where the data and the colour
+    range begin and end on a legend that holds both, from 0 to 1."""
+    r = value_range(scaled_values, column)
+    left, right = F.least("low", F.lit(low)), F.greatest("high", F.lit(high))
+    at = lambda c, name: F.try_divide(c - left, right - left).alias(name)
+    return r.select(at(F.col("low"), "data_low"), at(F.col("high"), "data_high"), at(F.lit(low), "range_low"), at(F.lit(high), "range_high"))
 
 
 def mixed_color(x: Column, low: str, high: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .combine import group_values
+from .count import fold, transposed
 from .normalize import trimmed_mean
 
 
@@ -31,21 +33,58 @@ def sample_boxes(grid: DataFrame, contigs: DataFrame, most: int | None) -> DataF
 
 
 def sample_counts(boxes: DataFrame, contacts: DataFrame, cell: int = 16, least: int = 0) -> DataFrame:
-    """boxes with n, the contacts enclosed by each (0: none). The range join has an equality
+    """boxes with n, the contacts enclosed by each (0: none), of the box's dataset if it names
+    one. The range join has an equality
     on the cells of both axes that a box lies in and a contact begins in."""
     cells = lambda s: F.explode(F.expr(f"sequence({s}0 div {cell}, ({s}1 - 1) div {cell})"))
     cut = boxes.withColumn("cx", cells("x")).withColumn("cy", cells("y"))
-    rows = contacts.select(F.col("chr_x").alias("_x"), F.col("chr_y").alias("_y"), "x_s", "x_e", "y_s", "y_e", "cnt", F.expr(f"x_s div {cell}").alias("_cx"), F.expr(f"y_s div {cell}").alias("_cy"))
+    each = [F.col("dataset").alias("_d")] if "dataset" in boxes.columns else []
+    rows = contacts.select(*each, F.col("chr_x").alias("_x"), F.col("chr_y").alias("_y"), "x_s", "x_e", "y_s", "y_e", "cnt", F.expr(f"x_s div {cell}").alias("_cx"), F.expr(f"y_s div {cell}").alias("_cy"))
     inside = (F.col("x_s") >= F.col("x0")) & (F.col("x_e") < F.col("x1")) & (F.col("y_s") >= F.col("y0")) & (F.col("y_e") < F.col("y1"))
-    met = cut.join(rows, (F.col("chr_x") == F.col("_x")) & (F.col("chr_y") == F.col("_y")) & (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")) & inside, "left")
+    met = cut.join(rows, (F.col("chr_x") == F.col("_x")) & (F.col("chr_y") == F.col("_y")) & (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")) & inside & (F.col("dataset") == F.col("_d") if each else F.lit(True)), "left")
     keys = boxes.columns
     return met.groupBy(*keys).agg(F.greatest(F.coalesce(F.sum("cnt"), F.lit(0)) - least, F.lit(0)).alias("n"))
 
 
+def _trimmed(counted: DataFrame, keys: list[str], least: int, quantile: float) -> DataFrame:
+    bands_of = counted.groupBy(*keys).agg(F.collect_list(F.col("n").cast("double")).alias("v"), F.first("room").alias("room"), F.first("height").alias("height"))
+    short = F.col("room") < (least - 1) * F.col("height")
+    return bands_of.select(*keys, F.when(short, 0.0).otherwise(trimmed_mean(F.col("v"), quantile)).alias("decay"))
+
+
 def decay(grid: DataFrame, contigs: DataFrame, contacts: DataFrame, least: int = 1, most: int | None = 200, quantile: float = 80.0) -> DataFrame:
     """(chr_x, chr_y, lo, hi, decay) of one dataset: the trimmed mean of the boxes of a band,
     0 where fewer than least boxes fit side by side."""
     counted = sample_counts(sample_boxes(grid, contigs, most), contacts)
-    bands_of = counted.groupBy("chr_x", "chr_y", "lo", "hi").agg(F.collect_list(F.col("n").cast("double")).alias("v"), F.first("room").alias("room"), F.first("height").alias("height"))
-    short = F.col("room") < (least - 1) * F.col("height")
-    return bands_of.select("chr_x", "chr_y", "lo", "hi", F.when(short, 0.0).otherwise(trimmed_mean(F.col("v"), quantile)).alias("decay"))
+    return _trimmed(counted, ["chr_x", "chr_y", "lo", "hi"], least, quantile)
+
+
+def group_decay(
+    grid: DataFrame, contigs: DataFrame, contacts: DataFrame, flipped: DataFrame, group_a: list[str], group_b: list[str], in_group: str = "sum", symmetry: str = "all", minus: int = 0, least: int = 1, most: int | None = 200, quantile: float = 80.0
+) -> DataFrame:
+    """(chr_x, chr_y, lo, hi, va, vb): the decay of each dataset in both orientations, folded
+    like counts, and the datasets of a group combined like counts.
+
+    Reads that no box tells apart are summed first. A band has most boxes, so the lists
+    that the trimmed means sort are bounded unless all boxes are asked for (None).
+    """
+    keys = ["chr_x", "chr_y", "lo", "hi"]
+    names = sorted({*group_a, *group_b})
+    boxes = sample_boxes(grid, contigs, most).withColumn("dataset", F.explode(F.array(*[F.lit(n) for n in names])))
+    sides = {"a": contacts} if symmetry == "all" else {"a": contacts, "b": transposed(flipped)}
+    found = None
+    for side, rows in sides.items():
+        summed = rows.groupBy("dataset", "chr_x", "chr_y", "x_s", "x_e", "y_s", "y_e").agg(F.sum("cnt").alias("cnt"))
+        part = _trimmed(sample_counts(boxes, summed, least=minus), [*keys, "dataset"], least, quantile)
+        part = part.select(*keys, "dataset", *[(F.col("decay") if s == side else F.lit(0.0)).alias(s) for s in ("a", "b")])
+        found = part if found is None else found.unionByName(part)
+    both = found.groupBy(*keys, "dataset").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    value = fold(F.col("a"), F.col("b"), symmetry)
+    return group_values(both, value, group_a, group_b, in_group, tuple(keys))
+
+
+def exported(bands_of: DataFrame, dividend: int) -> DataFrame:
+    """(chr_x, chr_y, from_bp, to_bp, a, b): decays (lo, hi, va, vb) per square megabase."""
+    width = (F.col("hi") - F.col("lo")) * F.lit(float(dividend))
+    per = lambda v: F.try_divide(1e6 * F.col(v), width * width)
+    return bands_of.select("chr_x", "chr_y", (F.col("lo") * dividend).alias("from_bp"), (F.col("hi") * dividend).alias("to_bp"), per("va").alias("a"), per("vb").alias("b"))

@@ -19,11 +19,16 @@ def coarse_first(x: str = "x") -> list[Column]:
 def take(rows: DataFrame, n: int, x: str = "x", key: str | None = None) -> DataFrame:
     """The first n rows in coarse order; of rows with one key the first counts."""
     if key is not None:
-        w = Window.partitionBy(key).orderBy(*coarse_first(x))
-        rows = rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+        rows = first_of(rows, x, key)
     return rows.orderBy(*coarse_first(x)).limit(n)
 
 
+def first_of(rows: DataFrame, x: str, key: str) -> DataFrame:
+    """Of rows with one key the first in coarse order."""
+    w = Window.partitionBy(key).orderBy(*coarse_first(x))
+    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
 def representative(rows: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     """Of each group the value that comes first in coarse order."""
     best = F.max_by(F.col(x), F.struct(two_power(F.col(x)), -F.col(x)))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .count import fold, transposed
+
 
 def value_range(counts: DataFrame) -> DataFrame:
     """(dataset, low, high, low_nz) of a track's bins."""
@@ -45,8 +47,16 @@ def overlapping(annotations: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def packed_rows(annotations: DataFrame, gap: int) -> DataFrame:
-    """(type, chr, desc_id, row): the first display row whose last annotation ends gap
-    before. Sequential within a type and contig, of which there are many."""
+    """(type, chr, desc_id, row): the first display row whose last annotation ends gap before.
+
+    Where an annotation begins gap after all before it have ended, every row is free and
+    packing starts anew, so contigs are cut there and the stretches are packed one by one.
+    """
+    w = Window.partitionBy("type", "chr").orderBy("start_bp", "end_bp", "desc_id")
+    reach = F.max("end_bp").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    free = F.coalesce((reach + gap <= F.col("start_bp")).cast("int"), F.lit(1))
+    cut = annotations.select("type", "chr", "desc_id", "start_bp", "end_bp").withColumn("_free", free)
+    cut = cut.withColumn("stretch", F.sum("_free").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_free")
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part, ends, rows = part.sort_values(["start_bp", "end_bp", "desc_id"]), [], []
@@ -56,7 +66,7 @@ def packed_rows(annotations: DataFrame, gap: int) -> DataFrame:
             rows.append(row)
         return part[["type", "chr", "desc_id"]].assign(row=rows)
 
-    return annotations.select("type", "chr", "desc_id", "start_bp", "end_bp").groupBy("type", "chr").applyInPandas(pack, "type string, chr string, desc_id long, row int")
+    return cut.groupBy("type", "chr", "stretch").applyInPandas(pack, "type string, chr string, desc_id long, row int")
 
 
 def axis_coverage(counts: DataFrame, axis: str) -> DataFrame:
@@ -70,9 +80,18 @@ def ranked(coverage: DataFrame) -> DataFrame:
 
 
 def over_datasets(counts: DataFrame, axis: str) -> DataFrame:
-    """(idx, lowest, highest) coverage of a slice among datasets."""
+    """(idx, lowest, highest) coverage of a slice among the datasets of counts; a dataset
+    with nothing in a slice has 0 there."""
     slices = counts.groupBy("dataset", F.col(axis).alias("idx")).agg(F.sum("n").alias("s"))
-    return slices.groupBy("idx").agg(F.min("s").alias("lowest"), F.max("s").alias("highest"))
+    return lowest_highest(slices, slices.select("dataset").distinct().agg(F.count(F.lit(1)).alias("datasets")), "idx", "s")
+
+
+def lowest_highest(values: DataFrame, datasets: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, lowest, highest) over one row per key and dataset at most; datasets is one row
+    with their number, and where one is absent the lowest value is 0."""
+    found = values.groupBy(key).agg(F.min(value).alias("lowest"), F.max(value).alias("highest"), F.count(F.lit(1)).alias("_n"))
+    some = F.col("_n") < F.col("datasets")
+    return found.crossJoin(F.broadcast(datasets)).select(key, F.when(some, F.least("lowest", F.lit(0))).otherwise(F.col("lowest")).alias("lowest"), "highest")  # a single row
 
 
 def leaf_tiles(low: int, high: int, most: int) -> list[tuple[int, int]]:
@@ -109,6 +128,63 @@ def background(counts: DataFrame, bins: DataFrame, least: int, ignore_cis: bool
     return rows.groupBy(F.col("yi").alias("idx")).agg(F.sum("n").alias("background"))
 
 
+def in_samples(contacts: DataFrame, samples: DataFrame, side: str, cell: int = 16) -> DataFrame:
+    """contacts with sample, once for each sample (sample, chr, low, high) that holds the
+    mate on this side. Samples are cut at cells of the contig, so that the range join has
+    an equality."""
+    cells = F.explode(F.expr(f"sequence(low div {cell}, greatest(low, high - 1) div {cell})"))
+    cut = samples.select("sample", F.col("chr").alias("_c"), F.col("low").alias("_l"), F.col("high").alias("_h"), cells.alias("_k"))
+    s, e = f"{side}_s", f"{side}_e"
+    return contacts.join(cut, (F.col(f"chr_{side}") == F.col("_c")) & (F.expr(f"{s} div {cell}") == F.col("_k")) & (F.col(s) >= F.col("_l")) & (F.col(e) < F.col("_h"))).drop("_c", "_l", "_h", "_k")
+
+
+def sample_coverage(contacts: DataFrame, samples: DataFrame, contigs: DataFrame, side: str, most: int | None = None) -> DataFrame:
+    """(dataset, sample, n): reads with one mate in a sample and the other anywhere on contigs
+    or, with most, in the fullest of the tiles that the contigs are halved to."""
+    other = "y" if side == "x" else "x"
+    spark = contacts.sparkSession
+    lengths = [(r["chr"], r["len"]) for r in contigs.collect()]  # contigs are few
+    tiles = [(f"{c}:{a}", c, a, b) for c, n in lengths for a, b in (leaf_tiles(0, n, most) if most else [(0, n)])]
+    regions = spark.createDataFrame(tiles, "sample string, chr string, low long, high long")
+    width = max([b - a for *_, a, b in tiles], default=1)
+    met = in_samples(contacts, samples, side).withColumnRenamed("sample", "_sample")
+    rows = in_samples(met, regions, other, max(1, width)).groupBy("dataset", F.col("_sample").alias("sample"), F.col("sample").alias("tile")).agg(F.sum("cnt").alias("n"))
+    return rows.groupBy("dataset", "sample").agg((F.max("n") if most else F.sum("n")).alias("n"))
+
+
+def folded_coverage(contacts: DataFrame, flipped: DataFrame, samples: DataFrame, contigs: tuple[DataFrame, DataFrame], side: str, symmetry: str, least: int, most: int | None = None) -> DataFrame:
+    """(dataset, sample, v): coverages of samples on one side and, with mates in exchanged
+    roles, of the flipped reads, folded. contigs are those of the other side and of its own."""
+    straight = sample_coverage(contacts, samples, contigs[0], side, most).withColumns({"a": F.col("n"), "b": F.lit(0).cast("long")})
+    if symmetry == "all":
+        both = straight
+    else:
+        turned = sample_coverage(transposed(flipped), samples, contigs[0], side, most).withColumns({"a": F.lit(0).cast("long"), "b": F.col("n")})
+        both = straight.unionByName(turned).groupBy("dataset", "sample").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return both.select("dataset", "sample", fold(F.col("a"), F.col("b"), symmetry, least).alias("v"))
+
+
+def associated_background(contacts: DataFrame, flipped: DataFrame, samples: DataFrame, bins: DataFrame, contigs: tuple[DataFrame, DataFrame], datasets: list[str], symmetry: str = "all", least: int = 0, thresholds: tuple[int, int] = (1, 1), most: int = 10, intersection: bool = True, ignore_cis: bool = True) -> DataFrame:
+    """(idx, background) of bins of x (idx, chr, actual, index_pos, index_size): the reads
+    between a bin and all samples (sample, chr, low, high) on y that are associated, which
+    are those full enough both over the whole of y on x and in the fullest tile of x on y.
+
+    contigs are those of x and of y (chr, len). Coverages combine datasets by the least
+    (intersection) or the greatest; the background sums them, in straight orientation.
+    """
+    number = contacts.sparkSession.createDataFrame([(len(datasets),)], "datasets long")
+    first = lowest_highest(folded_coverage(contacts, flipped, samples, (contigs[1], contigs[0]), "x", symmetry, least), number, "sample", "v")
+    second = lowest_highest(folded_coverage(contacts, flipped, samples, (contigs[0], contigs[1]), "y", symmetry, least, most), number, "sample", "v")
+    value = "lowest" if intersection else "highest"
+    full = samples.join(first.select("sample", F.col(value).alias("c0")), "sample", "left").join(second.select("sample", F.col(value).alias("c1")), "sample", "left")
+    full = full.filter((F.coalesce("c0", F.lit(0)) >= thresholds[0]) & (F.coalesce("c1", F.lit(0)) >= thresholds[1])).select("sample", "chr", "low", "high")
+    met = in_samples(contacts, full, "y")
+    if ignore_cis:
+        met = met.filter("chr_x <> chr_y")
+    places = bins.select(F.col("idx").alias("sample"), F.col("actual").alias("chr"), F.col("index_pos").alias("low"), (F.col("index_pos") + F.col("index_size")).alias("high"))
+    return in_samples(met.drop("sample"), places, "x").groupBy(F.col("sample").alias("idx")).agg(F.sum("cnt").alias("background"))
+
+
 def over_background(counts: DataFrame, bg: DataFrame) -> DataFrame:
     """counts with v, n over the background of the bin's slice of y, at least 1."""
     return counts.join(bg.withColumnRenamed("idx", "yi"), "yi", "left").withColumn("v", F.try_divide(F.col("n"), F.greatest(F.lit(1), F.coalesce("background", F.lit(0)))))

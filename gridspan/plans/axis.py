@@ -65,8 +65,9 @@ def render_area(area: tuple[int, int, int, int], size: tuple[int, int], margin:
 
 @dataclass(frozen=True)
 class Axis:
-    """grid: chr, ord, step, origin (position of the first bin in its contig), n (bins),
-    first (number of the first bin), stop (end of the last bin), offset (of the contig)."""
+    """grid: chr, actual (the contig that a displayed copy shows), ord, step, origin (position
+    of the first bin in its contig), n (bins), first (number of the first bin), stop (end of
+    the last bin), offset (of the contig)."""
 
     grid: DataFrame
 
@@ -84,8 +85,19 @@ class Axis:
         )
 
     def place(self, side: str) -> DataFrame:
-        """The grid with its columns named for one side of a join."""
-        return self.grid.select(*[F.col(c).alias(f"{side}_{c}") for c in ("chr", "step", "origin", "n", "first", "stop")])
+        """The grid with its columns named for one side of a join, by the contigs that reads
+        lie on: copies of a contig all get its reads."""
+        return self.grid.select(F.col("actual").alias(f"{side}_chr"), *[F.col(c).alias(f"{side}_{c}") for c in ("step", "origin", "n", "first", "stop")])
+
+    def side(self, s: str) -> DataFrame:
+        """Bins with their columns named for one side of a heatmap."""
+        copies = self.grid.select(F.col("chr").alias("_c"), F.col("actual").alias(f"actual_{s}"))
+        bins = self.bins().select(F.col("idx").alias(f"{s}i"), F.col("chr").alias(f"chr_{s}"), F.col("index_pos").alias(f"{s}_pos"), F.col("index_size").alias(f"{s}_size"))
+        return bins.join(copies, F.col(f"chr_{s}") == F.col("_c")).drop("_c")
+
+    def size(self) -> DataFrame:
+        """One row: the number of bins."""
+        return self.grid.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bins"))
 
 
 def offsets(contigs: DataFrame) -> DataFrame:
@@ -102,10 +114,13 @@ def genome_axis(contigs: DataFrame, size: int, cut_off: str = "larger", window:
     their own. At a contig's end: smaller keeps a shorter last bin, larger adds the rest to
     the bin before, skip drops it, fit_chrom_smaller and fit_chrom_larger change the contig
     to whole bins, cover_multiple lets the last bin run on and starts the next contig after
-    it. Contigs shorter than a bin vanish under smaller and larger unless show_small.
+    it. Contigs shorter than a bin vanish under smaller and larger unless show_small. A
+    column actual says which contig a displayed copy shows.
     """
     if cut_off not in CUT_OFF:
         raise ValueError(f"cut_off is none of {CUT_OFF}")
+    if "actual" not in contigs.columns:
+        contigs = contigs.withColumn("actual", F.col("chr"))
     b = F.lit(size).cast("long")
     whole = {"fit_chrom_smaller": F.expr(f"len div {size} * {size}"), "fit_chrom_larger": F.expr(f"(len + {size - 1}) div {size} * {size}")}
     placed = offsets(contigs.withColumn("len", whole.get(cut_off, F.col("len")))).withColumn("end", F.col("offset") + F.col("len"))
@@ -126,7 +141,7 @@ def genome_axis(contigs: DataFrame, size: int, cut_off: str = "larger", window:
     ends = {"smaller": F.least(full, F.col("len")), "larger": F.when(F.col("n") == F.col("all"), F.col("len")).otherwise(full)}
     rows = rows.filter("n > 0").withColumn("stop", ends.get(cut_off, full))
     first = F.coalesce(F.sum("n").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return Axis(rows.select("chr", "ord", b.alias("step"), "origin", "n", first.alias("first"), "stop", "offset"))
+    return Axis(rows.select("chr", "actual", "ord", b.alias("step"), "origin", "n", first.alias("first"), "stop", "offset"))
 
 
 def region_axis(regions: DataFrame) -> DataFrame:
