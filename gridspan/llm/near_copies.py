@@ -24,12 +24,15 @@ from .simhash import one_per_class
 
 WORDS = 5
 SHARE = 0.8
+#: Smaller sets are as similar as SHARE only if equal.
+LEAST = math.ceil(SHARE / (1 - SHARE) - 1e-9)
 #: A pair of similarity SHARE is left unfound with this probability, at any number of texts.
 MISS = 0.01
 #: Unlike texts differ in 32 of 64 further bits, at SHARE 10 differ; beyond so many a candidate isn't verified.
 CHECK_BITS = 22
-#: Keys that more index entries share are those of dense groups.
-DENSE = 64
+#: Keys that more index entries share are dense, and entries that differ in so few further
+#: bits from one of the largest chain under such a key are the group that makes it dense.
+DENSE, CORE_BITS = 64, 24
 #: Lists of so many candidate texts (16 bytes each) are broadcast; longer ones are joined by a shuffle.
 SMALL = 1 << 19
 
@@ -63,14 +66,16 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def majority(found: np.ndarray, words: int) -> np.ndarray:
-    """64 * words bits: each is 1 if it is set in more than half of the hashes made of found."""
+    """64 * words bits: each is 1 if it is set in more than half of the hashes made of found;
+    of two halves that of the first hash counts."""
     ones = np.zeros(64 * words, np.int64)
+    first = np.unpackbits(mix((found[:1, None] ^ _MASKS[:words]) * _FACTORS[:words]).view(np.uint8), bitorder="little")
     for at in range(0, len(found), 1 << 12):  # bounded memory for any length
         some = found[at : at + (1 << 12), None]
         bits = np.unpackbits(mix((some ^ _MASKS[:words]) * _FACTORS[:words]).view(np.uint8), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):  # as many as a byte can count
             ones += bits[k : k + 255].sum(0, dtype=np.uint8)
-    return (2 * ones > len(found)).astype(np.int64)
+    return (2 * ones + (first if len(found) else 0) > len(found)).astype(np.int64)
 
 
 def _sketches(docs: DataFrame, segments: int, bits: int) -> DataFrame:
@@ -145,28 +150,31 @@ def _sets(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, name: str, kn
 
 
 def _index_pairs(known: DataFrame, bits: int) -> DataFrame:
-    """(fp, chain, n, check, parts) to rows (u, v, a, b): texts u < v of the chains a and b
-    that meet under a key; and to rows with no v: u lies under a key of a dense group.
+    """(fp, chain, size, check, parts) to rows (u, v, a, b): texts u < v of the chains a and
+    b that meet under a key; and to rows with no v: u is one of the group of a dense key.
 
-    Keys that one chain alone holds are dropped, and dense ones set apart, behind the same
-    shuffle that joins the others.
+    Keys that one chain alone holds are dropped, and groups of dense ones set apart, behind
+    the same shuffle that joins the others. Whoever lies under a dense key without being
+    like the group meets all of it here.
     """
-    each = known.select("fp", "chain", "check", F.posexplode("parts").alias("part", "value"))
+    each = known.select("fp", "chain", "size", "check", F.posexplode("parts").alias("part", "value"))
 
     def side(bit: int) -> DataFrame:  # the lowest bit of check tells the sides apart
         check = F.col("check").bitwiseAND(F.lit(~1)).bitwiseOR(F.lit(bit))
-        return each.select("fp", "chain", check.alias("check"), F.explode(_keys(F.col("part"), F.col("value"), bits, bit)).alias("key"))
+        return each.select("fp", "chain", "size", check.alias("check"), F.explode(_keys(F.col("part"), F.col("value"), bits, bit)).alias("key"))
 
     w = Window.partitionBy("key")
-    marks = {"a": F.min("chain").over(w), "b": F.max("chain").over(w), "held": F.count(F.lit(1)).over(w)}
+    marks = {"a": F.min("chain").over(w), "b": F.max("chain").over(w), "held": F.count(F.lit(1)).over(w), "lead": F.max(F.struct("size", "chain", "check")).over(w)}
     shared = side(0).union(side(1)).withColumns(marks).filter("a < b")
-    half = lambda bit, x: shared.filter((F.col("held") <= DENSE) & (F.col("check").bitwiseAND(F.lit(1)) == bit)).select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "chain", "check")])
-    met = half(0, "l").join(half(1, "r"), "key").filter((F.col("l_chain") != F.col("r_chain")) & _near("l_check", "r_check"))
+    alike = F.bit_count(F.col("check").bitwiseXOR(F.col("lead.check")).bitwiseAND(F.lit(~1))) <= CORE_BITS
+    shared = shared.withColumn("core", (F.col("held") > DENSE) & alike)
+    half = lambda bit, x: shared.filter(F.col("check").bitwiseAND(F.lit(1)) == bit).select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "chain", "check", "core")])
+    met = half(0, "l").join(half(1, "r"), "key").filter((F.col("l_chain") != F.col("r_chain")) & ~(F.col("l_core") & F.col("r_core")) & _near("l_check", "r_check"))
     low = F.col("l_fp") < F.col("r_fp")
     of = lambda x, y, name: F.when(low, F.col(x)).otherwise(F.col(y)).alias(name)
     pairs = met.select(F.least("l_fp", "r_fp").alias("u"), F.greatest("l_fp", "r_fp").alias("v"), of("l_chain", "r_chain", "a"), of("r_chain", "l_chain", "b"))
     none = F.lit(None).cast("long")
-    dense = shared.filter(F.col("held") > DENSE).select(F.col("fp").alias("u"), none.alias("v"), F.col("chain").alias("a"), none.alias("b"))
+    dense = shared.filter("core").select(F.col("fp").alias("u"), none.alias("v"), F.col("chain").alias("a"), none.alias("b"))
     return staged(pairs.union(dense).distinct(), "met")
 
 
@@ -198,7 +206,8 @@ def _roots(fps: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
     """
     columns = [F.first(c).alias(c) for c in ("n", "check", "parts")]
     distinct = staged(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("h").alias("h"), *columns), "distinct")
-    cut = distinct.select("fp", "n", "check", F.posexplode("parts").alias("part", "value"))
+    able = distinct.filter(F.col("n") >= LEAST)
+    cut = able.select("fp", "n", "check", F.posexplode("parts").alias("part", "value"))
     w = Window.partitionBy("part", "value").orderBy("n", "fp")
     after = [F.lead(c).over(w).alias(name) for c, name in (("fp", "v"), ("n", "m"), ("check", "other"))]
     linked = cut.select(F.col("fp").alias("u"), "n", "check", *after).filter(_sizes("n", "m") & _near("check", "other"))
@@ -207,8 +216,9 @@ def _roots(fps: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
     chains = staged(connected_components(_alike(pairs, sets)), "chains")
 
     known = distinct.join(chains, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("chain"), "n", "check", "parts")
-    known = staged(known, "chained")
-    met = _index_pairs(known.drop("n"), bits)
+    sizes = known.groupBy("chain").agg(F.count(F.lit(1)).alias("size"))
+    known = staged(known.join(sizes, "chain"), "chained")
+    met = _index_pairs(known.filter(F.col("n") >= LEAST), bits)
     dense = met.filter("v is null").select("u", "a")
     found = met.filter("v is not null")
     of_dense = _sets(dense.select("u", F.col("u").alias("v")), distinct, texts, "dense", sets)
