@@ -253,3 +253,23 @@ def _ticks(spark, sf_dir):
     rows = heatmap(spark, sf_dir, between_group="sub", dense=True).values()
     found = combine.palette_ticks(rows, -2.0, 1.0)
     return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+@query(
+    "k6_binomial_tracks",
+    f"""WITH {BINS}, u AS (SELECT xi, 'A' AS g, a AS v FROM d UNION ALL SELECT xi, 'B', b FROM d), s AS (SELECT g, xi, sum(v)::DOUBLE AS c, count(*) FILTER (v > 0) AS f FROM u WHERE xi IN (SELECT xi FROM d WHERE a > 0 OR b > 0) GROUP BY ALL)
+SELECT 'coverage ' || g AS track, xi AS idx, c AS value FROM s UNION ALL SELECT 'non-empty bins ' || g, xi, f::DOUBLE FROM s""",
+)
+def _slices(spark, sf_dir):
+    return heatmap(spark, sf_dir, normalize="radicl-seq").slice_tracks()
+
+
+@query(
+    "k5_heatmap_table",
+    f"""WITH {BINS}, q AS (SELECT *, a - b AS v FROM d), e AS (SELECT greatest(abs(max(v)), abs(min(v))) AS m FROM q), s AS (SELECT *, v / m AS sc, (v / m + 1) / 2 AS s FROM q, e)
+SELECT chr_x, x_pos * 10000 AS start_x, (x_pos + x_size) * 10000 AS end_x, chr_y, y_pos * 10000 AS start_y, (y_pos + y_size) * 10000 AS end_y, round(sc, 9) AS score_total, round(s, 9) AS ranged, a AS score_a, b AS score_b,
+       least(255, floor(greatest(0, round({_SHADE}, 9) * 255)))::INT AS color FROM s WHERE a > 0 OR b > 0""",
+)
+def _table(spark, sf_dir):
+    rows = heatmap(spark, sf_dir, between_group="sub", scale="abs").table(-1.0, 1.0)
+    return rows.withColumns({c: F.round(c, 9) for c in ("score_total", "ranged")})

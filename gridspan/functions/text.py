@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,4 +43,4 @@ def simplified_path(path: Column) -> Column:
 
 def gff_attribute(attributes: Column, name: str) -> Column:
     """The value of a key in `key=value` lines; empty if there is none."""
-    return F.regexp_extract(attributes, rf"(?m)^{name}=(.*)$", 1)
+    return F.regexp_extract(attributes, rf"(?m)^{re.escape(name)}=(.*)$", 1)

@@ -46,6 +46,11 @@ def overlapping(annotations: DataFrame, regions: DataFrame) -> DataFrame:
     return annotations.join(r, (F.col("chr") == F.col("_c")) & (F.col("start_bp") < F.col("high")) & (F.col("end_bp") > F.col("low")), "left_semi").dropDuplicates(["type", "desc_id"])
 
 
+def in_order(annotations: DataFrame) -> DataFrame:
+    """Annotations by contig, start, end and number, as their list shows them."""
+    return annotations.orderBy("chr", "start_bp", "end_bp", "desc_id")
+
+
 def packed_rows(annotations: DataFrame, gap: int) -> DataFrame:
     """(type, chr, desc_id, row): the first display row whose last annotation ends gap before.
 

@@ -258,6 +258,40 @@ class Heatmap:
         """values() with color, the palette's entry."""
         return self.values().withColumn("color", combine.color_index(F.col("scaled"), low, high, base, colors, self.between_group == "sub"))
 
+    def table(self, low: float = 0.0, high: float = 1.0, base: float = 10.0, colors: int = 256) -> DataFrame:
+        """What a viewer shows of each bin: places (base pairs), score_a and score_b of the
+        groups, score_total, ranged (the score within the colour range) and color."""
+        groups = self.normalized().select("xi", "yi", F.col("va").alias("score_a"), F.col("vb").alias("score_b"))
+        rows = self.colored(low, high, base, colors).join(groups, ["xi", "yi"], "left")
+        at = lambda s, end: ((F.col(f"{s}_pos") + (F.col(f"{s}_size") if end else 0)) * self.dividend).alias(f"{'end' if end else 'start'}_{s}")
+        ranged = (F.col("scaled") - low) / (high - low) if high != low else F.lit(0.0)
+        filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("score_a", "score_b")]
+        return rows.select("chr_x", at("x", False), at("x", True), "chr_y", at("y", False), at("y", True), F.col("scaled").alias("score_total"), ranged.alias("ranged"), "color", *filled)
+
+    def slice_tracks(self) -> DataFrame:
+        """(track, idx, value) that the normalisation looks at, by slice: coverage and filled
+        bins of each group, the background of associated slices, or biases of both axes."""
+        groups = {"va": "A", "vb": "B"}
+        if self.normalize == "radicl-seq":
+            axis, parts, rows = "xi" if self.by_column else "yi", [], self.corrected()
+            for v, group in groups.items():
+                found = normalize.slice_coverage(rows.select(axis, F.col(v).alias("v")), axis)
+                for column, name in (("coverage", "coverage"), ("filled", "non-empty bins")):
+                    parts.append(found.select(F.lit(f"{name} {group}").alias("track"), F.col(axis).alias("idx"), F.col(column).cast("double").alias("value")))
+        elif self.normalize == "grid-seq":
+            parts = [self.background().select(F.lit("background").alias("track"), "idx", F.col("background").cast("double").alias("value"))]
+        elif self.normalize in ("ice", "cool-ice"):
+            parts = []
+            for v, (bias_x, bias_y, _) in self.biases().items():
+                for axis, name, bias in (("xi", "bx", bias_x), ("yi", "by", bias_y)):
+                    parts.append(bias.select(F.lit(f"bias {axis[0]} {groups[v]}").alias("track"), F.col(axis).alias("idx"), F.col(name).alias("value")))
+        else:
+            raise ValueError(f"{self.normalize} looks at no slices")
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     def export(self) -> DataFrame:
         """chr_x, start_x, end_x, chr_y, start_y, end_y (base pairs), score."""
         at = lambda s, end: ((F.col(f"{s}_pos") + (F.col(f"{s}_size") if end else 0)) * self.dividend).alias(f"{'end' if end else 'start'}_{s}")

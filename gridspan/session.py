@@ -84,6 +84,21 @@ CHOICES: dict[str, tuple[str, ...]] = {
 }
 
 
+def flattened(values: dict[str, Any], prefix: str = "") -> dict[str, Any]:
+    out: dict[str, Any] = {}
+    for key, value in values.items():
+        name = f"{prefix}{key}"
+        if isinstance(value, dict) and "val" in value:
+            out[name] = value["val"]
+        elif isinstance(value, dict) and "val_min" in value and "val_max" in value:
+            out[name] = [value["val_min"], value["val_max"]]
+        elif isinstance(value, dict):
+            out |= flattened(value, "" if not prefix and key == "settings" else f"{name}.")
+        else:
+            out[name] = value
+    return out
+
+
 class Session:
     """Values by dotted key over the defaults, with a bounded history."""
 
@@ -91,6 +106,7 @@ class Session:
         self.values = {**copy.deepcopy(DEFAULTS), **(values or {})}
         self.before: list[dict[str, Any]] = []
         self.after: list[dict[str, Any]] = []
+        self.saved = copy.deepcopy(self.values)
 
     def get(self, key: str) -> Any:
         return self.values[key]
@@ -138,10 +154,25 @@ class Session:
     def interface(self) -> dict[str, Any]:
         return {k.removeprefix("interface."): v for k, v in self.values.items() if k.startswith("interface.")}
 
+    def reset(self, prefix: str = "") -> None:
+        """Defaults again for all keys that begin with prefix, as one step of the history."""
+        wanted = {k: v for k, v in copy.deepcopy(DEFAULTS).items() if k.startswith(prefix)}
+        if any(self.values.get(k) != v for k, v in wanted.items()):
+            self.before = [*self.before, copy.deepcopy(self.values)][-int(self.values["interface.max_undo"]) or len(self.before) + 1 :]
+            self.after = []
+            self.values |= wanted
+
+    def can_save(self) -> bool:
+        """Whether anything has changed since the last to_json()."""
+        return self.values != self.saved
+
     def to_json(self) -> str:
+        self.saved = copy.deepcopy(self.values)
         return json.dumps(self.values, sort_keys=True)
 
     @classmethod
     def from_json(cls, text: str) -> Session:
-        """Keys that an older session lacks have their defaults."""
-        return cls(json.loads(text))
+        """Keys that an older session lacks have their defaults. Nested objects are read too:
+        their keys are joined by dots, without a leading `settings`, an object with `val` is
+        that value, and one with `val_min` and `val_max` is the list of both."""
+        return cls(flattened(json.loads(text)))

@@ -87,3 +87,51 @@ def test_mirrored_bins_exchange_annotation_filters(spark):
     assert [(r.xi, r.yi, r.n) for r in h.counts().filter("n > 0").orderBy("xi").collect()] == [(0, 2, 1)]
     both = Heatmap(reads, contigs, 1, ["m"], symmetry="mirror", filters=[F.expr("cat_x[0] = 0")], scale="dont")
     assert both.counts().filter("n > 0").count() == 2
+
+
+def test_nested_sessions_and_reset():
+    from gridspan.session import Session
+
+    old = Session.from_json('{"settings": {"interface": {"max_undo": {"val": 3, "val_max": 9}, "squared_bins": false}, "filters": {"mapping_q": {"val_min": 1, "val_max": 7}, "symmetry": "sym"}}, "dividend": 10}')
+    assert (old.get("interface.max_undo"), old.get("interface.squared_bins"), old.get("filters.mapping_q"), old.get("filters.symmetry"), old.get("dividend")) == (3, False, [1, 7], "sym", 10)
+    assert old.get("filters.directionality") == "all" and not old.can_save()
+    old.set("filters.symmetry", "mirror")
+    assert old.can_save()
+    old.to_json()
+    assert not old.can_save()
+    old.reset("filters.")
+    assert old.get("filters.symmetry") == "all" and old.get("interface.max_undo") == 3
+    assert old.undo() and old.get("filters.symmetry") == "mirror"
+
+
+def test_runs_of_lines_over_blocks(spark):
+    from gridspan.plans.files import file_islands
+
+    names = ["a", "a", "b", "b", "b", ".", ".", "a", "c", "c", "c", "c"]
+    blocks = [0, 0, 0, 10, 10, 10, 20, 20, 20, 30, 40, 40]
+    rows = [("f", b, n, x) for n, (b, x) in enumerate(zip(blocks, names, strict=True))] + [("g", 0, 100, "c")]
+    got = file_islands(spark.createDataFrame(rows, "file string, block long, line long, readid string"), "readid")
+    assert [r.island["line"] for r in got.orderBy("line").collect()] == [0, 0, 2, 2, 2, 5, 6, 7, 8, 8, 8, 8, 100]
+
+
+def test_each_file_has_its_own_columns(spark, tmp_path):
+    from gridspan.plans.files import contacts_of_files
+
+    (tmp_path / "one.tsv").write_text("#columns: chr2 pos2 chr1 pos1 readid\nd 5 c 2 r\n")
+    (tmp_path / "two.tsv").write_text("r\tc\t1\td\t7\n\nq\tc\t3\tx\t7\n")
+    contigs = spark.createDataFrame([("c", 0, 10), ("d", 1, 10)], "chr string, ord int, len long")
+    rows = contacts_of_files(spark, str(tmp_path), "m", contigs, 1).orderBy("x_s").collect()
+    assert [(r.chr_x, r.x_s, r.chr_y, r.y_s) for r in rows] == [("c", 1, "d", 7), ("c", 2, "d", 5)]
+
+
+def test_heatmap_of_a_session(spark):
+    from gridspan.plans.from_session import heatmap_of
+    from gridspan.session import Session
+
+    rows = [("m", "c", "c", x, x, y, y, b, 0, 0, 1) for x, y, b in [(0, 1, 2), (0, 1, 0), (5, 6, 3), (9, 9, 1)]]
+    contacts = spark.createDataFrame(rows, "dataset string, chr_x string, chr_y string, x_s long, x_e long, y_s long, y_e long, bucket int, same_strand int, y_strand int, cnt long")
+    contigs = spark.createDataFrame([("c", 0, 10)], "chr string, ord int, len long")
+    s = Session({"interface.fixed_bin_size": True, "interface.fixed_bin_size_x": 5, "interface.fixed_bin_size_y": 5, "interface.add_draw_area": 0.0, "normalization.scale": "dont", "filters.incomplete_alignments": False, "filters.symmetry": "mirror"})
+    h = heatmap_of(s, contacts, contigs, 1, ["m"], [], (0, 10, 0, 10))
+    assert (h.bin_size, h.window) == ((5, 5), (0, 10, 0, 10))
+    assert sorted((r.xi, r.yi, r.v) for r in h.values().collect()) == [(0, 0, 2.0), (1, 1, 4.0)]
