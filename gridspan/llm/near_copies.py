@@ -28,11 +28,11 @@ SHARE = 0.8
 LEAST = math.ceil(SHARE / (1 - SHARE) - 1e-9)
 #: A pair of similarity SHARE is left unfound with this probability, at any number of texts.
 MISS = 0.01
-#: Unlike texts differ in 32 of 64 further bits, at SHARE 10 differ; beyond so many a candidate isn't verified.
-CHECK_BITS = 22
+#: Unlike texts differ in 64 of 128 further bits, at SHARE 19 differ; beyond so many a candidate isn't verified.
+CHECK_BITS = 36
 #: Keys that more index entries share are dense, and entries that differ in so few further
 #: bits from one of the largest chain under such a key are the group that makes it dense.
-DENSE, CORE_BITS = 64, 24
+DENSE, CORE_BITS = 64, 42
 #: Lists of so many candidate texts (16 bytes each) are broadcast; longer ones are joined by a shuffle.
 SMALL = 1 << 19
 
@@ -79,12 +79,12 @@ def majority(found: np.ndarray, words: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, segments: int, bits: int) -> DataFrame:
-    """(id, h, text) to (id, h, fingerprint, n, check, parts): texts with equal sets of n
+    """(id, h, text) to (id, h, fingerprint, n, check, more, parts): texts with equal sets of n
     shingles share a fingerprint, and parts are the values of the signature's segments."""
-    words = 1 + -(-segments * bits // 64)
+    words = 2 + -(-segments * bits // 64)
     values = 1 << np.arange(bits, dtype=np.int64)
 
-    @F.pandas_udf("struct<fingerprint:long,n:long,check:long,parts:array<long>>")
+    @F.pandas_udf("struct<fingerprint:long,n:long,check:long,more:long,parts:array<long>>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             rows = []
@@ -92,10 +92,10 @@ def _sketches(docs: DataFrame, segments: int, bits: int) -> DataFrame:
                 found = shingles(text)
                 name = mix(mix(found).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(found)))
                 signature = majority(found, words)
-                check = np.packbits(signature[:64].astype(np.uint8), bitorder="little").view("<i8")[0]
-                parts = signature[64 : 64 + segments * bits].reshape(segments, bits) @ values if len(found) else values[:0]
-                rows.append((int(name.view(np.int64)[0]), len(found), int(check), parts))
-            yield pd.DataFrame(rows, columns=["fingerprint", "n", "check", "parts"])
+                check, more = np.packbits(signature[:128].astype(np.uint8), bitorder="little").view("<i8").tolist()
+                parts = signature[128 : 128 + segments * bits].reshape(segments, bits) @ values if len(found) else values[:0]
+                rows.append((int(name.view(np.int64)[0]), len(found), check, more, parts))
+            yield pd.DataFrame(rows, columns=["fingerprint", "n", "check", "more", "parts"])
 
     return docs.select("id", "h", sketch(F.col("text")).alias("s")).select("id", "h", "s.*")
 
@@ -105,9 +105,9 @@ def _sizes(n: str, m: str) -> Column:
     return (F.col(n) >= SHARE * F.col(m) - 1e-9) & (F.col(m) >= SHARE * F.col(n) - 1e-9)
 
 
-def _near(check: str, other: str) -> Column:
-    """Whether further bits, but for the lowest, let a pair be as similar as SHARE."""
-    return F.bit_count(F.col(check).bitwiseXOR(F.col(other)).bitwiseAND(F.lit(~1))) <= CHECK_BITS
+def _differ(check: str, more: str, other: str, other_more: str) -> Column:
+    """How many further bits differ; the lowest doesn't count."""
+    return F.bit_count(F.col(check).bitwiseXOR(F.col(other)).bitwiseAND(F.lit(~1))) + F.bit_count(F.col(more).bitwiseXOR(F.col(other_more)))
 
 
 def _keys(part: Column, value: Column, bits: int, bit: int) -> Column:
@@ -150,26 +150,26 @@ def _sets(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, name: str, kn
 
 
 def _index_pairs(known: DataFrame, bits: int) -> DataFrame:
-    """(fp, chain, size, check, parts) to rows (u, v, a, b): texts u < v of the chains a and
+    """(fp, chain, size, check, more, parts) to rows (u, v, a, b): texts u < v of the chains a and
     b that meet under a key; and to rows with no v: u is one of the group of a dense key.
 
     Keys that one chain alone holds are dropped, and groups of dense ones set apart, behind
     the same shuffle that joins the others. Whoever lies under a dense key without being
     like the group meets all of it here.
     """
-    each = known.select("fp", "chain", "size", "check", F.posexplode("parts").alias("part", "value"))
+    each = known.select("fp", "chain", "size", "check", "more", F.posexplode("parts").alias("part", "value"))
 
     def side(bit: int) -> DataFrame:  # the lowest bit of check tells the sides apart
         check = F.col("check").bitwiseAND(F.lit(~1)).bitwiseOR(F.lit(bit))
-        return each.select("fp", "chain", "size", check.alias("check"), F.explode(_keys(F.col("part"), F.col("value"), bits, bit)).alias("key"))
+        return each.select("fp", "chain", "size", check.alias("check"), "more", F.explode(_keys(F.col("part"), F.col("value"), bits, bit)).alias("key"))
 
     w = Window.partitionBy("key")
-    marks = {"a": F.min("chain").over(w), "b": F.max("chain").over(w), "held": F.count(F.lit(1)).over(w), "lead": F.max(F.struct("size", "chain", "check")).over(w)}
+    marks = {"a": F.min("chain").over(w), "b": F.max("chain").over(w), "held": F.count(F.lit(1)).over(w), "lead": F.max(F.struct("size", "chain", "check", "more")).over(w)}
     shared = side(0).union(side(1)).withColumns(marks).filter("a < b")
-    alike = F.bit_count(F.col("check").bitwiseXOR(F.col("lead.check")).bitwiseAND(F.lit(~1))) <= CORE_BITS
+    alike = _differ("check", "more", "lead.check", "lead.more") <= CORE_BITS
     shared = shared.withColumn("core", (F.col("held") > DENSE) & alike)
-    half = lambda bit, x: shared.filter(F.col("check").bitwiseAND(F.lit(1)) == bit).select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "chain", "check", "core")])
-    met = half(0, "l").join(half(1, "r"), "key").filter((F.col("l_chain") != F.col("r_chain")) & ~(F.col("l_core") & F.col("r_core")) & _near("l_check", "r_check"))
+    half = lambda bit, x: shared.filter(F.col("check").bitwiseAND(F.lit(1)) == bit).select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "chain", "check", "more", "core")])
+    met = half(0, "l").join(half(1, "r"), "key").filter((F.col("l_chain") != F.col("r_chain")) & ~(F.col("l_core") & F.col("r_core")) & (_differ("l_check", "l_more", "r_check", "r_more") <= CHECK_BITS))
     low = F.col("l_fp") < F.col("r_fp")
     of = lambda x, y, name: F.when(low, F.col(x)).otherwise(F.col(y)).alias(name)
     pairs = met.select(F.least("l_fp", "r_fp").alias("u"), F.greatest("l_fp", "r_fp").alias("v"), of("l_chain", "r_chain", "a"), of("r_chain", "l_chain", "b"))
@@ -198,24 +198,24 @@ def _dense_pairs(dense: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _roots(fps: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
-    """(id, h, fingerprint, n, check, parts) to (fp, root); texts (h, text) holds the texts.
+    """(id, h, fingerprint, n, check, more, parts) to (fp, root); texts (h, text) holds the texts.
 
     In each whole segment neighbours in the order of sizes are tested first. What these
     links join needs no other test, so the index only gives pairs of different chains, and
     a group of n near copies doesn't give n * n pairs.
     """
-    columns = [F.first(c).alias(c) for c in ("n", "check", "parts")]
+    columns = [F.first(c).alias(c) for c in ("n", "check", "more", "parts")]
     distinct = staged(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("h").alias("h"), *columns), "distinct")
     able = distinct.filter(F.col("n") >= LEAST)
-    cut = able.select("fp", "n", "check", F.posexplode("parts").alias("part", "value"))
+    cut = able.select("fp", "n", "check", "more", F.posexplode("parts").alias("part", "value"))
     w = Window.partitionBy("part", "value").orderBy("n", "fp")
-    after = [F.lead(c).over(w).alias(name) for c, name in (("fp", "v"), ("n", "m"), ("check", "other"))]
-    linked = cut.select(F.col("fp").alias("u"), "n", "check", *after).filter(_sizes("n", "m") & _near("check", "other"))
+    after = [F.lead(c).over(w).alias(name) for c, name in (("fp", "v"), ("n", "m"), ("check", "other"), ("more", "other_more"))]
+    linked = cut.select(F.col("fp").alias("u"), "n", "check", "more", *after).filter(_sizes("n", "m") & (_differ("check", "more", "other", "other_more") <= CHECK_BITS))
     pairs = staged(linked.select("u", "v").distinct(), "neighbours")
     sets = _sets(pairs, distinct, texts, "neighbours-of")
     chains = staged(connected_components(_alike(pairs, sets)), "chains")
 
-    known = distinct.join(chains, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("chain"), "n", "check", "parts")
+    known = distinct.join(chains, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("chain"), "n", "check", "more", "parts")
     sizes = known.groupBy("chain").agg(F.count(F.lit(1)).alias("size"))
     known = staged(known.join(sizes, "chain"), "chained")
     met = _index_pairs(known.filter(F.col("n") >= LEAST), bits)
