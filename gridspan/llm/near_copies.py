@@ -121,14 +121,11 @@ def _keys(part: Column, value: Column, bits: int, bit: int) -> Column:
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (u, v, ...) those whose sets (node, shingles) have a similarity of SHARE or more."""
 
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        both = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True)]
-        return pd.Series([k >= SHARE * (len(a) + len(b) - k) - 1e-9 for k, a, b in zip(both, left, right, strict=True)], dtype=bool)
-
     u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("_u"))
     v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("_v"))
-    return pairs.join(u, "u").join(v, "v").filter(alike("_u", "_v")).drop("_u", "_v")
+    both = F.size(F.array_intersect("_u", "_v"))
+    alike = both >= SHARE * (F.size("_u") + F.size("_v") - both) - 1e-9
+    return pairs.join(u, "u").join(v, "v").filter(alike).drop("_u", "_v")
 
 
 def _sets(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
