@@ -173,20 +173,27 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: s
     k documents are drawn; by default as many as are good rather than not: those whose
     weight times the share of good labels is 1/2 or more. Equal keys (repeated rows)
     stay or go together. Without good labels, or if k isn't below the rows, all stay.
-    Two passes over the texts, for the counts and for the weights; the weighed rows are
-    then a table, of which the k-th key picks some.
+    Two passes over the texts, for the counts and for the weights, which are a table
+    without the texts; the k-th key of it picks the rows, which all of docs is joined to
+    if more than keep is asked for.
     """
-    weight, key = fresh(docs, "log_weight"), fresh(docs, "gumbel_key")
+    weight, key, mine, hashed = (fresh(docs, name) for name in ("log_weight", "gumbel_key", "kept_id", "kept_hash"))
     model, share = fit(docs, labels, id_col, text_col, stratum_col)
     noisy = with_log_weight(docs, model, id_col, text_col, stratum_col, weight).withColumn(key, gumbel(id_col, text_col))
-    kept = docs.columns if keep is None else keep
-    scored = staged(noisy.select(*kept, weight, (F.col(weight) + F.col(key)).alias(key)), "weighed")
-    if k is None:
-        if share == 0:
-            return scored
-        k = scored.filter(F.col(weight) + math.log(share) >= math.log(0.5)).count()
-    least = kth_largest(scored.select(F.col(key).alias("key")), k)
-    return scored.filter(F.col(key) >= F.lit(least)) if least is not None else scored.limit(0)
+    mark = F.xxhash64(F.struct(F.col(text_col), F.col(stratum_col)))
+    named = [F.col(id_col).alias(mine), mark.alias(hashed)] if keep is None else keep
+    scored = staged(noisy.select(*named, weight, (F.col(weight) + F.col(key)).alias(key)), "weighed")
+    chosen = scored
+    if k is not None or share > 0:
+        if k is None:
+            k = scored.filter(F.col(weight) + math.log(share) >= math.log(0.5)).count()
+        least = kth_largest(scored.select(F.col(key).alias("key")), k)
+        chosen = scored.filter(F.col(key) >= F.lit(least)) if least is not None else scored.limit(0)
+    if keep is not None:
+        return chosen
+    # equal rows have equal keys
+    rows = chosen.dropDuplicates([mine, hashed]).hint("shuffle_hash")
+    return docs.join(rows, F.col(id_col).eqNullSafe(F.col(mine)) & (mark == F.col(hashed))).select(*docs.columns, weight, key)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
