@@ -25,18 +25,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def token_hashes(data: bytes, inside: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the maximal runs of bytes that are inside; equal runs, equal hashes.
+def hashed_spans(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the maximal runs of bytes that are inside; equal
+    runs, equal hashes, of which none is 0 but by chance.
 
     A run's hash is its polynomial in BASE modulo 2 ** 64, got from two prefix sums and
     the inverse of a power of BASE, so no token is handled by itself.
     """
     if not data:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     raw = np.frombuffer(data, np.uint8)
     edges = np.flatnonzero(np.diff(inside[raw].astype(np.int8), prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
     n = len(raw)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("up", BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power("down", pow(BASE, -1, 1 << 64), n)[starts])
+    return starts, ends, mix((sums[ends] - sums[starts]) * _power("down", pow(BASE, -1, 1 << 64), n)[starts])
+
+
+def token_hashes(data: bytes, inside: np.ndarray) -> np.ndarray:
+    """The hashes of hashed_spans()."""
+    return hashed_spans(data, inside)[2]
