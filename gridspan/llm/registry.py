@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, periodic, phrases, pieces, quality, secrets, simhash, token_codes, topk, url_filter, warc
+from . import decontaminate, language, lm_scoring, periodic, phrases, pieces, quality, secrets, simhash, token_codes, topk, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": language.op8_language,
         "op9_token_codes": token_codes.op9_token_codes,
         "op10_warc": warc.op10_warc,
+        "op11_lm_scoring": lm_scoring.op11_lm_scoring,
         "op12_collocations": phrases.op12_collocations,
         "op13_periodic_runs": periodic.op13_periodic_runs,
     }
