@@ -8,7 +8,7 @@ from gridspan.operators import combine, count, ingest
 from gridspan.plans import axis
 from gridspan.sources import views
 
-from .base import CONTACTS, CONTIGS, TRACK, axis_sql, counts_sql, query
+from .base import CONTACTS, CONTIGS, RAW, TRACK, axis_sql, counts_sql, query
 from .ingesting import CATEGORIES
 
 SIZE = 10
@@ -195,3 +195,26 @@ def _irregular(spark, sf_dir):
 def _track(spark, sf_dir):
     rows = views.track_reads(spark, sf_dir).filter(count.track_directionality("forw") & count.map_quality(1))
     return count.track_counts(rows, _axis(spark))
+
+
+def _windows(spark, size):
+    """Windows of one size in base pairs, each overlapping half of the next."""
+    contigs = views.contigs(spark).selectExpr("chr", f"len * {views.DIVIDEND} AS bp")
+    return axis.region_axis(contigs.selectExpr("chr", f"explode(sequence(0L, bp - {size}, {size // 2}L)) AS index_pos", f"{size}L AS index_size"))
+
+
+def _windows_sql(size):
+    return f"""WITH {RAW}, {CONTIGS}, w AS (SELECT *, row_number() OVER (ORDER BY chr, l) - 1 AS idx FROM (SELECT chr, unnest(range(0, len * 10000 - {size} + 1, {size // 2})) AS l FROM g))
+SELECT dataset, x.idx AS xi, y.idx AS yi, sum(cnt)::BIGINT AS n FROM r JOIN w x ON x.chr = chr_x AND pos1_s >= x.l AND pos1_e < x.l + {size} JOIN w y ON y.chr = chr_y AND pos2_s >= y.l AND pos2_e < y.l + {size} GROUP BY ALL"""
+
+
+def _in_windows(size):
+    def run(spark, sf_dir):
+        w = _windows(spark, size)
+        return count.region_counts(ingest.encode_contacts(views.raw_contacts(spark, sf_dir), 1), w, w)
+
+    return run
+
+
+for _size in (500, 500_000):  # one join, windows a thousand times apart
+    query(f"j2_windows_of_{_size}", _windows_sql(_size))(_in_windows(_size))

@@ -128,8 +128,8 @@ w AS (SELECT k.chr_x, k.chr_y, lo, hi, top, bot, h, spot, count(c.cnt) AS n FROM
 @query("a5_decay_samples", f"WITH {SAMPLES} SELECT chr_x, chr_y, lo, hi, spot, n FROM w")
 def _samples(spark, sf_dir):
     contacts = views.contacts(spark, sf_dir).filter("dataset = 'rep0'")
-    boxes = decay.sample_boxes(decay.bands(_dense(spark, sf_dir)), views.contigs(spark), 20)
-    return decay.sample_counts(boxes, contacts).select("chr_x", "chr_y", "lo", "hi", F.col("at").alias("spot"), "n")
+    bands = decay.sampled_bands(decay.bands(_dense(spark, sf_dir)), views.contigs(spark), 20)
+    return decay.sample_counts(bands, contacts).select("chr_x", "chr_y", "lo", "hi", F.col("at").alias("spot"), "n")
 
 
 @query(

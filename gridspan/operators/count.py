@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspan.operators import intervals
 from gridspan.plans.axis import Axis
 
 #: How a box of several loci has to lie to a bin.
@@ -130,15 +131,13 @@ def dense_grid(x: DataFrame, y: DataFrame) -> DataFrame:
     return side(x, "x").crossJoin(side(y, "y"))
 
 
-def region_counts(contacts: DataFrame, x: DataFrame, y: DataFrame, cell: int = 16) -> DataFrame:
+def region_counts(contacts: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
     """(dataset, xi, yi, n) for irregular bins that may overlap (idx, chr, index_pos,
-    index_size): contacts enclosed by both. Bins are cut at cells of the contig, so that
-    the range join has an equality on (chr, cell)."""
+    index_size): contacts enclosed by both."""
     rows = contacts
     for s, bins in (("x", x), ("y", y)):
-        end = F.col("index_pos") + F.col("index_size")
-        cut = bins.select(F.col("idx").alias(f"{s}i"), F.col("chr").alias("_c"), F.col("index_pos").alias("_l"), end.alias("_h"), F.explode(F.expr(f"sequence(index_pos div {cell}, (index_pos + index_size - 1) div {cell})")).alias("_k"))
-        rows = rows.join(cut, (F.col(f"chr_{s}") == F.col("_c")) & (F.expr(f"{s}_s div {cell}") == F.col("_k")) & (F.col(f"{s}_s") >= F.col("_l")) & (F.col(f"{s}_e") < F.col("_h"))).drop("_c", "_l", "_h", "_k")
+        spans = bins.withColumn("_end", F.col("index_pos") + F.col("index_size"))
+        rows = intervals.inside(rows, f"chr_{s}", f"{s}_s", f"{s}_e", spans, {"idx": f"{s}i"}, low="index_pos", high="_end")
     return rows.groupBy("dataset", "xi", "yi").agg(F.sum("cnt").alias("n"))
 
 

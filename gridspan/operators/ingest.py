@@ -229,6 +229,9 @@ def line_sweep(annotations: DataFrame, dividend: int) -> DataFrame:
     kept = steps.join(depth.filter("depth > 0").select("type", "chr", "i_s"), ["type", "chr", "i_s"])
     before = F.coalesce(F.sum(F.col("i_e") - F.col("i_s")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = kept.withColumns({"interval_id": F.row_number().over(w) - 1, "coord_s": before}).withColumn("coord_e", F.col("coord_s") + F.col("i_e") - F.col("i_s"))
-    # every unit that an annotation covers finds the step that begins there, so no range join is needed
-    units = spans.select("type", "chr", "desc_id", "forw", "anno_s", "anno_e", F.explode(F.expr("sequence(anno_s, anno_e - 1)")).alias("i_s"))
-    return units.join(kept, ["type", "chr", "i_s"]).select("type", "chr", "interval_id", "i_s", "i_e", "anno_s", "anno_e", "desc_id", "forw", "coord_s", "coord_e")
+    # an annotation begins and ends with a step, and all steps between are covered at least by it
+    first = kept.select("type", "chr", F.col("i_s").alias("anno_s"), F.col("interval_id").alias("_first"))
+    last = kept.select("type", "chr", F.col("i_e").alias("anno_e"), F.col("interval_id").alias("_last"))
+    ranks = spans.select("type", "chr", "desc_id", "forw", "anno_s", "anno_e").join(first, ["type", "chr", "anno_s"]).join(last, ["type", "chr", "anno_e"])
+    ranks = ranks.withColumn("interval_id", F.explode(F.sequence("_first", "_last")))
+    return ranks.join(kept, ["type", "chr", "interval_id"]).select("type", "chr", "interval_id", "i_s", "i_e", "anno_s", "anno_e", "desc_id", "forw", "coord_s", "coord_e")

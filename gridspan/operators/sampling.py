@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def two_power(x: Column) -> Column:
     """The largest power of two that divides x; of 0 a value below all."""
@@ -45,6 +47,7 @@ def spaced_bins(contigs: DataFrame, size: int, n: int) -> DataFrame:
 
 def without_overlap(samples: DataFrame, bins: DataFrame) -> DataFrame:
     """Samples (chr, pos, size) that touch none of the bins (chr, pos, size), then the bins."""
-    o = bins.select(F.col("chr").alias("_c"), F.col("pos").alias("_p"), F.col("size").alias("_s"))
-    apart = samples.join(o, (F.col("chr") == F.col("_c")) & (F.col("pos") < F.col("_p") + F.col("_s")) & (F.col("_p") < F.col("pos") + F.col("size")), "left_anti")
+    span = lambda d: d.select("chr", "pos", "size", F.col("pos").alias("low"), (F.col("pos") + F.col("size")).alias("high"))
+    touching = intervals.overlaps(span(samples.distinct()), span(bins).select("chr", "low", "high"), []).select("chr", "pos", "size")
+    apart = samples.join(touching, ["chr", "pos", "size"], "left_anti")
     return apart.withColumn("is_sample", F.lit(True)).unionByName(bins.select("chr", "pos", "size").withColumn("is_sample", F.lit(False)))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
 from .count import fold, transposed
 
 
@@ -29,21 +30,17 @@ def viewpoint(grid: DataFrame, view: DataFrame, by_size: bool = True) -> DataFra
     return sums.crossJoin(F.broadcast(extent)).select("idx", (F.try_divide("v", "extent") if by_size else F.col("v")).alias("v"))  # a single row
 
 
-def annotation_hits(intervals: DataFrame, bins: DataFrame, cell: int = 16) -> DataFrame:
-    """(type, idx, hits): line-sweep rows that touch a bin. Both sides are cut at cells, and
-    a pair counts in the cell where it begins to overlap."""
-    low, high = F.col("index_pos"), F.col("index_pos") + F.col("index_size")
-    left = intervals.select("type", "chr", "i_s", "i_e", F.explode(F.expr(f"sequence(i_s div {cell}, (i_e - 1) div {cell})")).alias("cell"))
-    right = bins.select("idx", F.col("chr").alias("_c"), low.alias("_l"), high.alias("_h"), F.explode(F.expr(f"sequence(index_pos div {cell}, (index_pos + index_size - 1) div {cell})")).alias("_cell"))
-    touch = (F.col("i_s") < F.col("_h")) & (F.col("i_e") > F.col("_l")) & (F.floor(F.greatest("i_s", "_l") / cell) == F.col("cell"))
-    return left.join(right, (F.col("chr") == F.col("_c")) & (F.col("cell") == F.col("_cell")) & touch).groupBy("type", "idx").agg(F.count(F.lit(1)).alias("hits"))
+def annotation_hits(spans: DataFrame, bins: DataFrame) -> DataFrame:
+    """(type, idx, hits): line-sweep rows that touch a bin."""
+    rows = spans.select("type", "chr", F.col("i_s").alias("low"), F.col("i_e").alias("high"))
+    places = bins.select("idx", "chr", F.col("index_pos").alias("low"), (F.col("index_pos") + F.col("index_size")).alias("high"))
+    return intervals.overlaps(rows, places, ["idx"]).groupBy("type", "idx").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def overlapping(annotations: DataFrame, regions: DataFrame) -> DataFrame:
-    """Annotations that touch a region (chr, low, high in base pairs), each once. Regions
-    are those of a window: a few, with their size known to Spark."""
-    r = regions.select(F.col("chr").alias("_c"), "low", "high")
-    return annotations.join(r, (F.col("chr") == F.col("_c")) & (F.col("start_bp") < F.col("high")) & (F.col("end_bp") > F.col("low")), "left_semi").dropDuplicates(["type", "desc_id"])
+    """Annotations that touch a region (chr, low, high in base pairs), each once."""
+    spans = annotations.withColumns({"low": F.col("start_bp"), "high": F.col("end_bp")})
+    return intervals.overlaps(spans, regions, []).dropDuplicates(["type", "desc_id"]).select(annotations.columns)
 
 
 def in_order(annotations: DataFrame) -> DataFrame:
@@ -115,10 +112,10 @@ def max_tile_coverage(contacts: DataFrame, contigs: DataFrame, sample: int, most
     """
     spark = contacts.sparkSession
     tiles = [(r["chr"], a, b) for r in contigs.collect() for a, b in leaf_tiles(0, r["len"], most)]  # contigs are few
-    leaves = spark.createDataFrame(tiles, "t_chr string, a long, b long")
+    leaves = spark.createDataFrame(tiles, "chr string, low long, high long")
     rows = contacts.filter(F.expr(f"x_s div {sample} = x_e div {sample}"))
-    met = rows.join(leaves, (F.col("chr_y") == F.col("t_chr")) & (F.col("y_s") >= F.col("a")) & (F.col("y_e") < F.col("b")))
-    per_tile = met.groupBy("chr_x", "chr_y", F.expr(f"x_s div {sample}").alias("sample"), "a").agg(F.sum("cnt").alias("n"))
+    met = intervals.inside(rows, "chr_y", "y_s", "y_e", leaves, {"low": "tile"})
+    per_tile = met.groupBy("chr_x", "chr_y", F.expr(f"x_s div {sample}").alias("sample"), "tile").agg(F.sum("cnt").alias("n"))
     return per_tile.groupBy("chr_x", "sample").agg(F.max("n").alias("coverage"))
 
 
@@ -133,14 +130,10 @@ def background(counts: DataFrame, bins: DataFrame, least: int, ignore_cis: bool
     return rows.groupBy(F.col("yi").alias("idx")).agg(F.sum("n").alias("background"))
 
 
-def in_samples(contacts: DataFrame, samples: DataFrame, side: str, cell: int = 16) -> DataFrame:
+def in_samples(contacts: DataFrame, samples: DataFrame, side: str) -> DataFrame:
     """contacts with sample, once for each sample (sample, chr, low, high) that holds the
-    mate on this side. Samples are cut at cells of the contig, so that the range join has
-    an equality."""
-    cells = F.explode(F.expr(f"sequence(low div {cell}, greatest(low, high - 1) div {cell})"))
-    cut = samples.select("sample", F.col("chr").alias("_c"), F.col("low").alias("_l"), F.col("high").alias("_h"), cells.alias("_k"))
-    s, e = f"{side}_s", f"{side}_e"
-    return contacts.join(cut, (F.col(f"chr_{side}") == F.col("_c")) & (F.expr(f"{s} div {cell}") == F.col("_k")) & (F.col(s) >= F.col("_l")) & (F.col(e) < F.col("_h"))).drop("_c", "_l", "_h", "_k")
+    mate on this side."""
+    return intervals.inside(contacts, f"chr_{side}", f"{side}_s", f"{side}_e", samples, {"sample": "sample"})
 
 
 def sample_coverage(contacts: DataFrame, samples: DataFrame, contigs: DataFrame, side: str, most: int | None = None) -> DataFrame:
@@ -151,9 +144,8 @@ def sample_coverage(contacts: DataFrame, samples: DataFrame, contigs: DataFrame,
     lengths = [(r["chr"], r["len"]) for r in contigs.collect()]  # contigs are few
     tiles = [(f"{c}:{a}", c, a, b) for c, n in lengths for a, b in (leaf_tiles(0, n, most) if most else [(0, n)])]
     regions = spark.createDataFrame(tiles, "sample string, chr string, low long, high long")
-    width = max([b - a for *_, a, b in tiles], default=1)
     met = in_samples(contacts, samples, side).withColumnRenamed("sample", "_sample")
-    rows = in_samples(met, regions, other, max(1, width)).groupBy("dataset", F.col("_sample").alias("sample"), F.col("sample").alias("tile")).agg(F.sum("cnt").alias("n"))
+    rows = in_samples(met, regions, other).groupBy("dataset", F.col("_sample").alias("sample"), F.col("sample").alias("tile")).agg(F.sum("cnt").alias("n"))
     return rows.groupBy("dataset", "sample").agg((F.max("n") if most else F.sum("n")).alias("n"))
 
 
