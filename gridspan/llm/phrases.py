@@ -2,8 +2,8 @@
 
 Pass k counts phrases of k words. Only those go out to be counted whose first and whose
 last k - 1 words are both frequent phrases, which the tasks know from a broadcast of the
-pass before. From the third pass on, only the stretches of text are read in which frequent
-pairs overlap. Cuts of a phrase are scored from the tables of the levels, as all parts of a
+pass before. Pairs, by far the most, go out as hashes first; from then on, only the
+stretches of text are read that frequent pairs cover. Cuts of a phrase are scored from the tables of the levels, as all parts of a
 frequent phrase are frequent.
 """
 
@@ -121,14 +121,14 @@ def _summed(langs: list[str], weights: np.ndarray, words: _Words, at: np.ndarray
 
 
 def _pass(texts: DataFrame, k: int, frequent: _Frequent | None) -> DataFrame:
-    """(lang, phrase, h, f) of phrases of k words whose parts are frequent; for single words
-    also a row without a phrase, with all words of a language."""
+    """(lang, phrase, h, f) of phrases of k words whose parts are frequent (None: whatever they
+    are); for single words also a row without a phrase, with all words of a language."""
     held = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, weights, words in _read(batches):
             h, whole = words.grams(k)
-            if k > 1:
+            if held.value is not None:
                 parts, fits = words.grams(k - 1)
                 fits[fits] = held.value(parts[fits])
                 whole &= fits[:-1] & fits[1:]
@@ -146,8 +146,23 @@ def _pass(texts: DataFrame, k: int, frequent: _Frequent | None) -> DataFrame:
     return texts.mapInArrow(count, _COUNTED).groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.sum("f").alias("f"))
 
 
+def _pairs(texts: DataFrame, frequent: _Frequent) -> DataFrame:
+    """(h, f) of pairs of frequent words, by their hash alone."""
+    held = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, weights, words in _read(batches):
+            h, whole = words.grams(2)
+            fits = held.value(words.grams(1)[0])
+            at = np.flatnonzero(whole & fits[:-1] & fits[1:])
+            first, _, sums = _summed(langs, weights, words, at, h[at])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at[first]].view(np.int64)), pa.array(sums)], ["h", "f"])
+
+    return texts.mapInArrow(count, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+
+
 def _stretches(texts: DataFrame, pairs: _Frequent) -> DataFrame:
-    """(lang, text, weight): the parts of texts where frequent pairs overlap, of three words or more."""
+    """(lang, text, weight): the longest parts of texts in which all neighbours are frequent pairs."""
     held = texts.sparkSession.sparkContext.broadcast(pairs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +171,6 @@ def _stretches(texts: DataFrame, pairs: _Frequent) -> DataFrame:
             whole[whole] = held.value(h[whole])
             edges = np.flatnonzero(np.diff(whole.astype(np.int8), prepend=0, append=0))
             start, size = edges[::2], edges[1::2] - edges[::2]
-            start, size = start[size > 1], size[size > 1]
             key = words.lang[start] + size.astype(np.uint64)
             for j in range(int(size.max(initial=0)) + 1):
                 some = np.flatnonzero(size >= j)
@@ -185,11 +199,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     totals = found.filter("phrase is null").select("lang", F.col("f").alias("n"))
     level = found.filter("phrase is not null")
     out = level.select("lang", "phrase", F.lit(1).alias("words"), "f")
+    if longest > 1:
+        pairs = staged(_pairs(texts, _Frequent(level)).filter(F.col("f") >= least), "pairs")
+        texts = staged(_stretches(texts, _Frequent(pairs)), "stretches")
     for k in range(2, longest + 1):
-        frequent = _Frequent(level)
-        if k == 3:
-            texts = staged(_stretches(texts, frequent), "stretches")
-        level = staged(_pass(texts, k, frequent).filter(F.col("f") >= least), f"phrases-{k}")
+        level = staged(_pass(texts, k, _Frequent(level) if k > 2 else None).filter(F.col("f") >= least), f"phrases-{k}")
         out = out.unionByName(level.select("lang", "phrase", F.lit(k).alias("words"), "f"))
     return out, totals
 
