@@ -77,11 +77,26 @@ def _ranges(side: str, start: str, end: str, mode: str) -> tuple[Column, Column]
     return F.when(fits, first + low).otherwise(F.lit(1)).cast("long"), F.when(fits, first + high).otherwise(F.lit(0)).cast("long")
 
 
+def _in_spans(rows: DataFrame, side: str, spans: DataFrame, mode: str) -> DataFrame:
+    """rows with the number of a bin of one side (xi or yi), once for every irregular bin
+    (idx, chr, low, high) that they count for."""
+    chrom, start, end, idx = f"chr_{side}", f"{side}_s", f"{side}_e", f"{side}i"
+    if mode in ("overlaps", "overlaps_only", "encloses"):
+        boxes = rows.withColumns({"chr": F.col(chrom), "low": F.col(start), "high": F.col(end) + 1})
+        met = intervals.overlaps(boxes, spans.withColumns({idx: F.col("idx"), "_from": F.col("low"), "_to": F.col("high")}), [idx, "_from", "_to"])
+        if mode == "encloses":
+            met = met.filter((F.col(start) <= F.col("_from")) & (F.col(end) >= F.col("_to") - 1))
+        return met.drop("chr", "low", "high", "_from", "_to")
+    at = {"last": (end, end), "enclosed": (start, end), "enclosed_only": (start, end)}.get(mode, (start, start))
+    return intervals.inside(rows, chrom, *at, spans, {"idx": idx})
+
+
 def in_bins(contacts: DataFrame, x: Axis, y: Axis, mode: str = "enclosed") -> DataFrame:
     """contacts with xi and yi, once for every bin they count for.
 
-    Bins are found by division within a contig's grid, so the join is an equi-join with a
-    row per contig, which Spark broadcasts by its size.
+    Bins of an Axis are found by division within a contig's grid, so the join is an equi-join
+    with a row per contig, which Spark broadcasts by its size; those of an annotation axis
+    by interval joins.
     """
     if mode not in MODES:
         raise ValueError(f"mode is none of {MODES}")
@@ -90,12 +105,20 @@ def in_bins(contacts: DataFrame, x: Axis, y: Axis, mode: str = "enclosed") -> Da
         rows = rows.filter("x_s < x_e or y_s < y_e")
     elif mode == "points_only":
         rows = rows.filter("x_s = x_e and y_s = y_e")
+    sides = {"x": x, "y": y}
+    planned = [s for s, axis in sides.items() if isinstance(axis, Axis)]
     keep = rows.columns
-    rows = rows.join(x.place("gx"), F.col("chr_x") == F.col("gx_chr")).join(y.place("gy"), F.col("chr_y") == F.col("gy_chr"))
-    (x_low, x_high), (y_low, y_high) = _ranges("gx", "x_s", "x_e", mode), _ranges("gy", "y_s", "y_e", mode)
-    rows = rows.select(*keep, x_low.alias("xi"), x_high.alias("xh"), y_low.alias("yi"), y_high.alias("yh")).filter("xi <= xh and yi <= yh")
-    if mode in ("overlaps", "overlaps_only", "encloses"):
-        rows = rows.withColumn("xi", F.explode(F.sequence("xi", "xh"))).withColumn("yi", F.explode(F.sequence("yi", "yh")))
+    for s in planned:
+        rows = rows.join(sides[s].place(f"g{s}"), F.col(f"chr_{s}") == F.col(f"g{s}_chr"))
+    ranges = {s: _ranges(f"g{s}", f"{s}_s", f"{s}_e", mode) for s in planned}
+    rows = rows.select(*keep, *[c.alias(f"{s}{n}") for s, r in ranges.items() for c, n in zip(r, "ih", strict=True)])
+    for s in planned:
+        rows = rows.filter(F.col(f"{s}i") <= F.col(f"{s}h"))
+        if mode in ("overlaps", "overlaps_only", "encloses"):
+            rows = rows.withColumn(f"{s}i", F.explode(F.sequence(f"{s}i", f"{s}h")))
+    for s, axis in sides.items():
+        if s not in planned:
+            rows = _in_spans(rows, s, axis.spans(), mode)
     return rows.drop("xh", "yh")
 
 

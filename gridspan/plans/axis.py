@@ -89,9 +89,13 @@ class Axis:
         lie on: copies of a contig all get its reads."""
         return self.grid.select(F.col("actual").alias(f"{side}_chr"), *[F.col(c).alias(f"{side}_{c}") for c in ("step", "origin", "n", "first", "stop")])
 
+    def copies(self) -> DataFrame:
+        """chr and actual of the displayed contigs."""
+        return self.grid.select("chr", "actual")
+
     def side(self, s: str) -> DataFrame:
         """Bins with their columns named for one side of a heatmap."""
-        copies = self.grid.select(F.col("chr").alias("_c"), F.col("actual").alias(f"actual_{s}"))
+        copies = self.copies().withColumnsRenamed({"chr": "_c", "actual": f"actual_{s}"})
         bins = self.bins().select(F.col("idx").alias(f"{s}i"), F.col("chr").alias(f"chr_{s}"), F.col("index_pos").alias(f"{s}_pos"), F.col("index_size").alias(f"{s}_size"))
         return bins.join(copies, F.col(f"chr_{s}") == F.col("_c")).drop("_c")
 

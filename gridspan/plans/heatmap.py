@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspan.operators import combine, count, decay, ingest, normalize, sampling, tracks
 from gridspan.plans import axis as axes_of
+from gridspan.plans.annotation_window import AnnotationAxis, annotation_bins
 from gridspan.plans.axis import Axis, genome_axis
 
 NORMALIZATIONS = ("dont", "rpm", "rpk", "radicl-seq", "ice", "cool-ice", "grid-seq")
@@ -56,6 +57,8 @@ class Heatmap:
 
     filters are about the read as a whole. Annotation filters are named by present and
     absent (a tuple of kinds for each of x and y): for the mirrored bin they change sides.
+    annotated names the line_sweep() rows of an annotation for x, y or both: such an axis is
+    made of them by the rules across and several, and its window is in their places.
     contigs may have actual and ploidy_group: then copies of a contig are displayed, and
     ploidy_rules says which pairs of copies are real.
     """
@@ -69,6 +72,9 @@ class Heatmap:
     window: tuple[int, int, int, int] | None = None
     cut_off: str = "larger"
     show_small: bool = False
+    annotated: tuple[DataFrame | None, DataFrame | None] = (None, None)
+    across: str = "stretch"
+    several: str = "combine"
     filters: list[Column] = field(default_factory=list)
     kinds: tuple[str, ...] = ()
     present: tuple[tuple[str, ...], tuple[str, ...]] = ((), ())
@@ -102,10 +108,15 @@ class Heatmap:
         window = axes_of.render_area(area, size, margin, genome, full)
         return cls(contacts, contigs, dividend, group_a, bin_size=size, window=window, **settings)
 
-    def axes(self) -> tuple[Axis, Axis]:
+    def axes(self) -> tuple[Axis | AnnotationAxis, Axis | AnnotationAxis]:
         w = self.window
-        make = lambda b, part: genome_axis(self.contigs, b, self.cut_off, part, self.show_small)
-        return make(self.bin_size[0], w[:2] if w else None), make(self.bin_size[1], w[2:] if w else None)
+        parts = (w[:2], w[2:]) if w else (None, None)
+        return self._axis(0, parts[0]), self._axis(1, parts[1])
+
+    def _axis(self, side: int, part: tuple[int, int] | None) -> Axis | AnnotationAxis:
+        if self.annotated[side] is None:
+            return genome_axis(self.contigs, self.bin_size[side], self.cut_off, part, self.show_small)
+        return annotation_bins(self.annotated[side], self.contigs, self.bin_size[side], self.across, self.several, part)
 
     def bins(self) -> DataFrame:
         """One row: the number of bins of the window."""
@@ -229,7 +240,7 @@ class Heatmap:
         turn = (lambda d: d) if a.by_column else count.transposed
         x, y = self.axes()
         side = x if a.by_column else y
-        bins = side.bins().join(side.grid.select("chr", "actual"), "chr")
+        bins = side.bins().join(side.copies(), "chr")
         straight, flipped = turn(self.filtered()), turn(self.filtered(mirrored=True))
         return tracks.associated_background(straight, flipped, samples, bins, (lengths, lengths), self.names(), self.symmetry, self.least, a.thresholds, a.most, a.intersection, a.ignore_cis)
 
