@@ -19,12 +19,12 @@ from .common import fresh, new_path, staged, text_or_empty
 #: over the header fields and base64 lines that follow. A run of 16 base64 characters, or a
 #: shorter one alone on its line, goes on; backslashes are those of escaped line ends.
 _BASE64 = r"[A-Za-z0-9+/=\\]"
-_GOES_ON = rf"\s*+(?:{_BASE64}{{16}}|(?<=[\r\n][ \t]{{0,8}}){_BASE64}++[ \t]*+(?:[\r\n]|\z))"
+_GOES_ON = rf"\s*+(?:(?={_BASE64}{{16}})|(?<=[\r\n][ \t]{{0,8}})(?={_BASE64}++[ \t]*+(?:[\r\n]|\z))){_BASE64}++"
 PEM = (
     r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
     r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,32}PRIVATE KEY-----"
     r"|(?:\s*+(?:[A-Z][A-Za-z0-9]*-[A-Za-z0-9-]+|Comment): [^\r\n]*+){0,8}"
-    rf"[A-Za-z0-9+/=\\\s]*?(?!{_BASE64})(?!{_GOES_ON}))"
+    rf"{_BASE64}*+(?:{_GOES_ON})*+)"  # possessive: no character is looked at again
 )
 
 #: (kind, pattern, group whose length is tested, least length). Base kinds come first.

@@ -34,3 +34,16 @@ def test_nothing_of_a_key_is_left(spark):
     got = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
     for n, (_, want) in enumerate(cases):
         assert got[n] == want, n
+
+
+def test_a_long_run_of_blanks_takes_one_pass(spark):
+    import time
+
+    head = "-----BEGIN RSA PRIVATE KEY-----"
+    texts = [head + " " * 1_000_000 + "A" * 16, head + "\n" * 1_000_000, head + " \n" * 500_000 + "AB C", head * 1000, (head + "\n" + "ab\n" * 3) * 1000]
+    blobs = spark.createDataFrame(list(enumerate(texts)), "blob long, text string").selectExpr("cast(blob as string) as blob", "text").coalesce(1)
+    began = time.time()
+    ends = {int(x.blob): [(s.start, s.end) for s in x.spans] for x in secrets.scan(blobs).collect()}
+    assert time.time() - began < 15  # three of a million blanks, and the start
+    assert ends[0] == [(0, len(texts[0]))] and ends[1] == [(0, len(head))] and ends[2] == [(0, len(head))]
+    assert len(ends[3]) == len(ends[4]) == 1000
