@@ -28,7 +28,7 @@ from .hashing import PRINTED, hashed_spans, mix
 from .ngram_trie import MU_WORD, Trie, probabilities, quantised
 
 #: Tokens of a block of documents, if one isn't longer, and bytes of text read at a time.
-BLOCK_TOKENS, TEXT_BYTES = 1 << 20, 1 << 20
+BLOCK_TOKENS, TEXT_BYTES = 1 << 19, 1 << 19
 #: Parts of the model and of the lexicon at least, and tokens or words for one beyond that.
 LEAST_PARTS, PART_TOKENS = 256, 1 << 19
 #: A word is spread if it has the tokens of more than so many parts.
@@ -39,6 +39,7 @@ END, BEGIN = 0, 0
 TRIPLES, PAIRS, SPREAD_TRIPLES = 1, 2, 3
 
 _BLOCK = "block long, n_words long, n_tokens long, doc_ids array<long>, sizes array<int>, held array<boolean>, words binary, uses binary, tokens binary"
+_ROUTED = "block long, doc_ids array<long>, sizes array<int>, held array<boolean>, end int, parts binary, tokens binary"
 _LEXICON = "block long, part int, ids binary, counts binary, n long, v long"
 _ASKED = "part int, block long, kind int, b binary, a binary, c binary, n binary"
 _ANSWER = "block long, part int, kind int, p binary, weight binary"
@@ -129,6 +130,18 @@ def _lexicon(blocks: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(count, _LEXICON)
 
 
+def _routed(blocks: DataFrame, parts: int) -> DataFrame:
+    """Blocks with the part of the lexicon that each word is in, instead of its hash; end is the place of END."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = np.frombuffer(row["words"], np.uint64)
+                yield _table(_ROUTED, [[row["block"]], [row["doc_ids"]], [row["sizes"]], [row["held"]], [int(np.flatnonzero(words == END)[0])], [_packed((words % np.uint64(parts)).astype(np.uint32))], [row["tokens"]]])
+
+    return blocks.select("block", "doc_ids", "sizes", "held", "words", "tokens").mapInArrow(route, _ROUTED)
+
+
 def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each part that occurs, with the places where it does, in ascending order."""
     order = np.argsort(part, kind="stable")
@@ -154,13 +167,13 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Block:
     """A block with its words' ids and counts: its distinct triples, and the parts they go to."""
 
-    def __init__(self, row: dict, lexicon: list[dict], lexicon_parts: int, parts: int, total: int, spread: int) -> None:
-        words, self.tokens = np.frombuffer(row["words"], np.uint64), _unpacked(row["tokens"], np.uint32)
-        ids, counts = np.zeros((2, len(words) + 1), np.uint64)  # BEGIN comes first
+    def __init__(self, row: dict, lexicon: list[dict], parts: int, total: int, spread: int) -> None:
+        part, self.tokens = _unpacked(row["parts"], np.uint32).astype(np.int64), _unpacked(row["tokens"], np.uint32)
+        ids, counts = np.zeros((2, len(part) + 1), np.uint64)  # BEGIN comes first
         given = {x["part"]: x for x in lexicon}
-        for p, at in _dealt((words % np.uint64(lexicon_parts)).astype(np.int64)):
+        for p, at in _dealt(part):
             ids[at + 1], counts[at + 1] = _unpacked(given[p]["ids"], np.uint64), _unpacked(given[p]["counts"], np.uint64)
-        counts[BEGIN] = counts[1 + int(np.flatnonzero(words == END)[0])]
+        counts[BEGIN] = counts[1 + row["end"]]
         self.counts = counts
         self.sizes = np.array(row["sizes"], np.int64)
         starts = np.cumsum(self.sizes) - self.sizes
@@ -195,14 +208,14 @@ class _Block:
             yield p, PAIRS, at
 
 
-def _answers(blocks: DataFrame, lexicon: DataFrame, lexicon_parts: int, parts: int, total: int, spread: int) -> DataFrame:
+def _answers(blocks: DataFrame, lexicon: DataFrame, parts: int, total: int, spread: int) -> DataFrame:
     """For each block, part and kind what the part knows of the triples or pairs that the block
     sent: codes of p and weight, as Trie gives them; of pairs p is how often they occur, over total."""
 
     def ask(block: pa.Table, words: pa.Table) -> pa.Table:
         out = []
         for row in block.to_pylist():
-            x = _Block(row, words.to_pylist(), lexicon_parts, parts, total, spread)
+            x = _Block(row, words.to_pylist(), parts, total, spread)
             for p, kind, at in x.asked():
                 n, at = (x.pair_n[at], x.pairs[at]) if kind == PAIRS else (x.n[at], at)
                 a = x.ids[x.a[at]] if kind != PAIRS else np.zeros(len(at), np.uint64)
@@ -253,13 +266,14 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     parts, lexicon_parts = max(least_parts, tokens // part_tokens), max(least_parts, words // part_tokens)
     lexicon = staged(_lexicon(blocks, lexicon_parts), "lexicon")
     total, distinct = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    answers = _answers(blocks, lexicon, lexicon_parts, parts, total, spread)
+    blocks = _routed(blocks, lexicon_parts)
+    answers = _answers(blocks, lexicon, parts, total, spread)
 
     def score(block: pa.Table, given: pa.Table) -> pa.Table:
         out = []
         given = given.to_pylist()
         for row in block.to_pylist():
-            x = _Block(row, [g for g in given if not g["kind"]], lexicon_parts, parts, total, spread)
+            x = _Block(row, [g for g in given if not g["kind"]], parts, total, spread)
             known = {(g["part"], g["kind"]): g for g in given if g["kind"]}
             p, weight, pair = np.zeros(len(x.n)), np.zeros(len(x.n)), None
             for to, kind, at in x.asked():

@@ -43,7 +43,7 @@ class _File:
 
     def map(self) -> list[np.ndarray]:
         self.file.flush()
-        whole = np.memmap(self.file, np.uint8, "r") if self.file.tell() else np.zeros(0, np.uint8)
+        whole = np.memmap(self.file, np.uint8, "r").view(np.ndarray) if self.file.tell() else np.zeros(0, np.uint8)
         return [whole[at : at + n * kind.itemsize].view(kind) for at, n, kind in self.places]
 
 
@@ -99,25 +99,29 @@ class EliasFano:
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """The place of each wanted number, -1 if it isn't there: the numbers that share its
-        high bits, few on average, are gone through from the first."""
+        high bits lie between two zeros, and their low bits are searched by halves."""
         out = np.full(len(wanted), -1, np.int64)
         if not self.n:
             return out
         wanted = wanted.astype(np.uint64)
         h, low = (wanted >> np.uint64(self.low_bits)).astype(np.int64), wanted & np.uint64((1 << self.low_bits) - 1)
-        at = np.zeros(len(wanted), np.int64)
-        some = np.flatnonzero((h > 0) & (h <= self.zeros[-1]))
-        at[some] = self._zero(h[some] - 1) + 1
         live = np.flatnonzero(h < self.zeros[-1])
-        at, h, low = at[live], h[live], low[live]
-        while len(live):
-            one = (self.high[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
-            live, at, h, low = live[one], at[one], h[one], low[one]
-            mine = self._lows(at - h)
-            same = mine == low
-            out[live[same]] = (at - h)[same]
-            on = mine < low
-            live, at, h, low = live[on], at[on] + 1, h[on], low[on]
+        h, low = h[live], low[live]
+        first, last = np.zeros(len(h), np.int64), self._zero(h) - h
+        some = h > 0
+        first[some] = self._zero(h[some] - 1) + 1 - h[some]
+        some = np.flatnonzero(first < last)
+        live, low, first, last = live[some], low[some], first[some], last[some]
+        end, left = last.copy(), np.arange(len(live))
+        while len(left):  # the first low bits that aren't below
+            middle = (first[left] + last[left]) >> 1
+            below = self._lows(middle) < low[left]
+            first[left[below]] = middle[below] + 1
+            last[left[~below]] = middle[~below]
+            left = left[first[left] < last[left]]
+        found = np.flatnonzero(first < end)
+        found = found[self._lows(first[found]) == low[found]]
+        out[live[found]] = first[found]
         return out
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
