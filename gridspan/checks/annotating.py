@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspan.operators import ingest
+from gridspan.plans.annotation_table import annotation_table
 from gridspan.plans.annotation_axis import BIN_RULES, MULTI_RULES
 from gridspan.plans.annotation_window import annotation_bins
+from gridspan.plans.axis import genome_axis
 from gridspan.plans.heatmap import Heatmap
 from gridspan.sources import views
 
@@ -86,3 +88,55 @@ def _enclosing(spark, sf_dir):
 @query("c6_heatmap_of_two_annotations", f"WITH RECURSIVE {CONTACTS}, {CONTIGS}, {SWEEP}, {axis_of('gene', 'stretch', 'combine', name='bx', before='x')}, {axis_of('exon', 'stretch', 'combine', (0, 200), 9, 'bz', 'y')} {heatmap_of('bx', 'bz', 'enclosed')}")
 def _two(spark, sf_dir):
     return _heatmap(spark, sf_dir, "enclosed", (_sweep(spark, sf_dir, "gene"), _sweep(spark, sf_dir, "exon")), (*WINDOW, 0, 200), (SIZE, 9))
+
+
+SHOWN_BP = "CASE WHEN {n} = 0 THEN '0 bp' WHEN {n} % 1000000 = 0 THEN format('{{:,}}', {n} // 1000000) || ' Mbp' WHEN {n} % 1000 = 0 THEN format('{{:,}}', {n} // 1000) || ' kbp' ELSE format('{{:,}}', {n}) || ' bp' END"
+
+
+def _described(spark, sf_dir):
+    """Annotations whose info has the lines of a GFF record."""
+    return views.annotations(spark, sf_dir).withColumn("info", F.concat(F.lit("ID=a"), F.col("desc_id"), F.lit("\nnote="), F.col("info"), F.when(F.col("forw"), F.concat(F.lit("\ndescription=on "), F.col("chr"))).otherwise("")))
+
+
+@query(
+    "k7_annotations_by_bin",
+    f"""WITH {CONTIGS}, {SWEEP}, {axis_sql(10)} SELECT type, ax.chr, {SHOWN_BP.format(n="(index_pos * 10000)")} AS index_start, {SHOWN_BP.format(n="((index_pos + index_size) * 10000)")} AS index_end, screen_pos::DOUBLE AS screen_start, (screen_pos + index_size)::DOUBLE AS screen_end,
+count(*) AS num_anno, NULL::INT AS row, 0.0::DOUBLE AS "offset", 0.9025::DOUBLE AS height, NULL::VARCHAR AS strand, NULL::VARCHAR AS id, NULL::VARCHAR AS "desc", NULL::VARCHAR AS info
+FROM sw JOIN ax ON sw.chr = ax.chr AND i_s < index_pos + index_size AND i_e > index_pos GROUP BY type, ax.chr, index_pos, index_size, screen_pos""",
+)
+def _by_bin(spark, sf_dir):
+    return annotation_table(ingest.line_sweep(views.annotations(spark, sf_dir), views.DIVIDEND), _described(spark, sf_dir), genome_axis(views.contigs(spark), 10), ["gene", "exon"], views.DIVIDEND, most=100)
+
+
+def _table_sql(axis, start, end, kinds):
+    """The detailed table over rg (region, chr, p, z, sp, sz), rows being packed one after the other."""
+    return f"""WITH RECURSIVE {CONTIGS}, {SWEEP}, {axis},
+m AS (SELECT sw.type, sw.desc_id, rg.*, min(interval_id) AS first FROM sw JOIN rg ON sw.chr = rg.chr AND i_s < p + z AND i_e > p WHERE sw.type IN ({kinds}) GROUP BY ALL),
+o AS (SELECT m.*, start_bp, end_bp, forw, info, {start} AS s0, {end} AS e0 FROM m JOIN an ON an.type = m.type AND an.desc_id = m.desc_id),
+q AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY region, first, start_bp, end_bp, desc_id) AS nth FROM o WHERE e0 >= s0),
+pk AS (SELECT type, 0::BIGINT AS nth, []::DOUBLE[] AS ends, NULL::BIGINT AS row FROM q GROUP BY type
+  UNION ALL SELECT type, nth, CASE WHEN row = len(ends) THEN list_append(ends, e0) ELSE list_concat(list_append(ends[:row], e0), ends[row + 2:]) END, row FROM (
+    SELECT q.type, q.nth, ends, e0, coalesce(list_position(list_transform(ends, lambda e: s0 >= e + 2), true) - 1, len(ends)) AS row FROM pk JOIN q ON q.type = pk.type AND q.nth = pk.nth + 1)),
+dp AS (SELECT max(row) + 1 AS deep FROM pk), tp AS (SELECT type, max(row) + 1 AS n FROM pk GROUP BY ALL)
+SELECT q.type, q.chr, {SHOWN_BP.format(n="start_bp")} AS index_start, {SHOWN_BP.format(n="end_bp")} AS index_end, s0 AS screen_start, e0 AS screen_end, 1::BIGINT AS num_anno, row::INT AS row,
+round(CASE WHEN row % 2 = 0 THEN 1 ELSE -1 END * (0.95 / deep) * ((row + 1) // 2) + CASE WHEN n % 2 = 0 THEN 0.95 / deep / 2 ELSE 0 END, 9) AS "offset", round(0.95 / deep * 0.95, 9) AS height,
+CASE WHEN forw THEN '+' ELSE '-' END AS strand, 'a' || desc_id AS id, CASE WHEN forw THEN 'on ' || q.chr END AS "desc", 'note=' || info AS info FROM q JOIN pk USING (type, nth) JOIN tp USING (type), dp"""
+
+
+def _rounded(rows):
+    return rows.withColumns({c: F.round(c, 9) for c in ("offset", "height")})
+
+
+MOVED = "greatest(0, {c} / 10000.0 - p)::DOUBLE + sp"
+
+
+@query("k7_annotations_in_detail", _table_sql("rg AS (SELECT ord::BIGINT AS region, chr, CASE ord WHEN 1 THEN 58 ELSE 0 END AS p, CASE ord WHEN 1 THEN 44 ELSE 16 END AS z, 102 * ord + CASE ord WHEN 1 THEN 58 ELSE 0 END AS sp, CASE ord WHEN 1 THEN 44 ELSE 16 END AS sz FROM g WHERE ord IN (1, 2))", MOVED.format(c="start_bp"), f"least({MOVED.format(c='end_bp')}, sp + sz)::DOUBLE", "'gene', 'exon'"))
+def _in_detail(spark, sf_dir):
+    axis = genome_axis(views.contigs(spark), 4, window=(160, 220))
+    return _rounded(annotation_table(ingest.line_sweep(views.annotations(spark, sf_dir), views.DIVIDEND), _described(spark, sf_dir), axis, ["gene", "exon"], views.DIVIDEND, most=5000))
+
+
+@query("k7_annotations_on_themselves", _table_sql(f"{axis_of('gene', 'squeeze', 'combine', (0, 60))}, rg AS (SELECT idx AS region, chr, index_pos AS p, index_size AS z, screen_pos AS sp, screen_size AS sz FROM bins)", "sp::DOUBLE", "(sp + sz)::DOUBLE", "'gene'"))
+def _on_themselves(spark, sf_dir):
+    genes = _sweep(spark, sf_dir, "gene")
+    return _rounded(annotation_table(genes, _described(spark, sf_dir), annotation_bins(genes, views.contigs(spark), SIZE, "squeeze", "combine", (0, 60)), ["gene"], views.DIVIDEND, most=5000, squeeze=True))
