@@ -137,6 +137,29 @@ def both_orientations(contacts: DataFrame, x: Axis, y: Axis, mode: str = "enclos
     return straight.union(mirrored).groupBy("dataset", "xi", "yi").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
+def in_systems(contacts: DataFrame, systems: dict[str, tuple[Axis, Axis]], mode: str = "enclosed") -> DataFrame:
+    """contacts with system, xi and yi, once for every bin of each of several pairs of planned
+    axes that they count for. All pairs are met in one pass over the contacts: an axis is a
+    row for each contig, and those of all systems are one table for each side."""
+    rows = contacts.withColumn("system", F.explode(F.array(*[F.lit(s) for s in systems])))
+    if mode in ("enclosed_only", "overlaps_only"):
+        rows = rows.filter("x_s < x_e or y_s < y_e")
+    elif mode == "points_only":
+        rows = rows.filter("x_s = x_e and y_s = y_e")
+    keep, ranges = rows.columns, []
+    for n, s in enumerate("xy"):
+        place = None
+        for name, axes in systems.items():
+            part = axes[n].place(f"g{s}").withColumn(f"g{s}_of", F.lit(name))
+            place = part if place is None else place.unionByName(part)
+        rows = rows.join(F.broadcast(place), (F.col(f"chr_{s}") == F.col(f"g{s}_chr")) & (F.col("system") == F.col(f"g{s}_of")))  # a row for each contig and system
+        ranges += [c.alias(f"{s}{end}") for c, end in zip(_ranges(f"g{s}", f"{s}_s", f"{s}_e", mode), "ih", strict=True)]
+    rows = rows.select(*keep, *ranges).filter("xi <= xh and yi <= yh")
+    if mode in ("overlaps", "overlaps_only", "encloses"):
+        rows = rows.withColumn("xi", F.explode(F.sequence("xi", "xh"))).withColumn("yi", F.explode(F.sequence("yi", "yh")))
+    return rows.drop("xh", "yh")
+
+
 def fold(a: Column, b: Column, symmetry: str, least: int = 0) -> Column:
     """A bin and its mirror image as one value, after least interactions are taken off each."""
     a, b = (F.greatest(v - least, F.lit(0)) for v in (a, b))

@@ -71,9 +71,11 @@ def walk(spans: pd.DataFrame, at: int, end: int, total: int, size: int, across:
 
 @dataclass(frozen=True)
 class AnnotationAxis:
-    """table: idx, chr, actual, ord, index_pos, index_size, screen_pos, screen_size. Bins may overlap on the genome."""
+    """table: idx, chr, actual, ord, index_pos, index_size, screen_pos, screen_size. Bins may
+    overlap on the genome. extents: chr, base, total of the contigs' places."""
 
     table: DataFrame
+    extents: DataFrame
 
     def bins(self) -> DataFrame:
         return self.table.drop("actual")
@@ -136,4 +138,4 @@ def annotation_bins(sweep: DataFrame, contigs: DataFrame, size: int, across: str
                     at = max(at, place + base)
         return pd.DataFrame(out, columns=["idx", "chr", "actual", "ord", "index_pos", "index_size", "screen_pos", "screen_size"])
 
-    return AnnotationAxis(rows.withColumn("axis", F.lit(0)).groupBy("axis").applyInPandas(cut, _BINS))
+    return AnnotationAxis(rows.withColumn("axis", F.lit(0)).groupBy("axis").applyInPandas(cut, _BINS), shown.select("chr", "base", "total"))

@@ -12,6 +12,7 @@ from gridspan.operators import combine, count, decay, ingest, normalize, samplin
 from gridspan.plans import axis as axes_of
 from gridspan.plans.annotation_window import AnnotationAxis, annotation_bins
 from gridspan.plans.axis import Axis, genome_axis
+from gridspan.plans.viewpoint import viewpoint_axis
 
 NORMALIZATIONS = ("dont", "rpm", "rpk", "radicl-seq", "ice", "cool-ice", "grid-seq")
 
@@ -190,10 +191,13 @@ class Heatmap:
         return by.get(self.normalize, self._balanced if self.normalize in ("ice", "cool-ice") else self._associated)()
 
     def _per_reads(self, unit: float) -> DataFrame:
+        return self._over_totals(self.undecayed(), unit, ("xi", "yi"))
+
+    def _over_totals(self, rows: DataFrame, unit: float, keys: tuple[str, ...]) -> DataFrame:
         total = count.fold(F.col("total"), F.col("total"), self.symmetry)
         totals = combine.group_values(ingest.totals(self.contacts).withColumn("k", F.lit(1)), total, self.group_a, self.group_b, self.in_group, ("k",))
-        rows = self.undecayed().crossJoin(F.broadcast(totals.select(F.col("va").alias("ta"), F.col("vb").alias("tb"))))  # a single row
-        return rows.select("xi", "yi", combine.per(F.col("va"), F.col("ta"), unit).alias("va"), combine.per(F.col("vb"), F.col("tb"), unit).alias("vb"))
+        rows = rows.crossJoin(F.broadcast(totals.select(F.col("va").alias("ta"), F.col("vb").alias("tb"))))  # a single row
+        return rows.select(*keys, combine.per(F.col("va"), F.col("ta"), unit).alias("va"), combine.per(F.col("vb"), F.col("tb"), unit).alias("vb"))
 
     def _significant(self) -> DataFrame:
         x, y = self.axes()
@@ -323,6 +327,33 @@ class Heatmap:
         return sums.crossJoin(F.broadcast(extent)).select("idx", (F.try_divide("v", "extent") if by_size else F.col("v")).alias("v"))  # a single row
 
 
+    def with_viewpoints(self, column: tuple[int, int] | None = None, row: tuple[int, int] | None = None) -> DataFrame:
+        """(system, xi, yi, v) of the heatmap and of what its rows hold against the viewpoint
+        column on x, and its columns against row on y, from one pass over the contacts and
+        one aggregation. A viewpoint (low, high on the concatenated contigs) is one bin for
+        each contig that it touches, as in viewpoint_axis(). Values are counts of the groups,
+        normalised by reads if asked; other normalisations look at slices of one system: use
+        viewpoint() for them."""
+        if self.normalize not in ("dont", "rpm", "rpk"):
+            raise ValueError("with_viewpoints() normalises by reads only")
+        x, y = self.axes()
+        systems = {"heatmap": (x, y)}
+        if column is not None:
+            systems["column"] = (viewpoint_axis(self.contigs, *column), y)
+        if row is not None:
+            systems["row"] = (x, viewpoint_axis(self.contigs, *row))
+        keys, zero = ("system", "xi", "yi"), F.lit(0).cast("long")
+        rows = count.in_systems(self.filtered(), systems, self.mode).select("dataset", *keys, F.col("cnt").alias("a"), zero.alias("b"))
+        if self.symmetry != "all":
+            turned = count.in_systems(count.transposed(self.filtered(mirrored=True)), systems, self.mode)
+            rows = rows.union(turned.select("dataset", *keys, zero.alias("a"), F.col("cnt").alias("b")))
+        rows = rows.groupBy("dataset", *keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        rows = combine.group_values(rows, count.fold(F.col("a"), F.col("b"), self.symmetry, self.least), self.group_a, self.group_b, self.in_group, keys)
+        if self.normalize != "dont":
+            rows = self._over_totals(rows, 1e6 if self.normalize == "rpm" else 1e3, keys)
+        return rows.select(*keys, combine.between(F.col("va"), F.col("vb"), self.between_group).alias("v"))
+
+
 def check_capabilities(contacts: DataFrame, contigs: DataFrame, wanted: dict[str, bool]) -> list[str]:
     """Warnings for filters that datasets can't serve: wanted says whether a query filters by
     map_q, strand or multi (several loci of a read). Such a filter lets all reads of these
