@@ -58,7 +58,14 @@ def _overlapping(spark, sf_dir):
     return tracks.overlapping(views.annotations(spark, sf_dir), regions).select("type", "chr", "desc_id", "info")
 
 
-@query("w6_packed_rows")
+@query(
+    "w6_packed_rows",
+    f"""WITH RECURSIVE {ANNOTATIONS}, q AS (SELECT *, row_number() OVER (PARTITION BY type, chr ORDER BY start_bp, end_bp, desc_id) AS nth FROM an),
+pk AS (SELECT type, chr, 0::BIGINT AS nth, NULL::BIGINT AS desc_id, []::BIGINT[] AS ends, NULL::BIGINT AS row FROM q GROUP BY type, chr
+  UNION ALL SELECT type, chr, nth, desc_id, CASE WHEN row = len(ends) THEN list_append(ends, end_bp) ELSE list_concat(list_append(ends[:row], end_bp), ends[row + 2:]) END, row FROM (
+    SELECT q.type, q.chr, q.nth, q.desc_id, q.end_bp, ends, coalesce(list_position(list_transform(ends, lambda e: e + 20000 <= q.start_bp), true) - 1, len(ends)) AS row FROM pk JOIN q ON q.type = pk.type AND q.chr = pk.chr AND q.nth = pk.nth + 1))
+SELECT type, chr, desc_id, row::INT AS row FROM pk WHERE nth > 0""",
+)
 def _packed(spark, sf_dir):
     return tracks.packed_rows(views.annotations(spark, sf_dir), 20_000)
 
@@ -90,18 +97,32 @@ ASSOC = f"{COVERAGE}, sx AS (SELECT dataset, xi, sum(n) AS s FROM n GROUP BY ALL
 
 @query("a20_coverage_over_datasets", f"WITH {COVERAGE}, sx AS (SELECT dataset, xi, sum(n) AS s FROM n GROUP BY ALL) SELECT xi AS idx, min(s)::BIGINT AS lowest, max(s)::BIGINT AS highest FROM sx GROUP BY ALL")
 def _over(spark, sf_dir):
-    return tracks.over_datasets(_counted(spark, sf_dir), "xi")
+    return tracks.over_datasets(_counted(spark, sf_dir), "xi", views.DATASETS)
+
+
+EMPTY = "rep9"  # active, but without a read
+
+
+@query("a20_with_an_empty_dataset", f"WITH {COVERAGE}, sx AS (SELECT dataset, xi, sum(n) AS s FROM n GROUP BY ALL), d AS (SELECT unnest(['rep0', 'rep1', 'rep2', '{EMPTY}']) AS dataset), k AS (SELECT xi, d.dataset FROM (SELECT DISTINCT xi FROM sx) CROSS JOIN d) SELECT xi AS idx, min(coalesce(s, 0))::BIGINT AS lowest, max(coalesce(s, 0))::BIGINT AS highest FROM k LEFT JOIN sx USING (xi, dataset) GROUP BY ALL")
+def _over_empty(spark, sf_dir):
+    return tracks.over_datasets(_counted(spark, sf_dir), "xi", [*views.DATASETS, EMPTY])
+
+
+@query("j11_background_of_the_union", f"WITH {COVERAGE}, sx AS (SELECT dataset, xi, sum(n) AS s FROM n GROUP BY ALL), k AS (SELECT xi FROM sx GROUP BY ALL HAVING max(s) >= 460), x AS (SELECT idx, chr FROM ax) SELECT n.yi AS idx, sum(n.n)::BIGINT AS background FROM n JOIN k USING (xi) JOIN x xa ON xa.idx = n.xi JOIN x ya ON ya.idx = n.yi WHERE xa.chr <> ya.chr GROUP BY ALL")
+def _background_of_union(spark, sf_dir):
+    """With an empty dataset no slice is full in all, but some are in one."""
+    return tracks.background(_counted(spark, sf_dir), _axis(spark).bins(), 460, [*views.DATASETS, EMPTY], intersection=False)
 
 
 @query("j11_associated_background", f"WITH {ASSOC}, x AS (SELECT idx, chr FROM ax) SELECT n.yi AS idx, sum(n.n)::BIGINT AS background FROM n JOIN k USING (xi) JOIN x xa ON xa.idx = n.xi JOIN x ya ON ya.idx = n.yi WHERE xa.chr <> ya.chr GROUP BY ALL")
 def _background(spark, sf_dir):
-    return tracks.background(_counted(spark, sf_dir), _axis(spark).bins(), 400, ignore_cis=True)
+    return tracks.background(_counted(spark, sf_dir), _axis(spark).bins(), 400, views.DATASETS, ignore_cis=True)
 
 
 @query("n6_associated_slices", f"WITH {ASSOC}, bg AS (SELECT n.yi, sum(n.n) AS b FROM n JOIN k USING (xi) JOIN ax xa ON xa.idx = n.xi JOIN ax ya ON ya.idx = n.yi WHERE xa.chr <> ya.chr GROUP BY ALL) SELECT dataset, xi, yi, round(n / greatest(1, coalesce(b, 0)), 9) AS v FROM n LEFT JOIN bg USING (yi)")
 def _associated(spark, sf_dir):
     counts = _counted(spark, sf_dir)
-    bg = tracks.background(counts, _axis(spark).bins(), 400, ignore_cis=True)
+    bg = tracks.background(counts, _axis(spark).bins(), 400, views.DATASETS, ignore_cis=True)
     return tracks.over_background(counts, bg).select("dataset", "xi", "yi", F.round("v", 9).alias("v"))
 
 

@@ -81,11 +81,11 @@ def ranked(coverage: DataFrame) -> DataFrame:
     return coverage.filter("coverage > 0").withColumn("place", (F.row_number().over(Window.orderBy("coverage", "idx")) - 1).cast("long"))
 
 
-def over_datasets(counts: DataFrame, axis: str) -> DataFrame:
-    """(idx, lowest, highest) coverage of a slice among the datasets of counts; a dataset
-    with nothing in a slice has 0 there."""
-    slices = counts.groupBy("dataset", F.col(axis).alias("idx")).agg(F.sum("n").alias("s"))
-    return lowest_highest(slices, slices.select("dataset").distinct().agg(F.count(F.lit(1)).alias("datasets")), "idx", "s")
+def over_datasets(counts: DataFrame, axis: str, datasets: list[str]) -> DataFrame:
+    """(idx, lowest, highest) coverage of a slice among these datasets; one with nothing in a
+    slice, or without any read at all, has 0 there."""
+    slices = counts.filter(F.col("dataset").isin(*datasets)).groupBy("dataset", F.col(axis).alias("idx")).agg(F.sum("n").alias("s"))
+    return lowest_highest(slices, counts.sparkSession.createDataFrame([(len(set(datasets)),)], "datasets long"), "idx", "s")
 
 
 def lowest_highest(values: DataFrame, datasets: DataFrame, key: str, value: str) -> DataFrame:
@@ -119,10 +119,10 @@ def max_tile_coverage(contacts: DataFrame, contigs: DataFrame, sample: int, most
     return per_tile.groupBy("chr_x", "sample").agg(F.max("n").alias("coverage"))
 
 
-def background(counts: DataFrame, bins: DataFrame, least: int, ignore_cis: bool = True, intersection: bool = True) -> DataFrame:
+def background(counts: DataFrame, bins: DataFrame, least: int, datasets: list[str], ignore_cis: bool = True, intersection: bool = True) -> DataFrame:
     """(idx, background): what the slices of x that are full enough in every dataset (or, if
     not intersection, in one) have in a bin of y, other contigs only if ignore_cis."""
-    full = over_datasets(counts, "xi").filter((F.col("lowest") if intersection else F.col("highest")) >= least).select(F.col("idx").alias("xi"))
+    full = over_datasets(counts, "xi", datasets).filter((F.col("lowest") if intersection else F.col("highest")) >= least).select(F.col("idx").alias("xi"))
     side = lambda s: bins.select(F.col("idx").alias(f"{s}i"), F.col("chr").alias(f"chr_{s}"))
     rows = counts.join(full, "xi").join(side("x"), "xi").join(side("y"), "yi")
     if ignore_cis:
