@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspan.checks import annotating, base, counting, filing, ingesting, normalizing, parsing, planning, tracking, viewing, whole  # noqa: F401  they register their queries
+from gridspan.checks import annotating, base, counting, filing, ingesting, normalizing, parsing, planning, storing, tracking, viewing, whole  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, base.Query]:

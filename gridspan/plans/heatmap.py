@@ -60,6 +60,7 @@ class Heatmap:
     absent (a tuple of kinds for each of x and y): for the mirrored bin they change sides.
     annotated names the line_sweep() rows of an annotation for x, y or both: such an axis is
     made of them by the rules across and several, and its window is in their places.
+    totals (dataset, total) are the reads of datasets where contacts are summaries of them.
     contigs may have actual and ploidy_group: then copies of a contig are displayed, and
     ploidy_rules says which pairs of copies are real.
     """
@@ -95,6 +96,7 @@ class Heatmap:
     between_group: str = "sum"
     scale: str = "max"
     dense: bool = False
+    totals: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if self.normalize not in NORMALIZATIONS:
@@ -195,7 +197,7 @@ class Heatmap:
 
     def _over_totals(self, rows: DataFrame, unit: float, keys: tuple[str, ...]) -> DataFrame:
         total = count.fold(F.col("total"), F.col("total"), self.symmetry)
-        totals = combine.group_values(ingest.totals(self.contacts).withColumn("k", F.lit(1)), total, self.group_a, self.group_b, self.in_group, ("k",))
+        totals = combine.group_values((ingest.totals(self.contacts) if self.totals is None else self.totals).withColumn("k", F.lit(1)), total, self.group_a, self.group_b, self.in_group, ("k",))
         rows = rows.crossJoin(F.broadcast(totals.select(F.col("va").alias("ta"), F.col("vb").alias("tb"))))  # a single row
         return rows.select(*keys, combine.per(F.col("va"), F.col("ta"), unit).alias("va"), combine.per(F.col("vb"), F.col("tb"), unit).alias("vb"))
 
