@@ -51,6 +51,11 @@ ANNOTATIONS = """an AS (
 CONTIGS = "g(chr, ord, len) AS (VALUES ('chr0', 0, 102), ('chr1', 1, 102), ('chr2', 2, 102), ('chr3', 3, 102))"
 
 
+#: Contigs of unequal lengths that follow from the data; off is the length of those before.
+CUSTOMER_CONTIGS = """g AS (SELECT *, coalesce(sum(len) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM (SELECT 'nation' || c_nationkey AS chr, c_nationkey AS ord, count(*) // (1 + c_nationkey % 3) AS len FROM customer GROUP BY c_nationkey))"""
+
+
 def axis_sql(size: int, name: str = "ax") -> str:
     """Bins of the whole genome, the last of a contig taking what is left."""
     return f"""{name} AS (

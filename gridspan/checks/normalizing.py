@@ -8,7 +8,7 @@ from gridspan.operators import combine, count, decay, ingest, normalize, samplin
 from gridspan.plans import axis
 from gridspan.sources import views
 
-from .base import CONTACTS, CONTIGS, axis_sql, counts_sql, query
+from .base import CONTACTS, CONTIGS, CUSTOMER_CONTIGS, axis_sql, counts_sql, query
 from .counting import AB
 from .ingesting import SWEEP
 
@@ -158,10 +158,12 @@ def _copies(spark):
     return spark.createDataFrame(COPIES, "chr string, actual string, ord int, ploidy_group int")
 
 
-@query("a17_ploidy_spots", f"WITH {COPIES_SQL} SELECT x.actual AS actual_x, y.actual AS actual_y, sum(CASE WHEN x.ploidy_group = y.ploidy_group THEN 1 ELSE 0 END)::BIGINT AS spots FROM pl x CROSS JOIN pl y GROUP BY ALL")
+@query("a17_ploidy_spots", f"WITH {CONTACTS}, {COPIES_SQL}, s AS (SELECT x.actual AS actual_x, y.actual AS actual_y, sum(CASE WHEN x.ploidy_group = y.ploidy_group THEN 1 ELSE 0 END)::BIGINT AS spots FROM pl x CROSS JOIN pl y GROUP BY ALL) SELECT actual_x, actual_y, spots, count(*) AS reads FROM s JOIN c ON chr_x = actual_x AND chr_y = actual_y GROUP BY ALL")
 def _spots(spark, sf_dir):
     c = _copies(spark)
-    return combine.ploidy_spots(c, c, keep_distinct_group=False)
+    spots = combine.ploidy_spots(c, c, keep_distinct_group=False)
+    reads = views.contacts(spark, sf_dir).groupBy(F.col("chr_x").alias("actual_x"), F.col("chr_y").alias("actual_y")).agg(F.count(F.lit(1)).alias("reads"))
+    return spots.join(reads, ["actual_x", "actual_y"])
 
 
 @query(
@@ -217,9 +219,9 @@ def _annotation_samples(spark, sf_dir):
     return out
 
 
-@query("o5_spaced_bins", f"WITH {CONTIGS}, s AS (SELECT greatest(10, sum(len) // 12)::BIGINT AS step FROM g) SELECT chr, ord, pos FROM (SELECT chr, ord, unnest(range(0, len - 10 + 1, step)) AS pos FROM g, s WHERE len >= 10) ORDER BY ord, pos LIMIT 12")
+@query("o5_spaced_bins", f"WITH {CUSTOMER_CONTIGS}, s AS (SELECT greatest(10, sum(len) // 40)::BIGINT AS step FROM g) SELECT chr, ord, pos FROM (SELECT chr, ord, unnest(range(0, len - 10 + 1, step)) AS pos FROM g, s WHERE len >= 10) ORDER BY ord, pos LIMIT 40")
 def _spaced(spark, sf_dir):
-    return sampling.spaced_bins(views.contigs(spark), 10, 12)
+    return sampling.spaced_bins(views.customer_contigs(spark, sf_dir), 10, 40)
 
 
 @query(

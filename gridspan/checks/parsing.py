@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspan.sources import text, views
 
-from .base import ANNOTATIONS, CONTACTS, RAW, TRACK, query
+from .base import ANNOTATIONS, CONTACTS, CUSTOMER_CONTIGS, RAW, TRACK, query
 from .counting import AXES, counts_sql
 
 
@@ -51,21 +51,27 @@ def _gff(spark, sf_dir):
     return text.parse_gff(lines.union(spark.createDataFrame([("##gff-version 3",), ("",)], "value string")))
 
 
-@query("s1_contig_sizes", "SELECT 'chr' || i AS chr, 1020000 + i AS len_bp, 102 AS len FROM range(4) r(i)")
+def _described(spark, sf_dir):
+    return views.customer_contigs(spark, sf_dir).selectExpr("ord AS at", "chr", "len * 10000 + ord AS bp")
+
+
+@query("s1_contig_sizes", f"WITH {CUSTOMER_CONTIGS} SELECT chr, len * 10000 + ord AS len_bp, (len * 10000 + ord) // 10000 AS len FROM g")
 def _sizes(spark, sf_dir):
-    lines = spark.range(4).selectExpr("id AS at", "concat('chr', id, '\t', 1020000 + id) AS value")
-    return text.contig_sizes(lines, views.DIVIDEND).drop("at")
+    return text.contig_sizes(_described(spark, sf_dir).selectExpr("at", "concat(chr, '\t', bp) AS value"), views.DIVIDEND).drop("at")
 
 
-@query("s2_gff_contigs", "SELECT 'chr' || i AS chr, 1020000 + i AS len_bp, 102 AS len FROM range(4) r(i)")
+@query("s2_gff_contigs", f"WITH {CUSTOMER_CONTIGS} SELECT chr, len * 10000 + ord AS len_bp, (len * 10000 + ord) // 10000 AS len FROM g")
 def _regions(spark, sf_dir):
-    return text.gff_contigs(spark.range(4).selectExpr("concat('##sequence-region chr', id, ' 1 ', 1020000 + id) AS value"), views.DIVIDEND)
+    """Region lines among annotation lines."""
+    lines = _described(spark, sf_dir).selectExpr("concat('##sequence-region ', chr, ' 1 ', bp) AS value")
+    return text.gff_contigs(lines.union(views.annotations(spark, sf_dir).selectExpr("concat_ws('\t', chr, 'made', type, start_bp, end_bp) AS value")), views.DIVIDEND)
 
 
-@query("s10_ploidy", "SELECT * FROM (VALUES ('chr0', 'chr0-a', 0), ('chr1', 'chr1-a', 0), ('chr0', 'chr0-b', 1)) q(source, shown, ploidy_group)")
+@query("s10_ploidy", f"WITH {CUSTOMER_CONTIGS} SELECT chr AS source, chr || '-a' AS shown, 0 AS ploidy_group FROM g WHERE len >= 25 UNION ALL SELECT chr, chr || '-b', 1 FROM g WHERE len >= 25 AND ord % 2 = 0")
 def _ploidy(spark, sf_dir):
-    lines = ["# copies", "chr0 chr0-a", "chr1 chr1-a", "chr9 chr9-a", "---", "chr0 chr0-b"]
-    return spark.createDataFrame(text.read_ploidy(lines, {"chr0", "chr1"}), "source string, shown string, ploidy_group int")
+    contigs = views.customer_contigs(spark, sf_dir).orderBy("ord").collect()  # a list that the interface reads on the driver
+    lines = ["# copies", *[f"{c['chr']} {c['chr']}-a" for c in contigs], "nowhere nowhere-a", "---", *[f"{c['chr']} {c['chr']}-b" for c in contigs if c["ord"] % 2 == 0]]
+    return spark.createDataFrame(text.read_ploidy(lines, {c["chr"] for c in contigs if c["len"] >= 25}), "source string, shown string, ploidy_group int")
 
 
 @query("j13_pixels", f"WITH {CONTACTS}, {AXES}, n AS ({counts_sql()}) SELECT x.chr AS chr_x, y.chr AS chr_y, x.index_pos AS x_s, y.index_pos AS y_s, n AS cnt FROM n JOIN ax x ON xi = x.idx JOIN ay y ON yi = y.idx WHERE dataset = 'rep1'")

@@ -8,54 +8,63 @@ from gridspan.functions import text
 from gridspan.operators import ingest
 from gridspan.plans import axis
 from gridspan.plans.annotation_axis import annotation_axis
+from gridspan.session import Session
 from gridspan.sources import views
 
-from .base import ANNOTATIONS, CONTACTS, CONTIGS, axis_sql, query
+from .base import ANNOTATIONS, CONTACTS, CUSTOMER_CONTIGS, query
 from .ingesting import SWEEP
 
 SIZE = 30
 COLUMNS = ["chr", "index_pos", "index_size", "screen_pos"]
 
 
-def _shape(n: str, size: str, screen: str = "ord * 102 + k * 30", where: str = "true") -> str:
-    return f"WITH {CONTIGS}, k AS (SELECT *, unnest(range({n})) AS k FROM g) SELECT chr, k * 30 AS index_pos, {size} AS index_size, {screen} AS screen_pos FROM k WHERE {where}"
+def _shape(n: str, size: str, screen: str = "off + k * 30", where: str = "true", before: str = "g") -> str:
+    return f"WITH {CUSTOMER_CONTIGS}, h AS ({before}), k AS (SELECT *, unnest(range(({n})::BIGINT)) AS k FROM h WHERE {where}) SELECT chr, k * 30 AS index_pos, {size} AS index_size, {screen} AS screen_pos FROM k"
+
+
+def _whole(length: str) -> str:
+    return f"SELECT chr, ord, w AS len, sum(w) OVER (ORDER BY ord) - w AS off FROM (SELECT chr, ord, {length} AS w FROM g)"
 
 
 SHAPES = {
-    "smaller": _shape("4", "least(30, len - k * 30)"),
-    "larger": _shape("3", "CASE WHEN k = 2 THEN 42 ELSE 30 END"),
-    "skip": _shape("3", "30"),
-    "fit_chrom_smaller": _shape("3", "30", "ord * 90 + k * 30"),
-    "fit_chrom_larger": _shape("4", "30", "ord * 120 + k * 30"),
-    "cover_multiple": "WITH s AS (SELECT unnest(range(14)) * 30 AS p) SELECT 'chr' || (p // 102) AS chr, p % 102 AS index_pos, 30 AS index_size, p AS screen_pos FROM s",
+    "smaller": _shape("(len + 29) // 30", "least(30, len - k * 30)", where="len >= 30", before="SELECT * FROM g"),
+    "larger": _shape("greatest(1, len // 30)", "CASE WHEN k = greatest(1, len // 30) - 1 THEN len - k * 30 ELSE 30 END", where="len >= 30", before="SELECT * FROM g"),
+    "skip": _shape("len // 30", "30", before="SELECT * FROM g"),
+    "fit_chrom_smaller": _shape("len // 30", "30", "(off + k * 30)::BIGINT", before=_whole("len // 30 * 30")),
+    "fit_chrom_larger": _shape("len // 30", "30", "(off + k * 30)::BIGINT", before=_whole("(len + 29) // 30 * 30")),
+    "cover_multiple": f"WITH {CUSTOMER_CONTIGS}, s AS (SELECT unnest(range((SELECT sum(len)::BIGINT + 29 FROM g) // 30)) * 30 AS p) SELECT chr, p - off AS index_pos, 30 AS index_size, p AS screen_pos FROM s JOIN g ON p >= off AND p < off + len",
 }
 for _how, _sql in SHAPES.items():
-    query(f"c5_axis_{_how}", _sql)(lambda spark, sf_dir, h=_how: axis.genome_axis(views.contigs(spark), SIZE, h).bins().select(*COLUMNS))
+    query(f"c5_axis_{_how}", _sql)(lambda spark, sf_dir, h=_how: axis.genome_axis(views.customer_contigs(spark, sf_dir), SIZE, h).bins().select(*COLUMNS))
 
 
-@query("c10_window_axis", f"WITH {CONTIGS}, q AS (SELECT 'chr0' AS chr, 35 + k * 30 AS index_pos, 30 + CASE WHEN k = 1 THEN 7 ELSE 0 END AS index_size, 35 + k * 30 AS screen_pos FROM range(2) r(k) UNION ALL SELECT 'chr1', k * 30, 30, 102 + k * 30 FROM range(2) r(k)) SELECT * FROM q")
+@query(
+    "c10_window_axis",
+    f"WITH {CUSTOMER_CONTIGS}, w AS (SELECT *, greatest(0, 35 - off) AS low, least(450, off + len) - off - greatest(0, 35 - off) AS seen FROM g), n AS (SELECT *, greatest(1, (len - low) // 30) AS held FROM w WHERE seen > 0 AND (low > 0 OR len - low >= 30)), k AS (SELECT *, unnest(range(least(held, (seen + 29) // 30)::BIGINT)) AS k FROM n) SELECT chr, low + k * 30 AS index_pos, CASE WHEN k = held - 1 THEN len - low - k * 30 ELSE 30 END AS index_size, off + low + k * 30 AS screen_pos FROM k",
+)
 def _window(spark, sf_dir):
-    return axis.genome_axis(views.contigs(spark), SIZE, window=(35, 150)).bins().select(*COLUMNS)
+    return axis.genome_axis(views.customer_contigs(spark, sf_dir), SIZE, window=(35, 450)).bins().select(*COLUMNS)
 
 
-@query("w1_contig_offsets", f"WITH {CONTIGS} SELECT chr, coalesce(sum(len) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at FROM g")
+@query("w1_contig_offsets", f"WITH {CUSTOMER_CONTIGS} SELECT chr, off AS start_at FROM g")
 def _offsets(spark, sf_dir):
-    return axis.offsets(views.contigs(spark)).select("chr", F.col("offset").alias("start_at"))
+    return axis.offsets(views.customer_contigs(spark, sf_dir)).select("chr", F.col("offset").alias("start_at"))
 
 
-@query("c11_contig_ticks", f"WITH {CONTIGS} SELECT chr, ord * 102 AS start_at, ord * 102 + len / 2.0 AS label_at, (ord + 1) * 102 AS end_at FROM g")
+@query("c11_contig_ticks", f"WITH {CUSTOMER_CONTIGS} SELECT chr, off AS start_at, off + len / 2.0 AS label_at, off + len AS end_at FROM g")
 def _ticks(spark, sf_dir):
-    return axis.ticks(views.contigs(spark)).select("chr", F.col("offset").alias("start_at"), "label_at", F.col("end").alias("end_at"))
+    return axis.ticks(views.customer_contigs(spark, sf_dir)).select("chr", F.col("offset").alias("start_at"), "label_at", F.col("end").alias("end_at"))
 
 
-@query("a16_canvas_size", f"WITH {CONTIGS} SELECT sum(len)::BIGINT AS canvas FROM g")
+@query("a16_canvas_size", f"WITH {CUSTOMER_CONTIGS}, k AS (SELECT sum(len // 30 * 30)::BIGINT AS fitted FROM g) SELECT sum(len)::BIGINT AS canvas, any_value(fitted) AS fitted FROM g, k")
 def _canvas(spark, sf_dir):
-    return views.contigs(spark).agg(F.sum("len").alias("canvas"))
+    c = views.customer_contigs(spark, sf_dir)
+    return axis.canvas(c).crossJoin(axis.canvas(c, SIZE, "fit_chrom_smaller").withColumnRenamed("canvas", "fitted"))  # single rows
 
 
-@query("m7_axis_regions", f"WITH {CONTIGS}, {axis_sql(30)} SELECT chr, min(index_pos) AS index_pos, max(index_pos + index_size) AS index_size, min(screen_pos) AS screen_pos, count(*) AS num_bins FROM ax GROUP BY ALL")
+@query("m7_axis_regions", f"WITH {CUSTOMER_CONTIGS} SELECT chr, 0 AS index_pos, len AS index_size, off AS screen_pos, len // 30 AS num_bins FROM g WHERE len >= 30")
 def _regions(spark, sf_dir):
-    return axis.regions_of(axis.genome_axis(views.contigs(spark), SIZE).bins()).drop("ord")
+    return axis.regions_of(axis.genome_axis(views.customer_contigs(spark, sf_dir), SIZE).bins()).drop("ord")
 
 
 @query("c7_active_contigs", f"WITH {CONTACTS} SELECT chr_x, chr_y, count(*) AS n_reads FROM c WHERE chr_x IN ('chr1', 'chr3') AND chr_y IN ('chr0', 'chr1') GROUP BY ALL")
@@ -122,13 +131,17 @@ def _safe(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.safe_file_name(F.col("p_name")).alias("safe"))
 
 
-@query("c1_bin_sizes")
-def _bin_sizes(spark, sf_dir):
-    """Automatic bin sizes over windows of growing extent (planned on the driver)."""
-    from gridspan.session import Session
-
-    s = Session().interface()
-    rows = [(w, *axis.bin_size((0, w, 0, w), s, views.DIVIDEND)) for w in (100, 10_000, 1_000_000, 100_000_000)]
-    return spark.createDataFrame(rows, "window long, width long, height long")
+_S = Session().interface()
+_MOST, _LEAST = _S["max_num_bins"] * _S["max_num_bins_factor"], axis.least_bin(_S["min_bin_size"], views.DIVIDEND)
 
 
+@query(
+    "c1_bin_sizes",
+    f"""WITH {CUSTOMER_CONTIGS}, w AS (SELECT chr, len * {views.DIVIDEND} AS width FROM g), f AS (SELECT f * 10 ** k AS size FROM (SELECT unnest([{", ".join(map(str, _S["snap_factors"]))}]) AS f), (SELECT unnest(range(12)) AS k))
+SELECT chr, width, greatest({_LEAST}, ceil(sqrt(width * width // {_MOST})))::BIGINT AS plain, greatest({_LEAST}, floor(min(size)))::BIGINT AS snapped FROM w JOIN f ON size > sqrt(width * width // {_MOST}) GROUP BY ALL""",
+)
+def _bin_sizes(spark, sf_dir):
+    """Automatic bin sizes of windows on each contig."""
+    rows = [(r["chr"], r["len"] * views.DIVIDEND) for r in views.customer_contigs(spark, sf_dir).collect()]  # contigs are few
+    size = lambda w, snap: axis.bin_size((0, w, 0, w), _S | {"snap_bin_size": snap}, views.DIVIDEND)[0]
+    return spark.createDataFrame([(c, w, size(w, False), size(w, True)) for c, w in rows], "chr string, width long, plain long, snapped long")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from gridspan.operators import combine, count, ingest, tracks
 from gridspan.plans import axis
+from gridspan.plans.heatmap import Heatmap
 from gridspan.sources import views
 
-from .base import ANNOTATIONS, CONTACTS, CONTIGS, TRACK, axis_sql, counts_sql, query
+from .base import ANNOTATIONS, CONTACTS, CONTIGS, CUSTOMER_CONTIGS, TRACK, axis_sql, counts_sql, query
 from .counting import AB, SIZE, _axis, _counted, _groups
 from .ingesting import SWEEP
 
@@ -134,10 +135,10 @@ def _filter(spark, sf_dir):
     return both.filter("c0 >= 1000 and c1 >= 900")
 
 
-@query("j12_shown_on_both", f"WITH {CONTIGS} SELECT chr FROM g WHERE ord < 3 AND ord > 0")
+@query("j12_shown_on_both", f"WITH {CUSTOMER_CONTIGS} SELECT chr, len FROM g WHERE len >= 25 AND ord % 2 = 0")
 def _both(spark, sf_dir):
-    c = views.contigs(spark)
-    return c.filter("ord < 3").join(c.filter("ord > 0"), "chr", "left_semi").select("chr")
+    c = views.customer_contigs(spark, sf_dir)
+    return axis.shown_on_both(c.filter("len >= 25"), c.filter("ord % 2 = 0")).select("chr", "len")
 
 
 @query("w9_polylines", f"WITH {T_AX}, {T_COUNT} SELECT dataset, chr, count(*) AS points, sum(n)::BIGINT AS total, list(n ORDER BY idx)[1] AS first_n FROM tc JOIN ax USING (idx) GROUP BY ALL")
@@ -161,10 +162,11 @@ def _keys(spark, sf_dir):
     return tracks.key_overlap(rows.filter("dataset = 'rep0'"), rows.filter("dataset = 'rep1'"), ["xi", "yi"])
 
 
-@query("u1_active_datasets", "SELECT unnest(['rep0', 'rep1', 'rep2']) AS dataset")
+@query("u1_active_datasets", f"WITH {CONTACTS} SELECT dataset, count(*) AS reads FROM c WHERE cnt > 0 GROUP BY ALL")
 def _active(spark, sf_dir):
-    one = lambda names: spark.createDataFrame([(n,) for n in names], "dataset string")
-    return one(views.GROUP_A).union(one(views.GROUP_B)).distinct()
+    """The datasets of both groups, each once, with their reads."""
+    h = Heatmap(views.contacts(spark, sf_dir), views.contigs(spark), views.DIVIDEND, [*views.GROUP_A, "rep2"], views.GROUP_B)
+    return ingest.totals(h.filtered()).withColumnRenamed("total", "reads")
 
 
 @query("u4_window_tiles", f"WITH {COVERAGE} SELECT * FROM n WHERE xi < 20")

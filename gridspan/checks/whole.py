@@ -159,11 +159,18 @@ def _flag_settings():
     return [dict(zip(names, (n & 8 > 0, n & 4 > 0, n & 2 > 0, n & 1 > 0), strict=True)) for n in range(16)]
 
 
+def _ruled(spark, sf_dir, rules):
+    """All reads of every pair of displayed copies, over the spots that the rules leave."""
+    copies = spark.createDataFrame(COPIES, "chr string, actual string, ord int, len long, ploidy_group int")
+    h = Heatmap(views.contacts(spark, sf_dir), copies, views.DIVIDEND, [*views.GROUP_A, *views.GROUP_B], mode="first", bin_size=(102, 102), scale="dont", between_group="1st", ploidy_rules=rules)
+    return h.values().join(combine.ploidy_divisors(copies, **rules), ["chr_x", "chr_y"]).select("chr_x", "chr_y", "spots", F.round("v", 6).alias("v"))
+
+
 for _n, _rules in enumerate(_flag_settings()):
     _s = {k: str(v).lower() for k, v in _rules.items()}
     _pairs = PAIRS_SQL.format(intra=_s["remove_intra"], inter=_s["keep_inter_group"], distinct=_s["keep_distinct_group"], others=_s["remove_others"])
-    query(f"a17_ploidy_rules_{_n}", f"WITH {COPIES_SQL}, {_pairs} SELECT cx AS chr_x, cy AS chr_y, spots::BIGINT AS spots FROM sp")(
-        lambda spark, sf_dir, r=_rules: combine.ploidy_divisors(spark.createDataFrame(COPIES, "chr string, actual string, ord int, len long, ploidy_group int"), **r)
+    query(f"a17_ploidy_rules_{_n}", f"WITH {CONTACTS}, {COPIES_SQL}, {_pairs}, k AS (SELECT x.chr AS cx, y.chr AS cy, count(*) AS n FROM c JOIN g x ON x.actual = chr_x JOIN g y ON y.actual = chr_y GROUP BY ALL) SELECT cx AS chr_x, cy AS chr_y, spots::BIGINT AS spots, round(CASE WHEN spots > 0 THEN n / spots ELSE 0 END, 6) AS v FROM sp JOIN k USING (cx, cy)")(
+        lambda spark, sf_dir, r=_rules: _ruled(spark, sf_dir, r)
     )
     if _n in (0b1111, 0b0110):
 
@@ -243,9 +250,15 @@ def _colors(spark, sf_dir):
     return rows.select("xi", "yi", combine.color_index(F.round("scaled", 12), -1.0, 1.0, 10.0, 256, True).alias("color"))
 
 
-@query("n14_palette", "SELECT k::BIGINT AS place, least(255, floor(greatest(0, round(ln(16 * (least(1.0, k / 255.0) * (15 / 16.0) + 1 / 16.0)) / ln(16), 12) * 255)))::INT AS color FROM (SELECT unnest(range(256)) AS k)")
+@query(
+    "n14_palette",
+    f"WITH {BINS}, e AS (SELECT max(a) AS hi FROM d), u AS (SELECT least(255, floor(greatest(0, round(ln(16 * (least(1.0, round(a / hi, 12)) * (15 / 16.0) + 1 / 16.0)) / ln(16) * 255, 9))))::INT AS color, count(*) AS bins FROM d, e GROUP BY ALL), p AS (SELECT k::BIGINT AS place, least(255, floor(greatest(0, round(ln(16 * (least(1.0, k / 255.0) * (15 / 16.0) + 1 / 16.0)) / ln(16), 12) * 255)))::INT AS color FROM (SELECT unnest(range(256)) AS k)) SELECT place, color, coalesce(bins, 0) AS bins FROM p LEFT JOIN u USING (color)",
+)
 def _palette(spark, sf_dir):
-    return combine.palette(256, 0.0, 1.0, 4.0, False, spark)
+    """The legend, and how many bins of a heatmap have each of its colours."""
+    rows = heatmap(spark, sf_dir, between_group="1st", scale="max", dense=True).values()
+    used = rows.groupBy(combine.color_index(F.round("scaled", 12), 0.0, 1.0, 4.0).alias("color")).agg(F.count(F.lit(1)).alias("bins"))
+    return combine.palette(256, 0.0, 1.0, 4.0, False, spark).join(used, "color", "left").select("place", "color", F.coalesce("bins", F.lit(0)).alias("bins"))
 
 
 @query("n14_palette_ticks", f"WITH {BINS}, e AS (SELECT min(a - b) AS lo, max(a - b) AS hi FROM d), k AS (SELECT *, least(lo, -2) AS l, greatest(hi, 1) AS h FROM e) SELECT round((lo - l) / (h - l), 9) AS data_low, round((hi - l) / (h - l), 9) AS data_high, round((-2 - l) / (h - l), 9) AS range_low, round((1 - l) / (h - l), 9) AS range_high FROM k")

@@ -148,6 +148,18 @@ def genome_axis(contigs: DataFrame, size: int, cut_off: str = "larger", window:
     return Axis(rows.select("chr", "actual", "ord", b.alias("step"), "origin", "n", first.alias("first"), "stop", "offset"))
 
 
+def canvas(contigs: DataFrame, size: int = 1, cut_off: str = "larger") -> DataFrame:
+    """One row: the length of all contigs on the screen, under a rule that changes them to whole bins or none."""
+    whole = {"fit_chrom_smaller": F.expr(f"len div {size} * {size}"), "fit_chrom_larger": F.expr(f"(len + {size - 1}) div {size} * {size}")}
+    return contigs.agg(F.coalesce(F.sum(whole.get(cut_off, F.col("len"))), F.lit(0)).alias("canvas"))
+
+
+def shown_on_both(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Contigs of x that y displays too, whatever their copies are called."""
+    name = lambda d: d.withColumn("actual", F.col("actual") if "actual" in d.columns else F.col("chr"))
+    return name(x).join(name(y).select("actual").distinct(), "actual", "left_semi")
+
+
 def region_axis(regions: DataFrame) -> DataFrame:
     """Irregular bins (chr, index_pos, index_size), which may overlap, numbered in order."""
     return regions.withColumn("idx", F.row_number().over(Window.orderBy("chr", "index_pos", "index_size")) - 1)

@@ -24,6 +24,12 @@ def contigs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONTIGS, "chr string, ord int, len long")
 
 
+def customer_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chr, ord, len) of contigs whose lengths follow the customers of each nation."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return rows.selectExpr("concat('nation', c_nationkey) AS chr", "c_nationkey AS ord", "n div (1 + c_nationkey % 3) AS len")
+
+
 def raw_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos1, pos2 = "(l_partkey * 7919 + l_orderkey * 31) % 1000000", "(l_suppkey * 104729 + l_orderkey * 17 + l_linenumber * 4001) % 1000000"
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
