@@ -191,10 +191,8 @@ POWER = "CASE WHEN p_partkey = 0 THEN 0 ELSE p_partkey & -p_partkey END"
 
 @query("o1_coarse_order", f"SELECT p_partkey AS x, row_number() OVER (ORDER BY {POWER} DESC, p_partkey) AS place FROM part")
 def _order(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("x"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*sampling.coarse_first())).cast("long"))
+    return sampling.numbered(rows, sampling.coarse_first())
 
 
 @query("o2_representative", f"SELECT p_size, arg_max(p_partkey, {{'a': {POWER}, 'b': -p_partkey}}) AS x FROM part GROUP BY ALL")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspan.staging import staged
+
 from . import intervals
 
 
@@ -18,6 +20,19 @@ def coarse_first(x: str = "x") -> list[Column]:
     return [two_power(F.col(x)).desc(), F.col(x).asc()]
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "place", parts: int | None = None) -> DataFrame:
+    """rows with name, their place from 1 in this order. Rows are dealt to ranges of the order,
+    each range is numbered by itself, and the counts of those before are added: no task
+    sees more than its range. The ranges are a staged table, as a second draw of their
+    bounds could differ."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = staged(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    starts = ranges.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + own).cast("long")).drop("_range", "_start")
+
+
 def take(rows: DataFrame, n: int, x: str = "x", key: str | None = None) -> DataFrame:
     """The first n rows in coarse order; of rows with one key the first counts."""
     if key is not None:

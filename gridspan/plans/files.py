@@ -12,14 +12,14 @@ from gridspan.sources import text
 NAMELESS = ("", ".", "-", "/")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(value, file, block, line): block is where the split that holds a line begins, and
     line rises within a block."""
     lines = spark.read.text(path)
     return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
-def read_files(spark: SparkSession, path: str, kind: str = "pairs", layout: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str], kind: str = "pairs", layout: str | None = None) -> DataFrame:
     """String columns of all known names with file, block and line. Without a layout each
     file's own first `#columns:` line holds for it, and the default for files without one."""
     lines = numbered_lines(spark, path)
@@ -28,10 +28,14 @@ def read_files(spark: SparkSession, path: str, kind: str = "pairs", layout: str
     own = lines.filter(F.col("value").startswith("#columns:")).groupBy("file").agg(F.min_by("value", F.struct("block", "line")).alias("_layout"))
     kinds = [r["_layout"] for r in own.select("_layout").distinct().collect()]  # as many as there are layouts
     tagged = lines.join(own, "file", "left")
-    out = text.parse_table(tagged.filter(F.col("_layout").isNull()).drop("_layout"), kind)
+
+    def lines_of(own_layout: Column) -> DataFrame:
+        # the lines depend on the layout, else filters on their fields could be tested before it
+        return tagged.filter(own_layout).withColumn("value", F.when(own_layout, F.col("value"))).drop("_layout")
+
+    out = text.parse_table(lines_of(F.col("_layout").isNull()), kind)
     for found in kinds:
-        part = tagged.filter(F.col("_layout") == found).drop("_layout")
-        out = out.unionByName(text.parse_table(part, kind, found.removeprefix("#columns:").strip()))
+        out = out.unionByName(text.parse_table(lines_of(F.col("_layout") == found), kind, found.removeprefix("#columns:").strip()))
     return out
 
 
@@ -109,7 +113,7 @@ def _merged(loci: DataFrame, sides: int, kinds: tuple[str, ...], all_loci: bool)
 
 
 def contacts_of_files(
-    spark: SparkSession, path: str, dataset: str, contigs: DataFrame, dividend: int, annotations: DataFrame | None = None, kinds: tuple[str, ...] = (), layout: str | None = None, groups: bool = True, upper: bool = False, **flags: bool
+    spark: SparkSession, path: str | list[str], dataset: str, contigs: DataFrame, dividend: int, annotations: DataFrame | None = None, kinds: tuple[str, ...] = (), layout: str | None = None, groups: bool = True, upper: bool = False, **flags: bool
 ) -> DataFrame:
     """Encoded contacts of pair files, with cat_x and cat_y if kinds are named.
 
@@ -133,7 +137,7 @@ def contacts_of_files(
     return held.withColumns({"cat_x": F.col("read_id.cat1"), "cat_y": F.col("read_id.cat2"), "read_id": F.col("read_id.read_id")})
 
 
-def track_of_files(spark: SparkSession, path: str, dataset: str, contigs: DataFrame, dividend: int, layout: str | None = None, groups: bool = True) -> DataFrame:
+def track_of_files(spark: SparkSession, path: str | list[str], dataset: str, contigs: DataFrame, dividend: int, layout: str | None = None, groups: bool = True) -> DataFrame:
     """Encoded 1-D reads of track files: dataset, read_id, chr, x_s, x_e, bucket, strand, cnt."""
     rows = ingest.known_contigs(read_files(spark, path, "track", layout), contigs, "chr")
     reads = _merged(_loci(file_islands(rows, "readid"), [(1, "chr", "pos", "mapq", "strand", "xa")]), 1, (), groups)

@@ -86,11 +86,13 @@ class Store:
     def _batches(self) -> DataFrame:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest")
 
-    def add(self, dataset: str, contacts: DataFrame) -> str:
+    def add(self, dataset: str, contacts: DataFrame, batch: str | None = None) -> str:
         """Add encoded contacts to a dataset, new or not, and return the batch's name. Steps are
         summed from one another, so the contacts are read once; without any the dataset is
-        still listed."""
-        batch = uuid.uuid4().hex
+        still listed. A batch that has a name is added once, however often it is asked for."""
+        if batch is not None and not self._batches().filter(F.col("batch") == batch).isEmpty():
+            return batch
+        batch = batch or uuid.uuid4().hex
         rows, before = contacts.withColumn("dataset", F.lit(dataset)), 1
         rows = ingest.known_contigs(rows, self.contigs, "chr_x", "chr_y")
         for factor in self.factors:
@@ -101,7 +103,7 @@ class Store:
                 fine = self.spark.read.parquet(f"{self.folder}/data/{batch}/{before}") if factor % before == 0 else self.spark.read.parquet(f"{self.folder}/data/{batch}/1")
                 step = {c: F.expr(f"{c} div {factor // before if factor % before == 0 else factor}") for c in ("x_s", "x_e", "y_s", "y_e")}
                 table = fine.withColumns(step).groupBy(*[c for c in KEYS if c in fine.columns]).agg(F.sum("cnt").alias("cnt"), F.sum("reads").alias("reads"))
-            table.write.parquet(at)
+            table.write.mode("overwrite").parquet(at)
             before = factor
         kept = self.spark.read.parquet(f"{self.folder}/data/{batch}/1")
         found = ingest.diagnostics(kept.drop("total_reads"), self.contigs).drop("total_reads").join(kept.groupBy("dataset").agg(F.sum("reads").alias("total")), "dataset")

@@ -55,3 +55,32 @@ def test_only_what_the_manifest_names_is_there(spark, sf_dir, store):
         Store.open(spark, f"{store.folder}-other")
     assert again.contacts(["empty"]).count() == 0
     assert again.heatmap(["empty"], bin_size=(20, 20), scale="dont").values().count() == 0
+
+
+def test_a_stream_of_files_equals_their_batch_ingest(spark, tmp_path):
+    """Reads of several lines, files that arrive in turn, and a batch that runs twice."""
+    from pyspark.sql import functions as F
+
+    from gridspan.plans import files
+    from gridspan.store import summary
+    from gridspan.streaming import contacts as stream
+
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    contigs = spark.createDataFrame([("chr0", 0, 50), ("chr1", 1, 50)], "chr string, ord int, len long")
+    into = Store.create(spark, str(tmp_path / "all.store"), contigs, 10, (1, 5))
+    head = ["#columns: readid chr1 pos1 chr2 pos2 strand1 strand2 mapq1 mapq2\n", "", "#columns: chr1 pos1 chr2 pos2 readid\n"]
+    line = [lambda r, x, y: f"{r} chr0 {x} chr1 {y} + - {x % 40} 9\n", lambda r, x, y: f"{r} chr0 {x} chr0 {y}\n", lambda r, x, y: f"chr1 {x} chr0 {y} {r}\n"]
+    for n in range(6):
+        kind = n % 3
+        rows = [line[kind](f"r{k // (1 + n % 4)}", (7 * k + n) % 400, (31 * k) % 400) for k in range(40)]
+        (folder / f"{n}.pairs").write_text(head[kind] + "".join(rows) + "r99 nowhere 1 chr0 2\n" * (kind == 1))
+        if n % 2:
+            stream.follow_into(into, str(folder), state, "rep", files_per_batch=1).awaitTermination()
+    want = summary(files.contacts_of_files(spark, str(folder), "rep", contigs, 10), 1)
+    got = into.contacts(["rep"]).groupBy(*[c for c in want.columns if c not in ("cnt", "reads")]).agg(F.sum("cnt").alias("cnt"), F.sum("reads").alias("reads"))
+    assert want.agg(F.sum("reads")).first()[0] > 100
+    assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+    assert into.datasets().first()["batches"] == 6
+    name = into._batches().first()["batch"]
+    assert into.add("rep", into.contacts(["rep"]), name) == name and into.datasets().first()["batches"] == 6
