@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridspan.operators import ingest
+from gridspan.operators import diagnostics, ingest
 from gridspan.sources import views
 
 from .base import ANNOTATIONS, BUCKET, CONTACTS, RAW, TRACK, query
@@ -157,14 +157,13 @@ def _sweep(spark, sf_dir):
 
 @query("a15_annotation_totals", f"WITH {SWEEP} SELECT type, chr, (max(coord_e) - min(coord_s))::BIGINT AS total_size, (max(interval_id) + 1)::INT AS intervals FROM sw GROUP BY ALL")
 def _anno_totals(spark, sf_dir):
-    rows = ingest.line_sweep(views.annotations(spark, sf_dir), views.DIVIDEND)
-    return rows.groupBy("type", "chr").agg((F.max("coord_e") - F.min("coord_s")).alias("total_size"), (F.max("interval_id") + 1).cast("int").alias("intervals"))
+    return diagnostics.annotation_totals(ingest.line_sweep(views.annotations(spark, sf_dir), views.DIVIDEND))
 
 
 @query("u2_filterable", f"WITH {ANNOTATIONS} SELECT DISTINCT type FROM an WHERE type IN ('gene', 'repeat')")
 def _filterable(spark, sf_dir):
-    asked = spark.createDataFrame([("gene",), ("repeat",)], "type string")
-    return asked.intersect(views.annotations(spark, sf_dir).select("type"))
+    kept = diagnostics.filterable(views.annotations(spark, sf_dir), ["repeat", "gene"])
+    return spark.createDataFrame([(k,) for k in kept], "type string")
 
 
 @query(
@@ -173,23 +172,16 @@ def _filterable(spark, sf_dir):
 SELECT dataset, count(*) AS interactions, count(*) FILTER (b1 IS NULL OR b1 <> pos1_s OR b2 <> pos2_s) AS unique_interactions, count(*) / (4 * 1020.0 * 4 * 1020.0) AS per_kb2 FROM o GROUP BY ALL""",
 )
 def _unique(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("dataset", "chr_x", "chr_y").orderBy("pos1_s", "pos2_s", "read_id", "mapq")
-    new = F.lag("pos1_s").over(w).isNull() | (F.lag("pos1_s").over(w) != F.col("pos1_s")) | (F.lag("pos2_s").over(w) != F.col("pos2_s"))
-    rows = views.raw_contacts(spark, sf_dir).withColumn("new", new)
-    return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("interactions"), F.count_if("new").alias("unique_interactions"), (F.count(F.lit(1)) / F.lit(4 * 1020.0 * 4 * 1020.0)).alias("per_kb2"))
+    return diagnostics.unique_interactions(views.raw_contacts(spark, sf_dir), views.contigs(spark), views.DIVIDEND, ["read_id", "mapq"])
 
 
 @query("a23_multimapper_histogram", f"WITH {RAW}, h AS (SELECT dataset, read_id, count(*) AS n_maps, count(DISTINCT chr_x) AS n_contigs FROM r GROUP BY ALL) SELECT n_maps, n_contigs, count(*) AS n_reads FROM h GROUP BY ALL")
 def _histogram(spark, sf_dir):
-    reads = views.raw_contacts(spark, sf_dir).groupBy("dataset", "read_id").agg(F.count(F.lit(1)).alias("n_maps"), F.countDistinct("chr_x").alias("n_contigs"))
-    return reads.groupBy("n_maps", "n_contigs").agg(F.count(F.lit(1)).alias("n_reads"))
+    return diagnostics.multimapper_histogram(views.raw_contacts(spark, sf_dir), ["dataset", "read_id"])
 
 
 @query("k12_index_sizes", f"WITH {CONTACTS} SELECT dataset, chr_x, chr_y, count(*) AS n_reads, sum(CASE WHEN x_s < x_e OR y_s < y_e THEN 1 ELSE 0 END)::BIGINT AS n_boxes FROM c GROUP BY ALL")
 def _sizes(spark, sf_dir):
-    rows = views.contacts(spark, sf_dir)
-    return rows.groupBy("dataset", "chr_x", "chr_y").agg(F.count(F.lit(1)).alias("n_reads"), F.sum(F.when(F.expr("x_s < x_e or y_s < y_e"), 1).otherwise(0)).cast("long").alias("n_boxes"))
+    return diagnostics.pair_sizes(views.contacts(spark, sf_dir))
 
 

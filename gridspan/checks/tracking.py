@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridspan.operators import combine, count, ingest, tracks
+from gridspan.operators import count, diagnostics, ingest, tracks
 from gridspan.plans import axis
 from gridspan.plans.heatmap import Heatmap
 from gridspan.sources import views
@@ -27,6 +27,12 @@ def _range(spark, sf_dir):
     return tracks.value_range(count.track_counts(views.track_reads(spark, sf_dir), _axis(spark)))
 
 
+@query("a13_display_range", f"WITH {T_AX}, {T_COUNT}, d AS (SELECT ax.idx, coalesce(n, 0)::DOUBLE AS n FROM ax LEFT JOIN (SELECT * FROM tc WHERE dataset = 'click' AND idx < 25) q ON q.idx = ax.idx) SELECT min(n) AS low, max(n) AS high, min(n) FILTER (n <> 0) AS low_nz, max(n) FILTER (n <> 0) AS high_nz FROM d")
+def _display(spark, sf_dir):
+    counts = count.track_counts(views.track_reads(spark, sf_dir), _axis(spark)).filter("dataset = 'click' and idx < 25")
+    return tracks.display_range(_axis(spark).bins().select("idx").join(counts, "idx", "left").fillna(0, ["n"]))
+
+
 @query("k2_track_export", f"WITH {T_AX}, {T_COUNT}, w AS (SELECT idx, sum(n) FILTER (dataset = 'click') AS v1, sum(n) FILTER (dataset = 'view') AS v2 FROM tc GROUP BY ALL) SELECT chr, index_pos * 10000 AS start_at, (index_pos + index_size) * 10000 AS end_at, coalesce(v1, 0)::BIGINT AS v1, coalesce(v2, 0)::BIGINT AS v2 FROM ax LEFT JOIN w USING (idx)")
 def _export(spark, sf_dir):
     counts = count.track_counts(views.track_reads(spark, sf_dir), _axis(spark))
@@ -34,12 +40,11 @@ def _export(spark, sf_dir):
     return rows.select("chr", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "v1", "v2")
 
 
-@query("n11_coverage_scale", f"WITH {T_AX}, {T_COUNT}, s AS (SELECT dataset, count(*)::DOUBLE AS total FROM t GROUP BY ALL) SELECT dataset, idx, round(1e6 * n / total, 6) AS rpm, round(1e6 * n / total / (index_size * 10000 / 1000.0), 6) AS rpmb FROM tc JOIN s USING (dataset) JOIN ax USING (idx)")
+@query("n11_coverage_scale", f"WITH {T_AX}, {T_COUNT}, s AS (SELECT dataset, count(*)::DOUBLE AS total FROM t GROUP BY ALL) SELECT dataset, idx, n::DOUBLE AS dont, round(1e6 * n / total, 6) AS rpm, round(1e3 * n / total, 6) AS rpk, round(1e6 * n / index_size, 6) AS rpmb, round(1e3 * n / index_size, 6) AS rpkb FROM tc JOIN s USING (dataset) JOIN ax USING (idx)")
 def _coverage(spark, sf_dir):
     reads = views.track_reads(spark, sf_dir)
     rows = count.track_counts(reads, _axis(spark)).join(ingest.totals(reads), "dataset").join(_axis(spark).bins().select("idx", "index_size"), "idx")
-    rpm = combine.per(F.col("n"), F.col("total"), 1e6)
-    return rows.select("dataset", "idx", F.round(rpm, 6).alias("rpm"), F.round(rpm / (F.col("index_size") * views.DIVIDEND / 1000.0), 6).alias("rpmb"))
+    return rows.select("dataset", "idx", *[F.round(diagnostics.coverage_scaled(F.col("n"), how, F.col("total"), F.col("index_size")), 6).alias(how) for how in ("dont", "rpm", "rpk", "rpmb", "rpkb")])
 
 
 @query("a21_viewpoint_sum", f"WITH {AB} SELECT yi AS idx, round(sum(a) / 30, 9) AS v FROM v JOIN ax ON xi = idx WHERE chr = 'chr0' AND index_pos < 30 GROUP BY ALL")
@@ -129,10 +134,7 @@ def _associated(spark, sf_dir):
 
 @query("f14_slice_filter", f"WITH {COVERAGE}, a AS (SELECT xi AS idx, sum(n) AS c0 FROM n GROUP BY ALL), b AS (SELECT yi AS idx, sum(n) AS c1 FROM n GROUP BY ALL) SELECT idx, c0::BIGINT AS c0, c1::BIGINT AS c1 FROM a JOIN b USING (idx) WHERE c0 >= 1000 AND c1 >= 900")
 def _filter(spark, sf_dir):
-    counts = _counted(spark, sf_dir)
-    a, b = tracks.axis_coverage(counts, "xi"), tracks.axis_coverage(counts, "yi")
-    both = a.withColumnRenamed("coverage", "c0").join(b.withColumnRenamed("coverage", "c1"), "idx")
-    return both.filter("c0 >= 1000 and c1 >= 900")
+    return tracks.full_slices(_counted(spark, sf_dir), 1000, 900)
 
 
 @query("j12_shown_on_both", f"WITH {CUSTOMER_CONTIGS} SELECT chr, len FROM g WHERE len >= 25 AND ord % 2 = 0")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
+from .combine import TINY
 from .count import fold, transposed
 
 
@@ -15,6 +16,21 @@ def value_range(counts: DataFrame) -> DataFrame:
     return counts.groupBy("dataset").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.when(F.col("n") != 0, F.col("n"))).alias("low_nz"))
 
 
+def display_range(counts: DataFrame, column: str = "n") -> DataFrame:
+    """One row (low, high, low_nz, high_nz): the range of all tracks, and that of what isn't 0.
+    A range without extent ends one higher; without any value it is 0 to 1, and 1 to 1."""
+    v = F.col(column).cast("double")
+    some = F.when(v != 0, v)
+    rows = counts.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.min(some).alias("low_nz"), F.max(some).alias("high_nz"))
+
+    def ends(low: str, high: str, least: float) -> list[Column]:
+        top = F.greatest(F.lit(TINY), F.coalesce(high, F.lit(TINY)))
+        top = F.when(F.col(low).isNull() | (F.col(low) >= top), top + 1).otherwise(top)
+        return [F.coalesce(low, F.lit(least)).alias(low), F.when(top == TINY, 1.0).otherwise(top).alias(high)]
+
+    return rows.select(*ends("low", "high", 0.0), *ends("low_nz", "high_nz", 1.0))
+
+
 def wide(counts: DataFrame, bins: DataFrame, datasets: list[str], dividend: int) -> DataFrame:
     """chr, start, end (base pairs) and a column v1, v2, ... per dataset, for every bin."""
     values = counts.groupBy("idx").agg(*[F.sum(F.when(F.col("dataset") == d, F.col("n"))).alias(f"v{k}") for k, d in enumerate(datasets, 1)])
@@ -76,6 +92,12 @@ def axis_coverage(counts: DataFrame, axis: str) -> DataFrame:
     return counts.groupBy(F.col(axis).alias("idx")).agg(F.sum("n").alias("coverage"))
 
 
+def full_slices(counts: DataFrame, least_x: int, least_y: int) -> DataFrame:
+    """(idx, c0, c1): slices whose coverages as columns and as rows both reach their thresholds."""
+    one = lambda axis, name, least: axis_coverage(counts, axis).filter(F.col("coverage") >= least).withColumnRenamed("coverage", name)
+    return one("xi", "c0", least_x).join(one("yi", "c1", least_y), "idx")
+
+
 def ranked(coverage: DataFrame) -> DataFrame:
     """Non-empty slices with their place, the emptiest first. Slices are those of an axis, whose number is bounded."""
     return coverage.filter("coverage > 0").withColumn("place", (F.row_number().over(Window.orderBy("coverage", "idx")) - 1).cast("long"))

@@ -55,3 +55,21 @@ def test_boxes_along_a_long_diagonal_equal_their_definition(spark):
         want = {(b.chr_x, b.chr_y, b.lo, b["at"]): sum(c[6] for c in rows if c[:2] == (b.chr_x, b.chr_y) and b.x0 <= c[2] and c[3] < b.x1 and b.y0 <= c[4] and c[5] < b.y1) for b in boxes}
         assert len(want) > 100 and sum(want.values()) > 50
         assert got.keys() == want.keys() and {k: (v, want[k]) for k, v in got.items() if v != want[k]} == {}
+
+
+def test_ranges_without_extent_or_value(spark):
+    from gridspan.operators import tracks
+
+    of = lambda *v: tuple(tracks.display_range(spark.createDataFrame([(x,) for x in v], "n double")).first())
+    assert of(0.0, 3.0, 7.0) == (0, 7, 3, 7)
+    assert of(5.0, 5.0) == (5, 6, 5, 6)
+    assert of(0.0) == (0, 1, 1, 1) and of() == (0, 1, 1, 1)
+
+
+def test_no_more_filterable_annotations_than_codes(spark):
+    from gridspan.operators import diagnostics
+
+    rows = spark.createDataFrame([(t,) for t in "abcd"], "type string")
+    assert diagnostics.filterable(rows, ["x", "c", "a", "c"]) == ["c", "a"] and diagnostics.filterable(rows, []) == []
+    with pytest.raises(ValueError):
+        diagnostics.filterable(rows, list("dcba"))
