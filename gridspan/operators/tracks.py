@@ -103,11 +103,13 @@ def ranked(coverage: DataFrame) -> DataFrame:
     return coverage.filter("coverage > 0").withColumn("place", (F.row_number().over(Window.orderBy("coverage", "idx")) - 1).cast("long"))
 
 
-def over_datasets(counts: DataFrame, axis: str, datasets: list[str]) -> DataFrame:
+def over_datasets(counts: DataFrame, axis: str, datasets: list[str] | None = None) -> DataFrame:
     """(idx, lowest, highest) coverage of a slice among these datasets; one with nothing in a
-    slice, or without any read at all, has 0 there."""
-    slices = counts.filter(F.col("dataset").isin(*datasets)).groupBy("dataset", F.col(axis).alias("idx")).agg(F.sum("n").alias("s"))
-    return lowest_highest(slices, counts.sparkSession.createDataFrame([(len(set(datasets)),)], "datasets long"), "idx", "s")
+    slice, or without any read at all, has 0 there. None: those that counts has rows of."""
+    rows = counts if datasets is None else counts.filter(F.col("dataset").isin(*datasets))
+    slices = rows.groupBy("dataset", F.col(axis).alias("idx")).agg(F.sum("n").alias("s"))
+    number = slices.select("dataset").distinct().agg(F.count(F.lit(1)).alias("datasets")) if datasets is None else counts.sparkSession.createDataFrame([(len(set(datasets)),)], "datasets long")
+    return lowest_highest(slices, number, "idx", "s")
 
 
 def lowest_highest(values: DataFrame, datasets: DataFrame, key: str, value: str) -> DataFrame:

@@ -43,6 +43,7 @@ def test_balance_of_nothing(spark):
 def test_a_dataset_without_a_slice_counts_as_zero(spark):
     counts = spark.createDataFrame([("a", 0, 0, 9), ("a", 1, 0, 4), ("b", 1, 0, 6)], "dataset string, xi long, yi long, n long")
     assert sorted(tuple(r) for r in tracks.over_datasets(counts, "xi").collect()) == [(0, 0, 9), (1, 4, 6)]
+    assert sorted(tuple(r) for r in tracks.over_datasets(counts, "xi", ["a", "b", "c"]).collect()) == [(0, 0, 9), (1, 0, 6)]
 
 
 def test_absent_bins_count_in_ranges(spark):
