@@ -30,8 +30,9 @@ def read_files(spark: SparkSession, path: str | list[str], kind: str = "pairs",
     tagged = lines.join(own, "file", "left")
 
     def lines_of(own_layout: Column) -> DataFrame:
-        # the lines depend on the layout, else filters on their fields could be tested before it
-        return tagged.filter(own_layout).withColumn("value", F.when(own_layout, F.col("value"))).drop("_layout")
+        # filters on fields stop at a column that isn't deterministic; below the join they would
+        # be tested on lines of other layouts. It never changes line.
+        return tagged.filter(own_layout).withColumn("line", F.greatest("line", -1 - F.monotonically_increasing_id())).drop("_layout")
 
     out = text.parse_table(lines_of(F.col("_layout").isNull()), kind)
     for found in kinds:
