@@ -143,11 +143,20 @@ def _trimmed(spark, sf_dir):
     return d.select("chr_x", "chr_y", "lo", "hi", F.round("decay", 9).alias("decay"))
 
 
-@query("n7_decay_removed")
+_Q = (1 - 80.0 / 100) / 2
+
+
+@query(
+    "n7_decay_removed",
+    f"""WITH {SAMPLES}, gr AS (SELECT chr_x, chr_y, lo, hi, any_value(top) AS top, any_value(bot) AS bot, any_value(h) AS h, list_sort(list(n)) AS v, count(*) AS m FROM w GROUP BY chr_x, chr_y, lo, hi),
+de AS (SELECT *, floor(m * (1 - 2 * {_Q!r}::DOUBLE) + 1e-9) AS nominal, list_sum(v[floor(m * {_Q!r}::DOUBLE)::INT + 1 : ceil(m * (1 - {_Q!r}::DOUBLE))::INT])::DOUBLE AS total, ceil(m * (1 - {_Q!r}::DOUBLE)) - floor(m * {_Q!r}::DOUBLE) AS kept FROM gr),
+dd AS (SELECT chr_x, chr_y, lo, hi, CASE WHEN top - bot < 0 THEN 0 ELSE total / CASE WHEN nominal > 0 THEN nominal ELSE kept END END AS decay FROM de)
+SELECT xi, yi, round(CASE WHEN decay > 0 THEN b.v / decay ELSE 0 END, 9) AS v FROM b LEFT JOIN dd ON dd.chr_x = b.chr_x AND dd.chr_y = b.chr_y AND dd.lo = b.lo AND dd.hi = b.hi""",
+)
 def _removed(spark, sf_dir):
     grid = decay.bands(_dense(spark, sf_dir))
     d = decay.decay(grid, views.contigs(spark), views.contacts(spark, sf_dir).filter("dataset = 'rep0'"), least=1, most=20, quantile=80.0)
-    return normalize.per_decay(grid, d.select("chr_x", "chr_y", "lo", "hi", "decay"), ["chr_x", "chr_y", "lo", "hi"]).select("xi", "yi", "v")
+    return normalize.per_decay(grid, d.select("chr_x", "chr_y", "lo", "hi", "decay"), ["chr_x", "chr_y", "lo", "hi"]).select("xi", "yi", F.round("v", 9).alias("v"))
 
 
 COPIES = [("chr0-a", "chr0", 0, 0), ("chr0-b", "chr0", 1, 1), ("chr1-a", "chr1", 2, 0), ("chr2-a", "chr2", 3, 1)]

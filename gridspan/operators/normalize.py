@@ -191,35 +191,6 @@ def balance_matrix(a: np.ndarray, keep_x: np.ndarray, keep_y: np.ndarray) -> tup
     return bx, by, done
 
 
-def iterative_correction(grid: DataFrame, keys: list[str], min_nz: int = 10, sparse: float = 0.0, mad_max: float = 5.0) -> DataFrame:
-    """Dense windows (keys, xi, yi, v) to keys, xi, yi, balanced, converged.
-
-    A window has a bounded number of bins (the interface's), so each is one dense matrix in
-    one task; many windows run side by side.
-    """
-
-    def solve(window: pd.DataFrame) -> pd.DataFrame:
-        xs, xi = np.unique(window["xi"], return_inverse=True)
-        ys, yi = np.unique(window["yi"], return_inverse=True)
-        a = np.zeros((len(xs), len(ys)))
-        a[xi, yi] = window["v"]
-        keep = []
-        for side in (0, 1):
-            nz, m = (a > 0).sum(1 - side), 2 * a.sum(1 - side)
-            ok = (nz >= min_nz) & (nz * 100.0 > a.shape[1 - side] * sparse)
-            if mad_max > 0 and (m > 0).any():
-                rel = m / np.median(m[m > 0])
-                logs = np.log(rel[rel > 0])
-                med = np.median(logs)
-                ok &= rel >= np.exp(med - mad_max * np.median(np.abs(logs - med)))
-            keep.append(ok)
-        bx, by, done = balance_matrix(a, keep[0], keep[1])
-        return window[[*keys, "xi", "yi"]].assign(balanced=(a * bx[:, None] * by[None, :])[xi, yi], converged=done)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grid.select(*keys, "xi", "yi").schema)
-    return grid.select(*keys, "xi", "yi", "v").groupBy(*keys).applyInPandas(solve, f"{fields}, balanced double, converged boolean")
-
-
 def trimmed_mean(values: Column, quantile: float) -> Column:
     """The mean of the central quantile percent of an array; its upper median if that is
     none. Where the nominal number of values is 0, the values summed are counted."""
