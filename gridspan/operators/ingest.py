@@ -12,10 +12,12 @@ MAX_CATEGORIES = 3
 
 
 def known_contigs(reads: DataFrame, contigs: DataFrame, *columns: str) -> DataFrame:
-    """Reads all of whose mates lie on a listed contig."""
-    names = contigs.select("chr").distinct()
+    """Reads all of whose mates lie on a listed contig. The list is broadcast: reads dealt by
+    contig would be as few tasks as there are contigs. A null-safe equality keeps Spark from
+    testing names for null beneath the parsing of lines, all of which would be done twice."""
+    names = F.broadcast(contigs.select("chr").filter("chr is not null").distinct())
     for c in columns:
-        reads = reads.join(names.withColumnRenamed("chr", "_known"), F.col(c) == F.col("_known"), "left_semi")
+        reads = reads.join(names.withColumnRenamed("chr", "_known"), F.col(c).eqNullSafe(F.col("_known")), "left_semi")
     return reads
 
 
@@ -84,8 +86,8 @@ def encode_track(reads: DataFrame, dividend: int, thresholds: tuple[int, ...] =
 def upper_triangle(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     """Mates swapped, with all that belongs to them, so that the first comes first in
     (contig order, position)."""
-    order = contigs.select("chr", "ord")
-    sided = reads.join(order.toDF("_cx", "_ox"), F.col("chr_x") == F.col("_cx")).join(order.toDF("_cy", "_oy"), F.col("chr_y") == F.col("_cy"))
+    order = lambda c, o: F.broadcast(contigs.select(F.col("chr").alias(c), F.col("ord").alias(o)))  # noqa: E731  a row for each contig
+    sided = reads.join(order("_cx", "_ox"), F.col("chr_x") == F.col("_cx")).join(order("_cy", "_oy"), F.col("chr_y") == F.col("_cy"))
     swap = (F.col("_ox") > F.col("_oy")) | ((F.col("_ox") == F.col("_oy")) & (F.col("pos1_s") > F.col("pos2_s")))
     pairs = [("chr_x", "chr_y"), ("pos1_s", "pos2_s"), ("pos1_e", "pos2_e"), ("strand1", "strand2")]
     swapped = {}
@@ -187,8 +189,8 @@ def category_code(cat_x: Column, cat_y: Column) -> Column:
 def diagnostics(contacts: DataFrame, contigs: DataFrame) -> DataFrame:
     """What a new dataset lacks, one row per dataset: which triangle it fills, whether it
     has multi-mappers, several quality buckets and both strands."""
-    order = contigs.select("chr", "ord")
-    sided = contacts.join(order.toDF("_cx", "_ox"), F.col("chr_x") == F.col("_cx")).join(order.toDF("_cy", "_oy"), F.col("chr_y") == F.col("_cy"))
+    order = lambda c, o: F.broadcast(contigs.select(F.col("chr").alias(c), F.col("ord").alias(o)))  # noqa: E731  a row for each contig
+    sided = contacts.join(order("_cx", "_ox"), F.col("chr_x") == F.col("_cx")).join(order("_cy", "_oy"), F.col("chr_y") == F.col("_cy"))
     upper = (F.col("_ox") < F.col("_oy")) | ((F.col("_ox") == F.col("_oy")) & (F.col("x_s") < F.col("y_s")))
     lower = (F.col("_ox") > F.col("_oy")) | ((F.col("_ox") == F.col("_oy")) & (F.col("x_s") > F.col("y_s")))
     return sided.groupBy("dataset").agg(
