@@ -30,21 +30,25 @@ ct AS (SELECT o, coalesce(bool_or(h) FILTER (side = 1 AND type = 'gene'), false)
 
 
 def _written(spark, sf_dir) -> str:
-    """Two kinds of files: with the default layout, and with a layout of their own."""
+    """Two kinds of files: with the default layout, and with a layout of their own. An order's
+    lines are neighbours in one file, by number and then as the table has them, as numbers
+    repeat. There are more files with more partitions, so that no task sorts a third of all."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
         "l_orderkey AS o", "l_linenumber AS k", "concat('chr', l_orderkey % 4) AS c1", "(l_partkey * 7919 + l_orderkey * 31) % 1000000 AS p1",
         "concat('chr', (l_orderkey + IF(l_linenumber > 4, 1, 0)) % 4) AS c2", "(l_suppkey * 104729 + l_orderkey * 17) % 1000000 AS p2",
         "IF(l_returnflag = 'N', '+', '-') AS s1", "IF(l_linestatus = 'O', '+', '-') AS s2", "CAST(floor(l_quantity) AS INT) AS q1", "l_linenumber * 9 AS q2",
         "IF(l_linenumber % 3 = 0, concat('XA:Z:chr', l_orderkey % 4, ',-', (((l_partkey * 7919 + l_orderkey * 31) % 1000000) + 77777) % 1000000, ',10M,0;'), '') AS xa",
+        "_metadata.file_path AS f", "_metadata.row_index AS r",
     )
     path = f"{staging.shared_dir(spark)}/lines-{sf_dir.strip('/').replace('/', '-')}"
     first = F.concat_ws("\t", "o", "c1", "p1", "c2", "p2", "s1", "s2", F.lit("."), "q1", "q2", "xa", F.lit(""), F.lit("1"))
     own = F.concat_ws(" ", "c2", "p2", "o", "c1", "p1", "q2", "q1", "s2", "s1", F.when(F.col("xa") == "", "notag").otherwise(F.col("xa")))
-    ranged = rows.repartitionByRange(3, "o").sortWithinPartitions("o", "k")
+    parts = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(parts, "o").sortWithinPartitions("o", "k", "f", "r")
     ranged.filter("o % 2 = 0").select(first.alias("value")).write.mode("overwrite").text(f"{path}/default")
-    heads = spark.range(3).select(F.lit("#columns: chr2 pos2 readid chr1 pos1 mapq2 mapq1 strand2 strand1 xa1").alias("value"), (F.col("id") * 0 - 1).alias("o"), F.lit(0).alias("k"), F.col("id"))
-    body = rows.filter("o % 2 = 1").select(own.alias("value"), "o", "k", (F.col("o") % 3).alias("id"))
-    heads.unionByName(body).repartition(3, "id").sortWithinPartitions("id", "o", "k").select("id", "value").write.mode("overwrite").partitionBy("id").text(f"{path}/own")
+    heads = spark.range(parts).select(F.lit("#columns: chr2 pos2 readid chr1 pos1 mapq2 mapq1 strand2 strand1 xa1").alias("value"), (F.col("id") * 0 - 1).alias("o"), F.lit(0).alias("k"), F.lit("").alias("f"), F.lit(0).cast("long").alias("r"), F.col("id"))
+    body = rows.filter("o % 2 = 1").select(own.alias("value"), "o", "k", "f", "r", (F.expr("o div 2") % parts).alias("id"))
+    heads.unionByName(body).repartition(parts, "id").sortWithinPartitions("id", "o", "k", "f", "r").select("id", "value").write.mode("overwrite").partitionBy("id").text(f"{path}/own")
     return path
 
 
