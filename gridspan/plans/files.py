@@ -27,7 +27,7 @@ def read_files(spark: SparkSession, path: str | list[str], kind: str = "pairs",
         return text.parse_table(lines, kind, layout)
     own = lines.filter(F.col("value").startswith("#columns:")).groupBy("file").agg(F.min_by("value", F.struct("block", "line")).alias("_layout"))
     kinds = [r["_layout"] for r in own.select("_layout").distinct().collect()]  # as many as there are layouts
-    tagged = lines.join(own, "file", "left")
+    tagged = lines.join(F.broadcast(own), "file", "left")  # a row for each file
 
     def lines_of(own_layout: Column) -> DataFrame:
         # filters on fields stop at a column that isn't deterministic; below the join they would
@@ -52,19 +52,19 @@ def file_islands(rows: DataFrame, name: str) -> DataFrame:
     over = Window.partitionBy("file").orderBy("block")
     blocks = rows.groupBy("file", "block").agg(F.max_by(name, "line").alias("_last"))
     blocks = blocks.select("file", "block", F.lag("_last").over(over).alias("_before"))
-    marked = rows.join(blocks, ["file", "block"])
+    marked = rows.join(F.broadcast(blocks), ["file", "block"])  # a row for each block, as is carried
     before = F.coalesce(F.lag(name).over(inside), F.when(F.row_number().over(inside) == 1, F.col("_before")))
     place = F.struct("block", "line")
     starts = marked.withColumn("_start", F.when(nameless | before.isNull() | (before != F.col(name)), place))
     ends = starts.groupBy("file", "block").agg(F.max("_start").alias("_open"))
     carried = ends.select("file", "block", F.last("_open", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     found = F.coalesce(F.last("_start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried"))
-    return starts.join(carried, ["file", "block"]).withColumn("island", found).drop("_before", "_start", "_carried")
+    return starts.join(F.broadcast(carried), ["file", "block"]).withColumn("island", found).drop("_before", "_start", "_carried")
 
 
-def _loci(rows: DataFrame, sides: list[tuple[int, str, str, str, str, str]]) -> DataFrame:
-    """A row per locus: file, island, place, side, nth, chr, pos, mapq, strand, cnt. A side
-    is its number and its columns of contig, position, quality, strand and alternatives,
+def _own_loci(rows: DataFrame, sides: list[tuple[int, str, str, str, str, str]]) -> DataFrame:
+    """A row per line: file, block, line, readid, cnt and loci, an array of all its loci. A
+    side is its number and its columns of contig, position, quality, strand and alternatives,
     which come after the locus itself and have quality 0."""
     def loci_of(number: int, chrom: str, pos: str, mapq: str, strand: str, alternatives: str) -> Column:
         own = F.struct(F.lit(number).alias("side"), F.col(chrom).alias("chr"), F.col(pos).cast("long").alias("pos"), ingest.clean_mapq(F.col(mapq)).alias("mapq"), ingest.clean_strand(F.col(strand)).alias("strand"))
@@ -72,8 +72,14 @@ def _loci(rows: DataFrame, sides: list[tuple[int, str, str, str, str, str]]) ->
         return F.concat(F.array(own), others)
 
     each = [loci_of(*side) for side in sides]
-    held = rows.withColumn("cnt", ingest.clean_count(F.col("cnt"))).select("file", "island", F.struct("block", "line").alias("place"), "cnt", F.array(*each).alias("_e"))
-    return held.select("file", "island", "place", "cnt", F.posexplode(F.flatten("_e")).alias("nth", "x")).select("file", "island", F.struct("place", "nth").alias("at"), "cnt", "x.*")
+    return rows.select("file", "block", "line", "readid", ingest.clean_count(F.col("cnt")).alias("cnt"), F.flatten(F.array(*each)).alias("loci"))
+
+
+def _loci(rows: DataFrame, sides: list[tuple[int, str, str, str, str, str]]) -> DataFrame:
+    """A row per locus: file, island, place, side, nth, chr, pos, mapq, strand, cnt. Lines are
+    parsed before islands are found, so that the stage after the windows holds little code."""
+    held = file_islands(_own_loci(rows, sides), "readid").select("file", "island", F.struct("block", "line").alias("place"), "cnt", F.posexplode("loci").alias("nth", "x"))
+    return held.select("file", "island", F.struct("place", "nth").alias("at"), "cnt", "x.*")
 
 
 def _codes(loci: DataFrame, annotations: DataFrame, kinds: tuple[str, ...], cell: int = 20_000) -> DataFrame:
@@ -125,7 +131,7 @@ def contacts_of_files(
     if len(kinds) > ingest.MAX_CATEGORIES:
         raise ValueError(f"at most {ingest.MAX_CATEGORIES} annotations can be filtered")
     rows = ingest.known_contigs(read_files(spark, path, "pairs", layout), contigs, "chr1", "chr2")
-    loci = _loci(file_islands(rows, "readid"), [(1, "chr1", "pos1", "mapq1", "strand1", "xa1"), (2, "chr2", "pos2", "mapq2", "strand2", "xa2")])
+    loci = _loci(rows, [(1, "chr1", "pos1", "mapq1", "strand1", "xa1"), (2, "chr2", "pos2", "mapq2", "strand2", "xa2")])
     loci = _codes(loci, annotations, kinds) if kinds else loci
     reads = _merged(loci, 2, kinds, groups).withColumnRenamed("chr1", "chr_x").withColumnRenamed("chr2", "chr_y").withColumn("dataset", F.lit(dataset))
     if upper:
@@ -141,7 +147,7 @@ def contacts_of_files(
 def track_of_files(spark: SparkSession, path: str | list[str], dataset: str, contigs: DataFrame, dividend: int, layout: str | None = None, groups: bool = True) -> DataFrame:
     """Encoded 1-D reads of track files: dataset, read_id, chr, x_s, x_e, bucket, strand, cnt."""
     rows = ingest.known_contigs(read_files(spark, path, "track", layout), contigs, "chr")
-    reads = _merged(_loci(file_islands(rows, "readid"), [(1, "chr", "pos", "mapq", "strand", "xa")]), 1, (), groups)
+    reads = _merged(_loci(rows, [(1, "chr", "pos", "mapq", "strand", "xa")]), 1, (), groups)
     return reads.select(
         F.lit(dataset).alias("dataset"), "read_id", F.col("chr1").alias("chr"), ingest.unit(F.col("pos1_s"), dividend).alias("x_s"), ingest.unit(F.col("pos1_e"), dividend).alias("x_e"),
         ingest.mapq_bucket(F.col("mapq")).alias("bucket"), F.when(F.col("strand1"), 0).otherwise(1).alias("strand"), "cnt",
