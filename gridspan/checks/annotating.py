@@ -133,10 +133,10 @@ MOVED = "greatest(0, {c} / 10000.0 - p)::DOUBLE + sp"
 @query("k7_annotations_in_detail", _table_sql("rg AS (SELECT ord::BIGINT AS region, chr, CASE ord WHEN 1 THEN 58 ELSE 0 END AS p, CASE ord WHEN 1 THEN 44 ELSE 16 END AS z, 102 * ord + CASE ord WHEN 1 THEN 58 ELSE 0 END AS sp, CASE ord WHEN 1 THEN 44 ELSE 16 END AS sz FROM g WHERE ord IN (1, 2))", MOVED.format(c="start_bp"), f"least({MOVED.format(c='end_bp')}, sp + sz)::DOUBLE", "'gene', 'exon'"))
 def _in_detail(spark, sf_dir):
     axis = genome_axis(views.contigs(spark), 4, window=(160, 220))
-    return _rounded(annotation_table(ingest.line_sweep(views.annotations(spark, sf_dir), views.DIVIDEND), _described(spark, sf_dir), axis, ["gene", "exon"], views.DIVIDEND, most=5000))
+    return _rounded(annotation_table(ingest.line_sweep(views.annotations(spark, sf_dir), views.DIVIDEND), _described(spark, sf_dir), axis, ["gene", "exon"], views.DIVIDEND, most=None))
 
 
 @query("k7_annotations_on_themselves", _table_sql(f"{axis_of('gene', 'squeeze', 'combine', (0, 60))}, rg AS (SELECT idx AS region, chr, index_pos AS p, index_size AS z, screen_pos AS sp, screen_size AS sz FROM bins)", "sp::DOUBLE", "(sp + sz)::DOUBLE", "'gene'"))
 def _on_themselves(spark, sf_dir):
     genes = _sweep(spark, sf_dir, "gene")
-    return _rounded(annotation_table(genes, _described(spark, sf_dir), annotation_bins(genes, views.contigs(spark), SIZE, "squeeze", "combine", (0, 60)), ["gene"], views.DIVIDEND, most=5000, squeeze=True))
+    return _rounded(annotation_table(genes, _described(spark, sf_dir), annotation_bins(genes, views.contigs(spark), SIZE, "squeeze", "combine", (0, 60)), ["gene"], views.DIVIDEND, most=None, squeeze=True))

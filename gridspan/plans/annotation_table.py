@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +13,12 @@ from gridspan.functions import text
 from gridspan.operators import intervals
 from gridspan.plans.annotation_window import AnnotationAxis
 from gridspan.plans.axis import Axis
+from gridspan.staging import staged
 
 #: With so many sub-intervals in view, bins are counted instead of showing each annotation.
 MOST_DETAILED = 1000
+#: The order of annotations within a region.
+PLACE = ("first", "start_bp", "end_bp", "desc_id")
 #: Units that annotations of one row are apart.
 APART = 2
 #: The part of a row's height that stays empty.
@@ -44,22 +50,56 @@ def _places(bins: DataFrame) -> DataFrame:
 
 def packed(shown: DataFrame) -> DataFrame:
     """shown (type, region, place, start, end, ...) with row: the first whose last annotation
-    ends APART before, in order of regions and places. A type is packed by one task, as
-    MOST_DETAILED bounds what is shown."""
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part, ends, rows = part.sort_values(["region", "place"]), [], []
-        for start, end in zip(part["screen_start"], part["screen_end"], strict=True):
-            row = next((n for n, e in enumerate(ends) if start >= e + APART), len(ends))
-            ends[row : row + 1] = [end]
-            rows.append(row)
-        return part.assign(row=rows)
+    ends APART before, in order of regions and PLACE. Spark sorts; the task of a type then streams through it and holds no more than where each row ends."""
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind, ends = None, FirstFit()
+        for part in parts:
+            rows = []
+            for each, start, end in zip(part["type"], part["screen_start"], part["screen_end"], strict=True):
+                if each != kind:
+                    kind, ends = each, FirstFit()
+                rows.append(ends.place(start, end + APART))
+            yield part.assign(row=rows)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema)
-    return shown.groupBy("type").applyInPandas(pack, f"{kinds}, row int")
-
-
-def annotation_table(sweep: DataFrame, annotations: DataFrame, axis: Axis | AnnotationAxis, types: list[str], dividend: int, most: int = MOST_DETAILED, squeeze: bool = False, margin: float = MARGIN) -> DataFrame:
+    return shown.repartition("type").sortWithinPartitions("type", "region", *PLACE).mapInPandas(pack, f"{kinds}, row int")
+
+
+class FirstFit:
+    """The ends of rows as a tree of minima: the first row that ends early enough is found in
+    steps as many as the logarithm of the rows."""
+
+    def __init__(self) -> None:
+        self.size, self.least, self.rows = 1, [math.inf, math.inf], 0
+
+    def place(self, start: float, end: float) -> int:
+        """The first row that ends at start or before, or a new one; it ends at end from now on."""
+        least, at = self.least, 1
+        if least[1] <= start:
+            while at < self.size:
+                at *= 2
+                if least[at] > start:
+                    at += 1
+            row = at - self.size
+        else:
+            row = self.rows
+            self.rows += 1
+            if row == self.size:
+                held = least[self.size :] + [math.inf] * self.size
+                self.size *= 2
+                self.least = least = [math.inf] * self.size + held
+                for n in range(self.size - 1, 0, -1):
+                    least[n] = min(least[2 * n], least[2 * n + 1])
+        at = row + self.size
+        least[at] = end
+        while at > 1:
+            at //= 2
+            least[at] = min(least[2 * at], least[2 * at + 1])
+        return row
+
+
+def annotation_table(sweep: DataFrame, annotations: DataFrame, axis: Axis | AnnotationAxis, types: list[str], dividend: int, most: int | None = MOST_DETAILED, squeeze: bool = False, margin: float = MARGIN) -> DataFrame:
     """type, chr, index_start, index_end (readable), screen_start, screen_end, num_anno, row,
     offset, height, strand, id, desc, info.
 
@@ -67,13 +107,13 @@ def annotation_table(sweep: DataFrame, annotations: DataFrame, axis: Axis | Anno
     a region of the axis (once in each), packed so that none covers another; offset and
     height place it around the middle of its type's strip. Otherwise a row is a bin with the
     number of sub-intervals that touch it, and what belongs to one annotation is null. The
-    choice takes one job that counts up to most.
+    choice takes one job that counts up to most; None shows each annotation, however many.
     """
     runs = regions(axis, squeeze)
     keep = [f"b_{c}" for c in runs.columns]
     met = intervals.overlaps(_spans(sweep, types), _places(runs), keep)
     at = lambda c: text.readable_bp(F.col(c) * dividend)
-    if met.limit(most).count() >= most:
+    if most is not None and met.limit(most).count() >= most:
         bins = axis.bins().join(axis.copies(), "chr")
         if "screen_size" not in bins.columns:
             bins = bins.withColumn("screen_size", F.col("index_size"))
@@ -94,10 +134,10 @@ def annotation_table(sweep: DataFrame, annotations: DataFrame, axis: Axis | Anno
         moved = lambda c: F.greatest(F.lit(0.0), F.col(c) / dividend - F.col("b_index_pos")) + low
         start, end = moved("start_bp"), F.least(moved("end_bp"), top)
     shown = once.withColumns({"screen_start": start, "screen_end": end}).filter("screen_end >= screen_start")
-    order = Window.partitionBy("type", "b_region").orderBy("first", "start_bp", "end_bp", "desc_id")
-    shown = shown.withColumn("place", F.row_number().over(order)).select("type", F.col("b_region").alias("region"), "place", F.col("b_chr").alias("chr"), "start_bp", "end_bp", "screen_start", "screen_end", "forw", "info")
+    shown = shown.select("type", F.col("b_region").alias("region"), F.col("b_chr").alias("chr"), *PLACE, "screen_start", "screen_end", "forw", "info")
     rows = packed(shown)
-    w = Window.partitionBy("type")  # types are few, and so are the rows of one
+    rows = staged(rows, "packed")  # packed once, though its depth is asked for beside
+    depths = rows.groupBy("type").agg((F.max("row") + 1).alias("_rows"))  # a row for each type
     deepest = rows.agg(F.max("row").alias("_deepest"))
     height = (1 - margin) / (F.col("_deepest") + 1)
     sign = F.when(F.col("row") % 2 == 0, 1.0).otherwise(-1.0)
@@ -105,7 +145,7 @@ def annotation_table(sweep: DataFrame, annotations: DataFrame, axis: Axis | Anno
     lines = F.split("info", "\n", -1)
     other = F.filter(lines, lambda x: ~x.startswith("ID=") & ~x.startswith("description="))
     named = lambda key: F.when(F.exists(lines, lambda x: x.startswith(f"{key}=")), text.gff_attribute(F.col("info"), key))
-    rows = rows.withColumn("_rows", F.max("row").over(w) + 1).crossJoin(F.broadcast(deepest))  # a single row
+    rows = rows.join(F.broadcast(depths), "type").crossJoin(F.broadcast(deepest))  # a single row
     return rows.select(
         "type", "chr", text.readable_bp(F.col("start_bp")).alias("index_start"), text.readable_bp(F.col("end_bp")).alias("index_end"), "screen_start", "screen_end", F.lit(1).cast("long").alias("num_anno"),
         "row", offset.alias("offset"), (height * (1 - margin)).alias("height"), F.when(F.col("forw"), "+").otherwise("-").alias("strand"), named("ID").alias("id"), named("description").alias("desc"), F.array_join(other, "\n").alias("info"),

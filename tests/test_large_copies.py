@@ -36,3 +36,32 @@ def test_contigs_are_broadcast(spark, sf_dir):
     rows, contigs = views.raw_contacts(spark, sf_dir), views.contigs(spark)
     for made in (ingest.known_contigs(rows, contigs, "chr_x", "chr_y"), ingest.upper_triangle(rows, contigs), ingest.diagnostics(views.contacts(spark, sf_dir), contigs)):
         assert "SortMergeJoin" not in plan_of(made)
+
+
+def test_each_annotation_is_shown_however_many(spark, sf_dir, tmp_path):
+    """With over 5000 sub-intervals in view the detailed tables were bins instead."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part.crossJoin(spark.range(20)).withColumn("p_partkey", (F.col("p_partkey") + F.col("id") * 2000).cast(part.schema["p_partkey"].dataType)).drop("id").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    rows = lambda names, found: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in map(dict(zip(names, r, strict=True)).get, sorted(names))]) for r in found)
+    got = QUERIES["k7_annotations_in_detail"](spark, str(tmp_path))
+    want = con.execute(SQL["k7_annotations_in_detail"])
+    names = [d[0] for d in want.description]
+    want = want.fetchall()
+    assert len(want) > 5000
+    assert rows(names, got.select(names).collect()) == rows(names, want)
+
+
+def test_first_fit_equals_a_plain_search():
+    from random import Random
+
+    from gridspan.plans.annotation_table import FirstFit
+
+    draw, tree, ends = Random(1), FirstFit(), []
+    for _ in range(3000):
+        start = draw.randrange(400)
+        row = next((n for n, e in enumerate(ends) if start >= e), len(ends))
+        end = start + draw.randrange(1, 60)
+        ends[row : row + 1] = [end]
+        assert tree.place(start, end) == row
