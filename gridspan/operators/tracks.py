@@ -192,7 +192,11 @@ def associated_background(contacts: DataFrame, flipped: DataFrame, samples: Data
 
     contigs are those of x and of y (chr, len). Coverages combine datasets by the least
     (intersection) or the greatest; the background sums them, in straight orientation.
+    Samples of one interval have the same reads: each interval is looked at once, and counts
+    as often in the background, so that reads aren't met by every sample that holds them.
     """
+    samples = samples.groupBy("chr", "low", "high").agg(F.min("sample").alias("sample"), F.count(F.lit(1)).alias("_times"))
+    times, samples = samples.select("sample", "_times"), samples.drop("_times")
     number = contacts.sparkSession.createDataFrame([(len(datasets),)], "datasets long")
     first = lowest_highest(folded_coverage(contacts, flipped, samples, (contigs[1], contigs[0]), "x", symmetry, least), number, "sample", "v")
     second = lowest_highest(folded_coverage(contacts, flipped, samples, (contigs[0], contigs[1]), "y", symmetry, least, most), number, "sample", "v")
@@ -203,7 +207,8 @@ def associated_background(contacts: DataFrame, flipped: DataFrame, samples: Data
     if ignore_cis:
         met = met.filter("chr_x <> chr_y")
     places = bins.select(F.col("idx").alias("sample"), F.col("actual").alias("chr"), F.col("index_pos").alias("low"), (F.col("index_pos") + F.col("index_size")).alias("high"))
-    return in_samples(met.drop("sample"), places, "x").groupBy(F.col("sample").alias("idx")).agg(F.sum("cnt").alias("background"))
+    found = in_samples(met.withColumnRenamed("sample", "_of"), places, "x").groupBy("_of", F.col("sample").alias("idx")).agg(F.sum("cnt").alias("n"))
+    return found.join(times.withColumnRenamed("sample", "_of"), "_of").groupBy("idx").agg(F.sum(F.col("n") * F.col("_times")).alias("background"))
 
 
 def over_background(counts: DataFrame, bg: DataFrame) -> DataFrame:

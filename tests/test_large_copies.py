@@ -65,3 +65,27 @@ def test_first_fit_equals_a_plain_search():
         end = start + draw.randrange(1, 60)
         ends[row : row + 1] = [end]
         assert tree.place(start, end) == row
+
+
+def test_samples_of_one_interval_are_met_once(spark, sf_dir, monkeypatch):
+    """Reads were met by every sample that holds them, and samples grow with the annotations."""
+    from gridspan.operators import tracks
+
+    asked, plain = [], tracks.in_samples
+    monkeypatch.setattr(tracks, "in_samples", lambda rows, samples, side: asked.append(samples) or plain(rows, samples, side))
+    contacts, lengths = views.contacts(spark, sf_dir).filter("read_id % 50 = 1"), views.contigs(spark).select("chr", "len")
+    bins = spark.createDataFrame([(0, "chr1", "chr1", 0, 50)], "idx long, chr string, actual string, index_pos long, index_size long")
+    background = lambda times: tracks.associated_background(contacts, contacts, spark.range(times).selectExpr("id AS sample", "'chr2' AS chr", "10L AS low", "30L AS high"), bins, (lengths, lengths), ["rep0", "rep1", "rep2"], intersection=False).first()["background"]
+    one = background(1)
+    asked.clear()
+    assert background(40) == 40 * one
+    assert max(s.filter("chr = 'chr2' and low = 10 and high = 30").count() for s in asked) == 1
+
+
+def test_axes_are_broadcast(spark, sf_dir):
+    """A planned axis is a row for each contig: contacts aren't dealt by contig to meet it."""
+    from gridspan.operators import count
+    from gridspan.plans.axis import genome_axis
+
+    axis = genome_axis(views.contigs(spark), 10)
+    assert "SortMergeJoin" not in plan_of(count.bin_counts(views.contacts(spark, sf_dir), axis, axis))
