@@ -95,8 +95,7 @@ def in_bins(contacts: DataFrame, x: Axis, y: Axis, mode: str = "enclosed") -> Da
     """contacts with xi and yi, once for every bin they count for.
 
     Bins of an Axis are found by division within a contig's grid, so the join is an equi-join
-    with a row per contig, which Spark broadcasts by its size; those of an annotation axis
-    by interval joins.
+    with a broadcast row per contig; those of an annotation axis by interval joins.
     """
     if mode not in MODES:
         raise ValueError(f"mode is none of {MODES}")
@@ -109,7 +108,7 @@ def in_bins(contacts: DataFrame, x: Axis, y: Axis, mode: str = "enclosed") -> Da
     planned = [s for s, axis in sides.items() if isinstance(axis, Axis)]
     keep = rows.columns
     for s in planned:
-        rows = rows.join(sides[s].place(f"g{s}"), F.col(f"chr_{s}") == F.col(f"g{s}_chr"))
+        rows = rows.join(F.broadcast(sides[s].place(f"g{s}")), F.col(f"chr_{s}") == F.col(f"g{s}_chr"))
     ranges = {s: _ranges(f"g{s}", f"{s}_s", f"{s}_e", mode) for s in planned}
     rows = rows.select(*keep, *[c.alias(f"{s}{n}") for s, r in ranges.items() for c, n in zip(r, "ih", strict=True)])
     for s in planned:
@@ -118,7 +117,7 @@ def in_bins(contacts: DataFrame, x: Axis, y: Axis, mode: str = "enclosed") -> Da
             rows = rows.withColumn(f"{s}i", F.explode(F.sequence(f"{s}i", f"{s}h")))
     for s, axis in sides.items():
         if s not in planned:
-            rows = _in_spans(rows, s, axis.spans(), mode)
+            rows = _in_spans(rows, s, F.broadcast(axis.spans()), mode)  # the interface bounds the number of bins
     return rows.drop("xh", "yh")
 
 
@@ -190,5 +189,5 @@ def region_counts(contacts: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
 def track_counts(reads: DataFrame, axis: Axis) -> DataFrame:
     """(dataset, idx, n): reads of 1-D datasets in bins that hold all of them."""
     low, high = _ranges("g", "x_s", "x_e", "enclosed")
-    rows = reads.join(axis.place("g"), F.col("chr") == F.col("g_chr")).select("dataset", "cnt", low.alias("idx"), high.alias("h")).filter("idx <= h")
+    rows = reads.join(F.broadcast(axis.place("g")), F.col("chr") == F.col("g_chr")).select("dataset", "cnt", low.alias("idx"), high.alias("h")).filter("idx <= h")
     return rows.groupBy("dataset", "idx").agg(F.sum("cnt").alias("n"))
