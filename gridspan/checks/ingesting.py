@@ -47,7 +47,8 @@ i AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> read_id THEN 1 ELSE 0
 
 @query("w2_read_islands", f"WITH {ISLANDS} SELECT dataset, island, count(*) AS n_reads, min(pos1_s) AS low FROM i GROUP BY ALL")
 def _islands(spark, sf_dir):
-    rows = ingest.read_islands(views.raw_contacts(spark, sf_dir), "read_id", ["read_id", "chr_x", "chr_y", "pos1_s", "pos2_s", "mapq"], ["dataset"])
+    order = ["read_id", "chr_x", "chr_y", "pos1_s", "pos2_s", "mapq"]
+    rows = ingest.read_islands(views.raw_contacts(spark, sf_dir).select("dataset", *order), "read_id", order, ["dataset"])
     return rows.groupBy("dataset", F.col("island").cast("long").alias("island")).agg(F.count(F.lit(1)).alias("n_reads"), F.min("pos1_s").alias("low"))
 
 

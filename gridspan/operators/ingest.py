@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspan.staging import staged
+
 #: Thresholds that part mapping qualities into buckets.
 MAPQ_THRESHOLDS = (3, 30)
 #: Filterable annotations at most.
 MAX_CATEGORIES = 3
+#: Rows of a range in which islands are numbered, on average: what one task sorts.
+RANGE_ROWS = 1 << 19
 
 
 def known_contigs(reads: DataFrame, contigs: DataFrame, *columns: str) -> DataFrame:
@@ -96,14 +104,33 @@ def upper_triangle(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     return sided.withColumns(swapped).select(reads.columns)
 
 
-def read_islands(rows: DataFrame, name: str, order: list[str], partition: list[str]) -> DataFrame:
+def read_islands(rows: DataFrame, name: str, order: list[str], partition: list[str], parts: int | None = None) -> DataFrame:
     """island: a number for every run of neighbouring rows with the same read name, in the
     given order within a partition (a file, say). Rows without a name ('', '.', '-', '/',
-    null) are islands of their own."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    nameless = F.col(name).isNull() | F.col(name).cast("string").isin("", ".", "-", "/")
-    starts = nameless | F.lag(name).over(w).isNull() | (F.lag(name).over(w) != F.col(name))
-    return rows.withColumn("island", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    null) are islands of their own.
+
+    Rows are dealt to ranges of the order and numbered within these; a row per range brings
+    the islands before it, and whether its first island began there, so a large partition
+    isn't one task. There are as many ranges as RANGE_ROWS asks for. They are a staged table,
+    as a second draw of their bounds could differ; it holds all columns of rows.
+    """
+    parts = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / RANGE_ROWS))
+    ranged = rows.repartitionByRange(parts, *partition, *order).sortWithinPartitions(*partition, *order)
+    ranges = staged(ranged.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    inside, over = Window.partitionBy("_range", *partition).orderBy("_at"), Window.partitionBy(*partition).orderBy("_range")
+    nameless = lambda c: F.col(c).isNull() | F.col(c).cast("string").isin("", ".", "-", "/")
+    starts = nameless(name) | F.lag(name).over(inside).isNull() | (F.lag(name).over(inside) != F.col(name))
+    marked = ranges.repartition(parts, "_range", *partition).withColumn("_start", starts.cast("int"))
+    blocks = marked.groupBy("_range", *partition).agg(F.sum("_start").alias("_n"), F.min_by(name, "_at").alias("_first"), F.max_by(name, "_at").alias("_last"))
+    goes_on = ~nameless("_first") & F.coalesce(F.lag("_last").over(over) == F.col("_first"), F.lit(False))
+    blocks = blocks.withColumn("_on", goes_on.cast("int"))
+    before = F.sum(F.col("_n") - F.col("_on")).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    # the first block of a partition has none before it, so at most one block of a range is left
+    blocks = blocks.select("_range", *[F.col(c).alias(f"_of_{c}") for c in partition], (before - F.col("_on")).alias("_before")).filter("_before is not null")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in partition]
+    met = marked.join(F.broadcast(blocks.withColumnRenamed("_range", "_in")), reduce(and_, same, F.col("_range") == F.col("_in")), "left")
+    running = F.sum("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("island", running + F.coalesce("_before", F.lit(0))).select(*rows.columns, "island")
 
 
 def merge_islands(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -89,3 +89,21 @@ def test_axes_are_broadcast(spark, sf_dir):
 
     axis = genome_axis(views.contigs(spark), 10)
     assert "SortMergeJoin" not in plan_of(count.bin_counts(views.contacts(spark, sf_dir), axis, axis))
+
+
+def test_islands_are_numbered_in_ranges(spark, monkeypatch):
+    """A whole dataset was one window. Islands go on over ranges, datasets end within them,
+    and no range holds a dataset."""
+    from pyspark.sql import Window
+
+    held, plain = [], ingest.staged
+    monkeypatch.setattr(ingest, "staged", lambda df, name: held.append(plain(df, name)) or held[-1])
+    long_runs = "CASE WHEN id % 11 = 0 THEN '.' WHEN id % 13 = 0 THEN NULL WHEN id < 3000 THEN 'a' ELSE concat('r', id div 7) END"
+    rows = spark.range(20000).selectExpr("id AS line", "nullif(if(id < 700, 'x', if(id % 2 = 0, 'y', 'z')), 'z') AS file", f"if(id > 5000, {long_runs}, 'a') AS name")
+    got = ingest.read_islands(rows, "name", ["line"], ["file"], parts=16)
+    w = Window.partitionBy("file").orderBy("line")
+    starts = F.col("name").isNull() | F.col("name").isin("", ".", "-", "/") | F.lag("name").over(w).isNull() | (F.lag("name").over(w) != F.col("name"))
+    want = rows.withColumn("island", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert got.columns == want.columns
+    assert sorted(got.collect(), key=lambda r: r.line) == sorted(want.collect(), key=lambda r: r.line)
+    assert max(r["count"] for r in held[0].groupBy("_range").count().collect()) < 4000
