@@ -3,7 +3,7 @@
 The index is that of simhash.py over longer signatures. A bit of two sets of shingles
 differs with the probability arccos(cosine) / pi, which is 0.151 for sets of one size and a
 Jaccard similarity of SHARE. Signatures are cut into few segments; texts are candidates if
-some segment agrees or differs by one bit, which one-wildcard variants find by equality.
+some segment agrees or differs by one bit, which variants with one more bit find by equality.
 Every candidate pair is then verified on the whole sets, so no pair below SHARE is linked.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -30,9 +32,11 @@ LEAST = math.ceil(SHARE / (1 - SHARE) - 1e-9)
 MISS = 0.01
 #: Unlike texts differ in 64 of 128 further bits, at SHARE 19 differ; beyond so many a candidate isn't verified.
 CHECK_BITS = 36
-#: Keys that more index entries share are dense, and entries that differ in so few further
+#: Keys under which more pairs meet are dense, and entries that differ in so few further
 #: bits from one of the largest chain under such a key are the group that makes it dense.
-DENSE, CORE_BITS = 64, 42
+DENSE, CORE_BITS = 512, 42
+#: Parities of shingles by hash: two sets differ in as many shingles at least as in parities.
+PARITIES = 512
 #: Lists of so many candidate texts (16 bytes each) are broadcast; longer ones are joined by a shuffle.
 SMALL = 1 << 19
 
@@ -79,12 +83,13 @@ def majority(found: np.ndarray, words: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, segments: int, bits: int) -> DataFrame:
-    """(id, h, text) to (id, h, fingerprint, n, check, more, parts): texts with equal sets of n
-    shingles share a fingerprint, and parts are the values of the signature's segments."""
+    """(id, h, text) to (id, h, fingerprint, n, check, more, odd, parts): texts with equal sets of n
+    shingles share a fingerprint, odd are the PARITIES, and parts are the values of the
+    signature's segments."""
     words = 2 + -(-segments * bits // 64)
     values = 1 << np.arange(bits, dtype=np.int64)
 
-    @F.pandas_udf("struct<fingerprint:long,n:long,check:long,more:long,parts:array<long>>")
+    @F.pandas_udf("struct<fingerprint:long,n:long,check:long,more:long,odd:array<long>,parts:array<long>>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             rows = []
@@ -94,8 +99,9 @@ def _sketches(docs: DataFrame, segments: int, bits: int) -> DataFrame:
                 signature = majority(found, words)
                 check, more = np.packbits(signature[:128].astype(np.uint8), bitorder="little").view("<i8").tolist()
                 parts = signature[128 : 128 + segments * bits].reshape(segments, bits) @ values if len(found) else values[:0]
-                rows.append((int(name.view(np.int64)[0]), len(found), check, more, parts))
-            yield pd.DataFrame(rows, columns=["fingerprint", "n", "check", "more", "parts"])
+                odd = np.packbits(np.bincount((found >> np.uint64(7)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1, bitorder="little").view("<i8")
+                rows.append((int(name.view(np.int64)[0]), len(found), check, more, odd, parts))
+            yield pd.DataFrame(rows, columns=["fingerprint", "n", "check", "more", "odd", "parts"])
 
     return docs.select("id", "h", sketch(F.col("text")).alias("s")).select("id", "h", "s.*")
 
@@ -110,12 +116,17 @@ def _differ(check: str, more: str, other: str, other_more: str) -> Column:
     return F.bit_count(F.col(check).bitwiseXOR(F.col(other)).bitwiseAND(F.lit(~1))) + F.bit_count(F.col(more).bitwiseXOR(F.col(other_more)))
 
 
-def _keys(part: Column, value: Column, bits: int, bit: int) -> Column:
-    """Keys of one segment as it is, and with each bit that has this value wildcarded."""
-    tag = lambda place: F.shiftleft(part.cast("long"), 48).bitwiseOR(F.lit(place << 42))
-    whole = tag(63).bitwiseOR(value)
-    wild = [F.when(F.shiftrightunsigned(value, i).bitwiseAND(F.lit(1)) == bit, tag(i).bitwiseOR(value.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << i))))) for i in range(bits)]
-    return F.array_compact(F.array(whole, *wild))
+def _near(n: str, m: str, odd: str, other: str) -> Column:
+    """False only if so many parities differ that sets of these sizes aren't as similar as SHARE."""
+    apart = [F.bit_count(F.col(odd)[i].bitwiseXOR(F.col(other)[i])) for i in range(PARITIES // 64)]
+    return reduce(add, apart) <= (F.col(n) + F.col(m)) * ((1 - SHARE) / (1 + SHARE)) + 1e-9
+
+
+def _keys(part: Column, value: Column, bits: int) -> Column:
+    """Keys of one segment as it is, and with each bit set that isn't."""
+    of = lambda v: F.shiftleft(part.cast("long"), 48).bitwiseOR(v)
+    more = [F.when(F.shiftrightunsigned(value, i).bitwiseAND(F.lit(1)) == 0, of(value.bitwiseOR(F.lit(1 << i)))) for i in range(bits)]
+    return F.array_compact(F.array(of(value), *more))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,6 +161,7 @@ def _index_pairs(known: DataFrame, bits: int) -> DataFrame:
     """(fp, chain, size, check, more, parts) to rows (u, v, a, b): texts u < v of the chains a and
     b that meet under a key; and to rows with no v: u is one of the group of a dense key.
 
+    One side lies under its values, the other also under those with one more bit.
     Keys that one chain alone holds are dropped, and groups of dense ones set apart, behind
     the same shuffle that joins the others. Whoever lies under a dense key without being
     like the group meets all of it here.
@@ -158,13 +170,14 @@ def _index_pairs(known: DataFrame, bits: int) -> DataFrame:
 
     def side(bit: int) -> DataFrame:  # the lowest bit of check tells the sides apart
         check = F.col("check").bitwiseAND(F.lit(~1)).bitwiseOR(F.lit(bit))
-        return each.select("fp", "chain", "size", check.alias("check"), "more", F.explode(_keys(F.col("part"), F.col("value"), bits, bit)).alias("key"))
+        keys = _keys(F.col("part"), F.col("value"), 0 if bit else bits)
+        return each.select("fp", "chain", "size", check.alias("check"), "more", F.explode(keys).alias("key"))
 
     w = Window.partitionBy("key")
-    marks = {"a": F.min("chain").over(w), "b": F.max("chain").over(w), "held": F.count(F.lit(1)).over(w), "lead": F.max(F.struct("size", "chain", "check", "more")).over(w)}
+    marks = {"a": F.min("chain").over(w), "b": F.max("chain").over(w), "all": F.count(F.lit(1)).over(w), "ones": F.sum(F.col("check").bitwiseAND(F.lit(1))).over(w), "lead": F.max(F.struct("size", "chain", "check", "more")).over(w)}
     shared = side(0).union(side(1)).withColumns(marks).filter("a < b")
     alike = _differ("check", "more", "lead.check", "lead.more") <= CORE_BITS
-    shared = shared.withColumn("core", (F.col("held") > DENSE) & alike)
+    shared = shared.withColumn("core", (F.col("ones") * (F.col("all") - F.col("ones")) > DENSE) & alike)
     half = lambda bit, x: shared.filter(F.col("check").bitwiseAND(F.lit(1)) == bit).select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "chain", "check", "more", "core")])
     met = half(0, "l").join(half(1, "r"), "key").filter((F.col("l_chain") != F.col("r_chain")) & ~(F.col("l_core") & F.col("r_core")) & (_differ("l_check", "l_more", "r_check", "r_more") <= CHECK_BITS))
     low = F.col("l_fp") < F.col("r_fp")
@@ -176,32 +189,34 @@ def _index_pairs(known: DataFrame, bits: int) -> DataFrame:
 
 
 def _dense_pairs(dense: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, a) texts of dense groups and their chains to (u, v, a, b): the pairs of different
-    chains that can be as similar as SHARE, by an exact prefix filter.
+    """(u, a, check, more, odd) texts of dense groups and their chains to (u, v, a, b): the pairs
+    of different chains that can be as similar as SHARE, by an exact prefix filter and exact
+    parities. Of so many shingles that parities tell nothing CHECK_BITS holds as well.
 
     Two such sets share one of the n - ceil(SHARE n) + 1 rarest shingles of each, in any
     fixed order. Shingles of one text, or one chain, give no pair, and a text that has too
     many of its own drops out, so many strays around a group cost no more than themselves.
     """
-    held = dense.join(sets, F.col("u") == F.col("node")).select("u", "a", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+    held = dense.join(sets, F.col("u") == F.col("node")).select("u", "a", F.struct("check", "more", "odd").alias("s"), F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
     use = held.groupBy("x").agg(F.count(F.lit(1)).alias("uses"), F.min("a").alias("low"), F.max("a").alias("high"))
     ranked = held.join(use, "x").withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy("uses", "x")))
     first = ranked.filter((F.col("place") <= F.col("n") - F.ceil(SHARE * F.col("n") - 1e-9) + 1) & (F.col("low") < F.col("high")))
-    rare = staged(first.select("u", "a", "n", "x"), "rare")
-    left = rare.select("x", F.col("u").alias("l"), F.col("a").alias("c"), F.col("n").alias("n"))
-    right = rare.select("x", F.col("u").alias("r"), F.col("a").alias("d"), F.col("n").alias("m"))
-    met = left.join(right, "x").filter((F.col("l") < F.col("r")) & (F.col("c") != F.col("d")) & _sizes("n", "m"))
+    rare = staged(first.select("u", "a", "n", "x", "s"), "rare")
+    left = rare.select("x", F.col("u").alias("l"), F.col("a").alias("c"), "n", F.col("s").alias("l_s"))
+    right = rare.select("x", F.col("u").alias("r"), F.col("a").alias("d"), F.col("n").alias("m"), F.col("s").alias("r_s"))
+    told = (F.col("n") + F.col("m") < 4 * PARITIES) | (_differ("l_s.check", "l_s.more", "r_s.check", "r_s.more") <= CHECK_BITS)
+    met = left.join(right, "x").filter((F.col("l") < F.col("r")) & (F.col("c") != F.col("d")) & _sizes("n", "m") & _near("n", "m", "l_s.odd", "r_s.odd") & told)
     return met.select(F.col("l").alias("u"), F.col("r").alias("v"), F.col("c").alias("a"), F.col("d").alias("b")).distinct()
 
 
 def _roots(fps: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
-    """(id, h, fingerprint, n, check, more, parts) to (fp, root); texts (h, text) holds the texts.
+    """(id, h, fingerprint, n, check, more, odd, parts) to (fp, root); texts (h, text) holds the texts.
 
     In each whole segment neighbours in the order of sizes are tested first. What these
     links join needs no other test, so the index only gives pairs of different chains, and
     a group of n near copies doesn't give n * n pairs.
     """
-    columns = [F.first(c).alias(c) for c in ("n", "check", "more", "parts")]
+    columns = [F.first(c).alias(c) for c in ("n", "check", "more", "odd", "parts")]
     distinct = staged(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("h").alias("h"), *columns), "distinct")
     able = distinct.filter(F.col("n") >= LEAST)
     cut = able.select("fp", "n", "check", "more", F.posexplode("parts").alias("part", "value"))
@@ -219,9 +234,12 @@ def _roots(fps: DataFrame, texts: DataFrame, bits: int) -> DataFrame:
     dense = met.filter("v is null").select("u", "a")
     found = met.filter("v is not null")
     of_dense = _sets(dense.select("u", F.col("u").alias("v")), distinct, texts, "dense", sets)
-    found = found.union(_dense_pairs(dense, of_dense)).distinct()
+    found = found.union(_dense_pairs(dense.join(distinct.select(F.col("fp").alias("u"), "check", "more", "odd"), "u"), of_dense)).distinct()
     tested = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    left = staged(found.join(tested, ["u", "v"], "left_anti"), "pairs")
+    left = found.join(tested, ["u", "v"], "left_anti")
+    for side, n, odd in (("u", "_n", "_odd"), ("v", "_m", "_other")):
+        left = left.join(distinct.select(F.col("fp").alias(side), F.col("n").alias(n), F.col("odd").alias(odd)), side)
+    left = staged(left.filter(_sizes("_n", "_m") & _near("_n", "_m", "_odd", "_other")).select("u", "v", "a", "b"), "pairs")
     links = _alike(left, _sets(left, distinct, texts, "pairs-of", of_dense))
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     top = known.select("fp", "chain").join(roots, F.col("chain") == F.col("node"), "left")

@@ -68,3 +68,22 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone in here"), (2, "ONE two\tthree "), (4, ""), (8, "w w w w w")]
     assert near_copies.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_passages_are_no_candidates(spark):
+    """Texts of a dense group that share rare passages, but not SHARE, were all paired; copies still are."""
+    r = random.Random(8)
+    some = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    passages = [some(70) for _ in range(5)]
+    texts = [passages[k % 5] + some(60) for k in range(200)]
+    copies = [t[:-k] for k, t in zip(range(1, 9), texts, strict=False)] + [some(2) + t for t in texts[20:24]]
+    long = [p + some(1500) for p in passages for _ in range(4)]
+    rows = [(k, k, " ".join(t)) for k, t in enumerate(texts + copies + long + [t[5:] for t in long])]
+    docs = spark.createDataFrame(rows, "id long, h long, text string")
+    sketched = near_copies._sketches(docs, 2, 12).withColumns({"u": F.col("id"), "a": F.col("id")}).localCheckpoint()
+    sets = spark.createDataFrame([(k, near_copies.shingles(t).view("i8").tolist()) for k, _, t in rows], "node long, shingles array<long>")
+    got = {(p.u, p.v) for p in near_copies._dense_pairs(sketched.select("u", "a", "check", "more", "odd"), sets).collect()}
+    known = {k: brute_shingles(t) for k, _, t in rows}
+    alike = {(a, b) for a in known for b in known if a < b and len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b])}
+    assert len(alike) == 32 and alike <= got
+    assert len(got) < 2 * len(alike)
