@@ -37,6 +37,8 @@ CHECK_BITS = 36
 DENSE, CORE_BITS = 512, 42
 #: Parities of shingles by hash: two sets differ in as many shingles at least as in parities.
 PARITIES = 512
+#: So many earlier shingles go with one of a dense text; pairs that share one of them aren't met again.
+BEFORE = 16
 #: Lists of so many candidate texts (16 bytes each) are broadcast; longer ones are joined by a shuffle.
 SMALL = 1 << 19
 
@@ -194,19 +196,29 @@ def _dense_pairs(dense: DataFrame, sets: DataFrame) -> DataFrame:
     parities. Of so many shingles that parities tell nothing CHECK_BITS holds as well.
 
     Two such sets share one of the n - ceil(SHARE n) + 1 rarest shingles of each, in any
-    fixed order. Shingles of one text, or one chain, give no pair, and a text that has too
-    many of its own drops out, so many strays around a group cost no more than themselves.
+    fixed order; the smaller set needs fewer. Shingles of one text, or one chain, give no pair,
+    and a text that has too many of its own drops out, so many strays around a group cost no
+    more than themselves. The first shingle that two sets share leaves only those after it
+    to be shared, so its places bound what they share; where one of the BEFORE earlier ones is
+    shared too, it isn't the first, and the pair is met there.
     """
     held = dense.join(sets, F.col("u") == F.col("node")).select("u", "a", F.struct("check", "more", "odd").alias("s"), F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
     use = held.groupBy("x").agg(F.count(F.lit(1)).alias("uses"), F.min("a").alias("low"), F.max("a").alias("high"))
-    ranked = held.join(use, "x").withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy("uses", "x")))
-    first = ranked.filter((F.col("place") <= F.col("n") - F.ceil(SHARE * F.col("n") - 1e-9) + 1) & (F.col("low") < F.col("high")))
-    rare = staged(first.select("u", "a", "n", "x", "s"), "rare")
-    left = rare.select("x", F.col("u").alias("l"), F.col("a").alias("c"), "n", F.col("s").alias("l_s"))
-    right = rare.select("x", F.col("u").alias("r"), F.col("a").alias("d"), F.col("n").alias("m"), F.col("s").alias("r_s"))
-    told = (F.col("n") + F.col("m") < 4 * PARITIES) | (_differ("l_s.check", "l_s.more", "r_s.check", "r_s.more") <= CHECK_BITS)
-    met = left.join(right, "x").filter((F.col("l") < F.col("r")) & (F.col("c") != F.col("d")) & _sizes("n", "m") & _near("n", "m", "l_s.odd", "r_s.odd") & told)
-    return met.select(F.col("l").alias("u"), F.col("r").alias("v"), F.col("c").alias("a"), F.col("d").alias("b")).distinct()
+    w = Window.partitionBy("u").orderBy("uses", "x")
+    ranked = held.join(use, "x").withColumn("place", F.row_number().over(w))
+    within = lambda share: F.col("place") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
+    first = ranked.filter(within(SHARE) & (F.col("low") < F.col("high"))).withColumn("before", F.collect_list("x").over(w.rowsBetween(-BEFORE, -1)))
+    rare = staged(first.select("u", "a", "n", "x", "s", "place", "before"), "rare")
+    side = lambda rows, x: rows.select("x", *[F.col(c).alias(f"{x}_{c}") for c in ("u", "a", "n", "s", "place", "before")])
+    ordered = (F.col("l_n") < F.col("r_n")) | ((F.col("l_n") == F.col("r_n")) & (F.col("l_u") < F.col("r_u")))
+    left_to_share = 1 + F.least(F.col("l_n") - F.col("l_place"), F.col("r_n") - F.col("r_place"))
+    enough = left_to_share >= (F.col("l_n") + F.col("r_n")) * (SHARE / (1 + SHARE)) - 1e-9
+    told = (F.col("l_n") + F.col("r_n") < 4 * PARITIES) | (_differ("l_s.check", "l_s.more", "r_s.check", "r_s.more") <= CHECK_BITS)
+    met = side(rare.filter(within(2 * SHARE / (1 + SHARE))), "l").join(side(rare, "r"), "x")
+    met = met.filter((F.col("l_a") != F.col("r_a")) & ordered & enough & _sizes("l_n", "r_n") & _near("l_n", "r_n", "l_s.odd", "r_s.odd") & told & ~F.arrays_overlap("l_before", "r_before"))
+    low = F.col("l_u") < F.col("r_u")
+    of = lambda x, y, name: F.when(low, F.col(x)).otherwise(F.col(y)).alias(name)
+    return met.select(F.least("l_u", "r_u").alias("u"), F.greatest("l_u", "r_u").alias("v"), of("l_a", "r_a", "a"), of("r_a", "l_a", "b")).distinct()
 
 
 def _roots(fps: DataFrame, texts: DataFrame, bits: int) -> DataFrame:

@@ -87,3 +87,26 @@ def test_texts_that_share_passages_are_no_candidates(spark):
     alike = {(a, b) for a in known for b in known if a < b and len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b])}
     assert len(alike) == 32 and alike <= got
     assert len(got) < 2 * len(alike)
+
+
+def test_a_dense_pair_is_met_once(spark, monkeypatch):
+    """A pair of a dense group was made once for every rare shingle that it shares."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    base, edits = [word() for _ in range(300)], [(k, word()) for k in range(5, 300, 20)]
+    texts = [list(base) for _ in range(80)]
+    for k, text in enumerate(texts):
+        for at, new in r.sample(edits, 1 + k % 6):
+            text[at] = new
+        del text[: k % 3 * 20]
+    long = texts[0] + [word() for _ in range(60)]
+    rows = [(k, k, " ".join(t)) for k, t in enumerate([*texts, long, long[4:]])]
+    docs = spark.createDataFrame(rows, "id long, h long, text string")
+    sketched = near_copies._sketches(docs, 2, 12).withColumns({"u": F.col("id"), "a": F.col("id")}).localCheckpoint()
+    sets = spark.createDataFrame([(k, near_copies.shingles(t).view("i8").tolist()) for k, _, t in rows], "node long, shingles array<long>")
+    monkeypatch.setattr(type(docs), "distinct", lambda df: df)
+    met = [(p.u, p.v, p.a, p.b) for p in near_copies._dense_pairs(sketched.select("u", "a", "check", "more", "odd"), sets).collect()]
+    known = {k: brute_shingles(t) for k, _, t in rows}
+    alike = {(a, b, a, b) for a in known for b in known if a < b and len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b])}
+    assert 500 < len(alike) < 82 * 81 / 2 - 500 and alike <= set(met)
+    assert len(met) < 1.2 * len(set(met)) < 2 * len(alike)
