@@ -108,7 +108,8 @@ def near_components(fps: DataFrame) -> DataFrame:
     for s, (low, n) in enumerate(SEGMENTS):
         first &= (segment <= s) | (F.bit_count(_bits(x, low, n)) > 1)
     meet = (F.bit_count(x) <= MAX_BITS) & (F.col("l_chain") != F.col("r_chain")) & (~whole | (F.col("l_fp") < F.col("r_fp"))) & first
-    met = side(0, "l").join(side(1, "r"), "key").filter(meet).select(F.col("l_chain").alias("u"), F.col("r_chain").alias("v"))
+    # exploded rows are some 35 times what Spark takes them for, which it would broadcast
+    met = side(0, "l").hint("merge").join(side(1, "r"), "key").filter(meet).select(F.col("l_chain").alias("u"), F.col("r_chain").alias("v"))
     roots = connected_components(met)
     top = known.join(roots, known["chain"] == roots["node"], "left")
     return top.select(F.col("fp").alias("node"), F.coalesce("root", "chain").alias("root"))

@@ -156,6 +156,15 @@ def test_index_join_finds_every_link(spark):
     assert groups(lambda i: got[signed[i]]) == groups(lambda i: want[i])
 
 
+def test_exploded_index_is_not_broadcast(spark, monkeypatch):
+    """Spark sizes the index by its rows before the explode, and sent it all to the driver."""
+    met, plain = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda links: met.append(links) or plain(links))
+    simhash.near_components(spark.range(2000).select(F.xxhash64("id").alias("fp")))
+    plan = met[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (3, 2)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
