@@ -166,7 +166,8 @@ def _index_pairs(known: DataFrame, bits: int) -> DataFrame:
     One side lies under its values, the other also under those with one more bit.
     Keys that one chain alone holds are dropped, and groups of dense ones set apart, behind
     the same shuffle that joins the others. Whoever lies under a dense key without being
-    like the group meets all of it here.
+    like the group meets all of it here. Spark would size a side by its rows before they are
+    exploded, and broadcast it.
     """
     each = known.select("fp", "chain", "size", "check", "more", F.posexplode("parts").alias("part", "value"))
 
@@ -181,7 +182,7 @@ def _index_pairs(known: DataFrame, bits: int) -> DataFrame:
     alike = _differ("check", "more", "lead.check", "lead.more") <= CORE_BITS
     shared = shared.withColumn("core", (F.col("ones") * (F.col("all") - F.col("ones")) > DENSE) & alike)
     half = lambda bit, x: shared.filter(F.col("check").bitwiseAND(F.lit(1)) == bit).select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "chain", "check", "more", "core")])
-    met = half(0, "l").join(half(1, "r"), "key").filter((F.col("l_chain") != F.col("r_chain")) & ~(F.col("l_core") & F.col("r_core")) & (_differ("l_check", "l_more", "r_check", "r_more") <= CHECK_BITS))
+    met = half(0, "l").hint("merge").join(half(1, "r"), "key").filter((F.col("l_chain") != F.col("r_chain")) & ~(F.col("l_core") & F.col("r_core")) & (_differ("l_check", "l_more", "r_check", "r_more") <= CHECK_BITS))
     low = F.col("l_fp") < F.col("r_fp")
     of = lambda x, y, name: F.when(low, F.col(x)).otherwise(F.col(y)).alias(name)
     pairs = met.select(F.least("l_fp", "r_fp").alias("u"), F.greatest("l_fp", "r_fp").alias("v"), of("l_chain", "r_chain", "a"), of("r_chain", "l_chain", "b"))
@@ -214,7 +215,8 @@ def _dense_pairs(dense: DataFrame, sets: DataFrame) -> DataFrame:
     left_to_share = 1 + F.least(F.col("l_n") - F.col("l_place"), F.col("r_n") - F.col("r_place"))
     enough = left_to_share >= (F.col("l_n") + F.col("r_n")) * (SHARE / (1 + SHARE)) - 1e-9
     told = (F.col("l_n") + F.col("r_n") < 4 * PARITIES) | (_differ("l_s.check", "l_s.more", "r_s.check", "r_s.more") <= CHECK_BITS)
-    met = side(rare.filter(within(2 * SHARE / (1 + SHARE))), "l").join(side(rare, "r"), "x")
+    # a text's columns stand beside each of its shingles, which Parquet packs to a twentieth
+    met = side(rare.filter(within(2 * SHARE / (1 + SHARE))), "l").hint("merge").join(side(rare, "r"), "x")
     met = met.filter((F.col("l_a") != F.col("r_a")) & ordered & enough & _sizes("l_n", "r_n") & _near("l_n", "r_n", "l_s.odd", "r_s.odd") & told & ~F.arrays_overlap("l_before", "r_before"))
     low = F.col("l_u") < F.col("r_u")
     of = lambda x, y, name: F.when(low, F.col(x)).otherwise(F.col(y)).alias(name)

@@ -110,3 +110,18 @@ def test_a_dense_pair_is_met_once(spark, monkeypatch):
     alike = {(a, b, a, b) for a in known for b in known if a < b and len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b])}
     assert 500 < len(alike) < 82 * 81 / 2 - 500 and alike <= set(met)
     assert len(met) < 1.2 * len(set(met)) < 2 * len(alike)
+
+
+def test_exploded_sides_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes both joins far too low, and would send a side through the driver."""
+    asked, plain = [], near_copies.staged
+    monkeypatch.setattr(near_copies, "staged", lambda df, name: asked.append(df) or plain(df, name))
+    rows = [(k, k, " ".join(f"w{n}" for n in range(k, k + 40))) for k in range(8)]
+    docs = spark.createDataFrame(rows, "id long, h long, text string")
+    sketched = near_copies._sketches(docs, 2, 12).withColumns({c: F.col("id") for c in ("u", "a", "fp", "chain")}).localCheckpoint()
+    near_copies._index_pairs(plain(sketched.select("fp", "chain", F.lit(1).alias("size"), "check", "more", "parts"), "known"), 12)
+    sets = spark.createDataFrame([(k, near_copies.shingles(t).view("i8").tolist()) for k, _, t in rows], "node long, shingles array<long>")
+    dense = near_copies._dense_pairs(sketched.select("u", "a", "check", "more", "odd"), sets)
+    for df, key in ((asked[0], "key"), (dense, "x")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f"SortMergeJoin [{key}#" in plan and f"BroadcastHashJoin [{key}#" not in plan
